@@ -1,4 +1,23 @@
 """Registry of the library's queries and of the equivalent SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.operators import units
+from docloom.session import table
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    converted = units.convert_units(table(spark, folder, "table_cells"), table(spark, folder, "table_metadata"))
+    return units.misrecorded(converted).select("cell_id", F.col("true_category").alias("unit_category"), "base_micro").distinct()
+
+
+def p4_inferred(spark: SparkSession, folder: str) -> DataFrame:
+    converted = units.convert_units(table(spark, folder, "table_cells"), table(spark, folder, "table_metadata"))
+    return converted.where("unit_source = 'inferred'").select("cell_id", "raw_value", "unit", "true_category", "base_value", "posterior", "uncertain").distinct()
+
+
+QUERIES: dict = {f.__name__: f for f in (p4_found, p4_inferred)}
 SQL: dict[str, str] = {}
