@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import leaks, mixing, sentences
+from docloom.llm import leaks, mixing, quality, sentences, splitting
 from docloom.session import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, folder, "chunks")).select("chunk_id", "boundary").distinct()
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, folder, "chunks"))
+
+
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    profiles = quality.fit_profiles(docs.where(F.col("source").isin("manual", "report", "notice")))
+    one = quality.text_quality(docs.select(F.col("doc_id").cast("string").alias("item_key"), "text"), profiles, "item_key")
+    two = quality.text_quality(table(spark, folder, "chunks").select(F.col("chunk_id").alias("item_key"), "text"), profiles, "item_key")
+    return one.withColumn("table_name", F.lit("documents")).unionByName(two.withColumn("table_name", F.lit("chunks")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _quality(spark, folder).where("kind <> 'prose'").select("table_name", "item_key", "kind").distinct()
+
+
+def p5_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return _quality(spark, folder).distinct()
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_windows(table(spark, folder, "documents"), table(spark, folder, "qa_bank")).select("doc_id", "question_id").distinct()
 
@@ -30,5 +54,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(docs)
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_touched_documents, p7_mixture, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_statistics, p6_found, p6_touched_documents, p7_mixture, p7_shares, p8_found)}
 SQL: dict[str, str] = {}
