@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import leaks, mixing, pairs, quality, sentences, splitting
+from docloom.llm import leaks, mixing, pairs, quality, scans, sentences, splitting
 from docloom.session import table
 
 
@@ -13,6 +13,16 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.broken_pairs(table(spark, folder, "predictions"), table(spark, folder, "documents")).distinct()
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    items = scans.scan_items(table(spark, folder, "documents"), table(spark, folder, "medcore_text_gt_flat"))
+    return scans.find_noise(items, scans.Models(items))
+
+
+def p2_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    items = scans.scan_items(table(spark, folder, "documents"), table(spark, folder, "medcore_text_gt_flat"))
+    return scans.repair(items, scans.Models(items))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks")).select("chunk_id", "boundary").distinct()
 
@@ -58,5 +68,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(docs)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p5_found, p5_statistics, p6_found, p6_touched_documents, p7_mixture, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_repaired, p3_found, p3_pieces, p5_found, p5_statistics, p6_found, p6_touched_documents, p7_mixture, p7_shares, p8_found)}
 SQL: dict[str, str] = {}
