@@ -124,7 +124,7 @@ def grams(text: str) -> np.ndarray:
             edged = f"<{word}>"
             for n in (2, 3, 4):
                 out += [edged[i : i + n] for i in range(len(edged) - n + 1)]
-    return np.fromiter((xxhash.xxh32_intdigest(g) & (BUCKETS - 1) for g in out), np.int64, len(out))
+    return np.fromiter((xxhash.xxh32_intdigest(g) & (BUCKETS - 1) for g in out), np.int32, len(out))
 
 
 def fit_languages(documents: DataFrame, pairs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
@@ -136,30 +136,30 @@ def fit_languages(documents: DataFrame, pairs: DataFrame, sample: int = SAMPLE)
     """
     labelled = documents.where(F.col("text").isNotNull()).select(F.lower("lang").alias("lang"), "text")
     rows = [r for lang in LANGUAGES for r in labelled.where(F.col("lang") == lang).limit(sample).collect()]
-    counted = [(LANGUAGES.index(r.lang), np.bincount(grams(r.text), minlength=BUCKETS)) for r in rows]
+    counted = [(LANGUAGES.index(r.lang), grams(r.text)) for r in rows]
     counts = np.zeros((len(LANGUAGES), BUCKETS))
-    for k, c in counted:
-        counts[k] += c
+    for k, g in counted:
+        counts[k] += np.bincount(g, minlength=BUCKETS)
     model, known = _logs(counts), counts.sum(axis=1) > 0
     counts = np.zeros_like(counts)
-    for k, c in counted:
-        if _best(model, c, known)[0] == k:
-            counts[k] += c
-    own = [np.bincount(grams(f"{q} {g}"), minlength=BUCKETS) for q, g in pairs.select("query", "ground_truth").where("query is not null and ground_truth is not null").limit(16 * sample).toPandas().itertuples(index=False)]
+    for k, g in counted:
+        if _best(model, g, known)[0] == k:
+            counts[k] += np.bincount(g, minlength=BUCKETS)
+    own = [grams(f"{r.query} {r.ground_truth}") for r in pairs.select("query", "ground_truth").where("query is not null and ground_truth is not null").limit(16 * sample).collect()]
     for _ in range(2):
         model, known = _logs(counts), counts.sum(axis=1) > 0
         more = np.zeros_like(counts)
-        for c in own:
-            k, lead = _best(model, c, known)
+        for g in own:
+            k, lead = _best(model, g, known)
             if lead > 5:
-                more[k] += c
+                more[k] += np.bincount(g, minlength=BUCKETS)
         counts = counts + more
     return _logs(counts)
 
 
-def _best(model: np.ndarray, c: np.ndarray, known: np.ndarray) -> tuple[int, float]:
-    """Language of a text and its lead over the next."""
-    score = np.where(known, model @ c, -np.inf)
+def _best(model: np.ndarray, g: np.ndarray, known: np.ndarray) -> tuple[int, float]:
+    """Language of a text, given by its buckets, and its lead over the next."""
+    score = np.where(known, model[:, g].sum(axis=1), -np.inf)
     order = np.argsort(score)
     return int(order[-1]), float(score[order[-1]] - score[order[-2]]) if known.sum() > 1 else 1e9
 
