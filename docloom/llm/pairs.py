@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import cut_lineage
+
 LANGUAGES = ("en", "de", "fr", "es", "ja", "zh", "hi", "th")
 BUCKETS = 1 << 15
 SAMPLE = 300
@@ -233,6 +235,20 @@ SENTENCE_MARKS = frozenset(".!?。！？।")
 def _end_counts(batches: Iterator[pa.RecordBatch], ordinary: frozenset[str]) -> Iterator[pa.RecordBatch]:
     """Counts, over the texts of a partition, of contexts followed by an end and by more text."""
     counts: dict[int, list[int]] = {}
+    alike: Counter = Counter()  # texts that differ in names and numbers only are counted together
+
+    def count() -> None:
+        for seq, times in alike.items():
+            for at in range(1, len(seq) - 1):  # an end without a mark is what is to be judged
+                if seq[at] in SENTENCE_MARKS:
+                    continue
+                place = 0 if seq[at + 1] in SENTENCE_MARKS else 1
+                for c in _contexts(seq, at):
+                    n = counts.get(c)
+                    if n is None:
+                        n = counts[c] = [0, 0]
+                    n[place] += times
+        alike.clear()
 
     def flush() -> pa.RecordBatch:
         keys = list(counts)
@@ -242,23 +258,13 @@ def _end_counts(batches: Iterator[pa.RecordBatch], ordinary: frozenset[str]) ->
 
     for batch in batches:
         for query, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not text:
-                continue
-            seq = ["<", *tokens(text, query, ordinary)]
-            for at in range(1, len(seq)):
-                if seq[at] in SENTENCE_MARKS:
-                    continue
-                last = at + 1 == len(seq)
-                ended = not last and seq[at + 1] in SENTENCE_MARKS
-                if last:
-                    continue  # an end without a mark is what is to be judged
-                for c in _contexts(seq, at):
-                    n = counts.get(c)
-                    if n is None:
-                        n = counts[c] = [0, 0]
-                    n[0 if ended else 1] += 1
+            if text:
+                alike[("<", *tokens(text, query, ordinary))] += 1
+        if len(alike) > 20_000:
+            count()
         if len(counts) > 400_000:
             yield flush()
+    count()
     yield flush()
 
 
@@ -334,7 +340,8 @@ def broken_pairs(predictions: DataFrame, documents: DataFrame, sample: int = SAM
                 opened.append(contexts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(kinds, pa.string()), pa.array(opened, pa.list_(pa.int64()))], names=["query_id", "defect_type", "contexts"])
 
-    judged = pairs.mapInArrow(judge, f"query_id {pairs.schema['query_id'].dataType.simpleString()}, defect_type string, contexts array<bigint>")
+    # few rows pass, and they are read twice
+    judged = cut_lineage(pairs.mapInArrow(judge, f"query_id {pairs.schema['query_id'].dataType.simpleString()}, defect_type string, contexts array<bigint>"))
     plain = judged.where("defect_type is not null").select("query_id", "defect_type")
     asked = judged.where("defect_type is null").select("query_id", F.posexplode_outer("contexts").alias("k", "context"))
     seen = asked.join(ends, "context", "left")
