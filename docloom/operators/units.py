@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.session import cut_lineage
+
 # Unit, category, factor to the base unit, offset added after scaling.
 BASE = {"voltage": "V", "length": "m", "temp": "°C", "power": "W", "freq": "Hz", "memory": "GB"}
 UNITS = [
@@ -271,6 +273,7 @@ def convert_units(cells: DataFrame, metadata: DataFrame | None = None, certain:
     parsed = parsed.withColumn("_value", F.col("_cell.value")).withColumn("_written", F.coalesce(F.col("_cell.unit"), F.col("_label.unit"))).withColumn("_base", F.coalesce(F.col("_label.base"), F.lit("")))
     parsed = parsed.withColumn("_bin", F.when(F.col("_value") > 0, F.round(F.log10("_value") / BIN).cast("int")))
     counts = parsed.where("_bin is not null").groupBy(F.col("_base").alias("column_base"), F.col("_bin").alias("bin"), F.col("_written").alias("unit")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts)  # a few rows for each column, read twice
     fitted = counts.groupBy("column_base").applyInPandas(_fit_column, POSTERIOR)
     # category of a column: the one of most units written in it
     tally = counts.where("unit is not null").groupBy("column_base", _lookup(CATEGORY)[F.col("unit")].alias("category")).agg(F.sum("n").alias("n"))
