@@ -61,7 +61,7 @@ def money(c: Column | str) -> Column:
 
 def numbers(c: Column | str) -> Column:
     """all numbers of a text, with or without parentheses, in order."""
-    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"(\(?\b[0-9](?:[0-9,.]*[0-9])?\b\)?)"), 1)
+    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"(\(?(?<![A-Za-z0-9_])[0-9](?:[0-9,.]*[0-9])?(?![A-Za-z0-9_])\)?)"), 1)
     return F.filter(F.transform(found, money), lambda n: n.isNotNull())
 
 

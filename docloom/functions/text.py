@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The entity token pattern and its abbreviation expansions.
@@ -61,7 +61,7 @@ def truncate_tokens(c: Column | str, n: int) -> Column:
 def split_sentences(c: Column | str, least: int = 0) -> Column:
     """pieces after . ! ? and white space, trimmed, at least ``least`` characters long."""
     cut = F.regexp_replace(col(c), "([.!?])[ \t\n\r\f]+", "$1\u0001")
-    return F.filter(F.transform(F.split(cut, "\u0001"), F.trim), lambda s: F.length(s) > max(0, least - 1))
+    return F.filter(F.transform(F.split(cut, "\u0001"), lambda s: F.trim(s)), lambda s: F.length(s) > max(0, least - 1))
 
 
 def repair_hyphens(c: Column | str) -> Column:
@@ -110,20 +110,20 @@ def heading_level(c: Column | str) -> Column:
 def citations(c: Column | str) -> Column:
     """F16: numbers of the tables and figures cited, as ``table:n`` and ``figure:n``, distinct and sorted."""
     low = F.lower(F.coalesce(col(c), F.lit("")))
-    tables = F.regexp_extract_all(low, F.lit(r"\b(?:table|tab\.)[ \t\n]*([0-9]+)"), 1)
-    figures = F.regexp_extract_all(low, F.lit(r"\b(?:figure|fig\.)[ \t\n]*([0-9]+)"), 1)
+    tables = F.regexp_extract_all(low, F.lit(r"(?<![a-z0-9_])(?:table|tab\.)[ \t\n]*([0-9]+)"), 1)
+    figures = F.regexp_extract_all(low, F.lit(r"(?<![a-z0-9_])(?:figure|fig\.)[ \t\n]*([0-9]+)"), 1)
     return F.array_sort(F.array_distinct(F.concat(F.transform(figures, lambda n: F.concat(F.lit("figure:"), n)), F.transform(tables, lambda n: F.concat(F.lit("table:"), n)))))
 
 
 def markdown_rows(c: Column | str) -> Column:
     """rows of a pipe table as arrays of trimmed cells; separator and other lines are skipped."""
     lines = F.filter(F.split(F.coalesce(col(c), F.lit("")), "\n"), lambda s: F.trim(s).startswith("|") & ~s.rlike(r"^[ |:\-]+$"))
-    return F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(F.trim(s), r"^\||\|$", ""), r"\|"), F.trim))
+    return F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(F.trim(s), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x)))
 
 
 def key_terms(c: Column | str, most: int = 15) -> Column:
     """capitalised words and numbers with a unit, the first ``most`` distinct ones."""
-    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"([A-Z][a-z]{2,}|[0-9]+(?:\.[0-9]+)? (?:mm|cm|kg|ml|V|W|Hz)\b)"), 1)
+    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"([A-Z][a-z]{2,}|[0-9]+(?:\.[0-9]+)? (?:mm|cm|kg|ml|V|W|Hz)(?![A-Za-z0-9_]))"), 1)
     return F.slice(F.array_distinct(found), 1, most)
 
 
@@ -141,19 +141,9 @@ def quality_flags(c: Column | str) -> dict[str, Column]:
     return {"bad_char": t.contains("�"), "repeated": t.rlike(r"([a-zA-Z])\1{3}"), "open_hyphen": t.rlike("[a-z]- [a-z]"), "ligature": t.rlike("[ﬀ-ﬄ]")}
 
 
-def trigrams_repeat(c: Column | str, times: int = 4, least_words: int = 10) -> Column:
-    """some three words in a row occur at least ``times`` times in a text of at least ``least_words`` words."""
-    words = F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), "[ \t\n\r\f]+"), lambda t: t != "")
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.concat_ws(" ", F.slice(words, i, 3)))
-    ordered = F.array_sort(grams)
-    # in sorted order a gram that occurs often enough equals the one times - 1 places on
-    run = F.exists(F.sequence(F.lit(1), F.size(grams) - (times - 1)), lambda i: F.element_at(ordered, i) == F.element_at(ordered, i + (times - 1)))
-    return F.when((F.size(words) >= least_words) & (F.size(words) - 2 >= times), run).otherwise(False)
-
-
 def is_spec_query(c: Column | str) -> Column:
     """A code of letters and digits, or a number of five or more digits."""
-    return F.coalesce(col(c).rlike(r"\b[A-Za-z]{1,4}-?[0-9]{3,}") | col(c).rlike("[0-9]{5,}"), F.lit(False))
+    return F.coalesce(col(c).rlike(r"(?<![A-Za-z0-9_])[A-Za-z]{1,4}-?[0-9]{3,}") | col(c).rlike("[0-9]{5,}"), F.lit(False))
 
 
 def query_intent(c: Column | str) -> Column:
@@ -198,3 +188,15 @@ def uuid5(namespace_hex: str, c: Column | str) -> Column:
     h = F.sha1(F.concat(F.unhex(F.lit(namespace_hex)), F.encode(col(c), "UTF-8")))
     variant = F.lower(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3)).bitwiseOR(8)))
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+def repeated_trigrams(df: DataFrame, key: str, c: str, times: int = 4, least_words: int = 10) -> DataFrame:
+    """keys of texts of at least ``least_words`` words in which some three words in a row occur at least ``times`` times.
+
+    Counted by (key, three words), so that a long text is spread and like grams are combined before the exchange.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[ \t\n\r\f]+"), lambda t: t != "")
+    long = df.select(F.col(key), words.alias("_w")).where(F.size("_w") >= least_words)
+    # one posexplode and three shifted copies instead of slices of the array for each place
+    grams = long.select(key, F.explode(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.size("_w")).alias("b"), F.slice("_w", 3, F.size("_w")).alias("c"))).alias("g")).where("g.c is not null")
+    return grams.groupBy(key, "g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= times).select(key).distinct()
