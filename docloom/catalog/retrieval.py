@@ -114,7 +114,7 @@ def recall_by_type_rollup(t):
     return p.rollup("query_type").agg(F.avg("ok").alias("recall"), F.count(F.lit(1)).alias("n")).withColumn("query_type", F.coalesce("query_type", F.lit("ALL")))
 
 
-_INDEX = f"idx AS (SELECT DISTINCT row_id, table_id, unnest({entity_sql('z')}) AS token FROM (SELECT row_id, table_id, concat_ws(' ', row_label, column_label, raw_value) AS z FROM table_cells)), asked AS (SELECT DISTINCT query_id, unnest({entity_sql('query')}) AS token FROM (SELECT DISTINCT query_id, query FROM predictions))"
+_INDEX = f"idx AS (SELECT DISTINCT row_id, table_id, unnest({entity_sql('z')}) AS token FROM (SELECT row_id, table_id, concat_ws(' ', row_label, column_label, raw_value) AS z FROM table_cells)), asked AS (SELECT DISTINCT query_id, unnest({entity_sql('query')}) AS token FROM (SELECT DISTINCT query_id, query FROM predictions WHERE try_cast(right(query_id, 7) AS BIGINT) % 20 = 0))"
 
 
 @query(f"WITH {_INDEX} SELECT token, count(*) AS n_rows FROM idx GROUP BY token")
@@ -123,7 +123,8 @@ def entity_index(t):
 
 
 def _asked(t):
-    return t("predictions").select("query_id", F.explode(X.entity_tokens("query")).alias("token")).distinct()
+    """Searches ask with every question whose number is divisible by 20, against all rows."""
+    return t("predictions").where("try_cast(right(query_id, 7) as bigint) % 20 = 0").select("query_id", F.explode(X.entity_tokens("query")).alias("token")).distinct()
 
 
 @query(f"WITH {_INDEX}, h AS (SELECT query_id, row_id, table_id, count(DISTINCT token) AS hit_count FROM idx JOIN asked USING (token) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_count DESC, row_id, table_id) AS rank FROM h QUALIFY rank <= 5")
@@ -166,10 +167,10 @@ def row_chunks_pointers(t):
     return T.row_chunks(cells, t("table_metadata")).select("table_id", "row_id", "prev_row_id", "next_row_id", "total_rows", F.md5("text").alias("text_md5"))
 
 
-@query(f"WITH {_INDEX}, {_ROWS}, q AS (SELECT DISTINCT query_id, CASE WHEN contains(lower(query), 'table') OR contains(lower(query), 'column') OR contains(lower(query), 'grid') THEN 'table' WHEN list_has_any({entity_sql('query')}, [{', '.join(repr(w) for w in X.PROSE_SIGNALS)}]) OR len(list_filter(regexp_split_to_array(lower(trim(query, ' ')), '[ \\t\\n\\r\\f]+'), lambda t: t <> '')) > 5 THEN 'prose' ELSE 'table' END AS route FROM predictions) SELECT route, count(*) AS n_queries, sum(hits)::BIGINT AS n_hits FROM (SELECT q.query_id, route, count(h.row_id) AS hits FROM q LEFT JOIN (SELECT query_id, row_id FROM (SELECT query_id, row_id, table_id, count(DISTINCT token) AS c FROM idx JOIN asked USING (token) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, row_id, table_id) <= 5) h ON h.query_id = q.query_id AND route = 'table' GROUP BY ALL) GROUP BY route")
+@query(f"WITH {_INDEX}, {_ROWS}, q AS (SELECT DISTINCT query_id, CASE WHEN contains(lower(query), 'table') OR contains(lower(query), 'column') OR contains(lower(query), 'grid') THEN 'table' WHEN list_has_any({entity_sql('query')}, [{', '.join(repr(w) for w in X.PROSE_SIGNALS)}]) OR len(list_filter(regexp_split_to_array(lower(trim(query, ' ')), '[ \\t\\n\\r\\f]+'), lambda t: t <> '')) > 5 THEN 'prose' ELSE 'table' END AS route FROM predictions WHERE try_cast(right(query_id, 7) AS BIGINT) % 20 = 0) SELECT route, count(*) AS n_queries, sum(hits)::BIGINT AS n_hits FROM (SELECT q.query_id, route, count(h.row_id) AS hits FROM q LEFT JOIN (SELECT query_id, row_id FROM (SELECT query_id, row_id, table_id, count(DISTINCT token) AS c FROM idx JOIN asked USING (token) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, row_id, table_id) <= 5) h ON h.query_id = q.query_id AND route = 'table' GROUP BY ALL) GROUP BY route")
 def route_table_prose(t):
     """Q15: table questions go to the entity index, the rest is left to the passage ranker."""
-    q = t("predictions").select("query_id", X.query_intent("query").alias("route")).distinct()
+    q = t("predictions").where("try_cast(right(query_id, 7) as bigint) % 20 = 0").select("query_id", X.query_intent("query").alias("route")).distinct()
     table_q = _asked(t).join(q.where("route = 'table'"), "query_id", "left_semi")
     hits = T.lookup(T.row_tokens(t("table_cells")), table_q, 5).select("query_id", "row_id")
     per = q.join(hits, "query_id", "left").groupBy("query_id", "route").agg(F.count("row_id").alias("hits"))

@@ -36,8 +36,11 @@ def row_tokens(cells: DataFrame) -> DataFrame:
 
 
 def lookup(index: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
-    """A1: rows by the number of distinct query tokens, at most k for each query, ties by row_id."""
-    hits = index.join(asked, "token").groupBy("query_id", "row_id", "table_id").agg(F.count_distinct("token").alias("hit_count"))
+    """A1: rows by the number of distinct query tokens, at most k for each query, ties by row_id.
+
+    Both sides hold each token once for a row or query, so that counting pairs counts distinct tokens.
+    """
+    hits = index.join(asked, "token").groupBy("query_id", "row_id", "table_id").agg(F.count(F.lit(1)).alias("hit_count"))
     w = W.partitionBy("query_id").orderBy(F.desc("hit_count"), "row_id", "table_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

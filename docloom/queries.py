@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.catalog import evaluation, retrieval, texts
+from docloom.catalog import evaluation, retrieval, structure, texts
 from docloom.operators import units
 from docloom.session import table
 
@@ -22,6 +22,6 @@ def p4_inferred(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict = {f.__name__: f for f in (p4_found, p4_inferred)}
 SQL: dict[str, str] = {}
-for _part in (texts, retrieval, evaluation):
+for _part in (texts, retrieval, evaluation, structure):
     QUERIES |= _part.query.queries
     SQL |= _part.query.sql
