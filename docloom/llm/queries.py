@@ -52,7 +52,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_touched_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.touched_documents(leaks.leaked_windows(table(spark, folder, "documents"), table(spark, folder, "qa_bank"), max_edits=1))
+    return leaks.touched_documents(leaks.leaked_windows(table(spark, folder, "documents"), table(spark, folder, "qa_bank")))
 
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
