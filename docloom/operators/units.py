@@ -131,7 +131,9 @@ def _one(text: str) -> tuple[float | None, str | None, bool]:
     else:
         return None, None, False
     unit = unit_of(written)
-    return (None, None, False) if written and not unit else (value, unit, fraction)
+    if written and not unit or fraction and unit not in (None, "in"):
+        return None, None, False
+    return value, unit, fraction
 
 
 def quantity(raw: str | None) -> tuple[float | None, str | None, bool]:
