@@ -28,6 +28,9 @@ from docloom.llm import boosting
 
 FREQUENT = 1e-5
 LEAST = 5  # occurrences that make a word a possible replacement
+#: A capitalised word that differs by letters only is another name unless the true form is so many times as frequent (one added to both counts). Real near-equal names
+#: stay below 12 at sf0.1; nouns there have 70 and more.
+NAME_RATIO = 15
 Q = 3
 
 # What is read (left) for what was printed (right).
@@ -173,9 +176,9 @@ def _odd(word: str) -> int:
 
 
 def ranking_features(read: str, n_read: int, printed: str, n_printed: int, name: bool) -> list[float]:
-    """``name``: the replacement is only met with a capital, so it may be a name; names differ by what looks like misreading."""
+    """``name``: the replacement is only met with a capital, so it may be a noun or a name; names of like frequency differ by what looks like misreading."""
     cost, odd = misreading_cost(read, printed)
-    return [cost, odd, (n_printed + 1) / (n_read + 1), float(_odd(read)), float(len(printed)), float(name)]
+    return [cost, odd, (n_printed + 1) / (n_read + 1), float(_odd(read)), float(len(printed)), float(name and not _odd(read))]
 
 
 def fit_ranking(frequent: list[tuple[str, int]], seed: int = 5, sample: int = 1500) -> list:
@@ -195,16 +198,21 @@ def fit_ranking(frequent: list[tuple[str, int]], seed: int = 5, sample: int = 15
                 i, r, p = draw.choice(swaps)
                 bad = w[:i] + r + w[i + len(p) :]
                 if bad.lower() != w.lower():
-                    # a name that differs by letters only is another name
-                    x.append(ranking_features(bad, max(1, int(n * draw.choice((0.0, 0.0005, 0.002, 0.01, 0.04)))), w, n, name))
-                    y.append(int(not (name and r.isalpha())))
+                    shares = (0.0, 0.0005, 0.002, 0.01, 0.04)
+                    m = max(1, int(n * draw.choice(shares + (0.08, 0.12, 0.2) if name and r.isalpha() else shares)))
+                    x.append(ranking_features(bad, m, w, n, name))
+                    # a name that differs by letters only is another name where both are about as frequent
+                    y.append(int(not (name and r.isalpha()) or n + 1 >= NAME_RATIO * (m + 1)))
     for group in by_fold.values():
         for a, n in group[:40]:
             for b, m in draw.sample(group, min(6, len(group))):
                 name = b[0].isupper() and b.lower() not in lower
                 if a != b:
-                    x.append(ranking_features(a, n, b, m, name))
-                    y.append(0)
+                    features = ranking_features(a, n, b, m, name)
+                    # frequent words hold misreadings too: no real pair is what known confusions explain and the other form outnumbers
+                    if features[0] > 1.0 or features[1] or features[2] < NAME_RATIO:
+                        x.append(features)
+                        y.append(0)
     return boosting.fit(x, y)
 
 
@@ -216,13 +224,8 @@ def find_fixes(counts: DataFrame, ranking: list, lower: frozenset[str], least: i
             out = []
             for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 plain = w.replace("-", "").isalpha()
-                if w[0].isupper() and w.lower() not in lower:
-                    # likely a name: these are many, and are only compared by their folded form
-                    key = [fold(w)]
-                    every, some = key, key
-                else:
-                    every, some = _grams(w)
-                    every.append(fold(w))
+                every, some = _grams(w)
+                every.append(fold(w))
                 if plain and n >= least:
                     out += [(g, w, n, True, 0) for g in every]
                 out += [(g, w, n, False, len(some)) for g in some]
