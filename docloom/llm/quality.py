@@ -3,7 +3,7 @@
 Every line is turned into a distribution over token classes (function words, other words, numbers, codes, item marks, cell
 separators, unreadable tokens). The Jensen-Shannon divergence to the prose profile of the text's language and to the
 structural profiles of lists, tables and junk gives the line's form; the text has the form that most of its characters take.
-Prose profiles are averaged over a bounded sample of running text (``SAMPLE`` rows); the other profiles are parameters.
+Prose profiles are averaged over all running text; the other profiles are parameters.
 
 A null text gives no row, a blank one is junk. Repeated rows give one row for each key and text. Ties go to prose, then
 list, table, junk. Whole texts are read, however long; other columns are ignored.
@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 1000
 KINDS = ("prose", "list", "table", "junk")
 CLASSES = ("function", "word", "number", "code", "mark", "cell", "bad")
 
@@ -285,14 +284,31 @@ def analyse(text: str, profiles: dict[str, tuple[float, ...]]) -> tuple:
     return (*stats, to_prose, kind)
 
 
-def fit_profiles(running: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[str, tuple[float, ...]]:
-    """Prose profile of each language from at most ``sample`` texts of running prose."""
+#: Token weights are multiples of 1 / WHOLE, so their sums don't depend on the order of rows.
+WHOLE = 24
+
+
+def fit_profiles(running: DataFrame, text: str = "text") -> dict[str, tuple[float, ...]]:
+    """Prose profile of each language from all texts of running prose, summed in the workers; a few rows come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list[float]] = {}
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                lang = language(t, [w.lower() for w in WORD.findall(t)])
+                own = sums.setdefault(lang, [0.0] * len(CLASSES))
+                for line in t.split("\n"):
+                    if line.strip():
+                        for k, x in enumerate(_classes(line, lang)):
+                            own[k] += x
+        rows = [(lang, k, round(x * WHOLE)) for lang, own in sums.items() for k, x in enumerate(own) if k not in (4, 5)]
+        columns = list(zip(*rows)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64()))], names=["lang", "place", "weight"])
+
+    found = running.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "lang string, place int, weight long").groupBy("lang", "place").agg(F.sum("weight").alias("weight"))
     sums: dict[str, list[float]] = {}
-    for (t,) in running.where(F.col(text).isNotNull()).select(text).limit(sample).collect():
-        lang = language(t, [w.lower() for w in WORD.findall(t)])
-        counts = [sum(x) for x in zip(*(_classes(ln, lang) for ln in t.split("\n") if ln.strip()))] or [0.0] * len(CLASSES)
-        counts[4] = counts[5] = 0.0
-        sums[lang] = [a + b for a, b in zip(sums.get(lang, [0.0] * len(CLASSES)), counts)]
+    for r in found.collect():
+        sums.setdefault(r.lang, [0.0] * len(CLASSES))[r.place] = r.weight / WHOLE
     return {lang: tuple((x + 0.2) / (sum(v) + 1.0) if k < 4 else x / (sum(v) + 1.0) for k, x in enumerate(v)) for lang, v in sums.items() if sum(v) >= 500}
 
 
