@@ -133,8 +133,8 @@ def fit_languages(documents: DataFrame, pairs: DataFrame, sample: int = SAMPLE)
     """Log probabilities, languages by buckets.
 
     Fitted on at most ``sample`` labelled documents of each language; as some labels are wrong, a second time without the
-    texts that the first model gives to another language; then adapted to the wording of the pairs by self-training on at most
-    16 * ``sample`` of them, each read as query and ground truth together.
+    texts that the first model gives to another language; then adapted to the wording of the pairs by self-training on all
+    distinct ones, each read as query and ground truth together; their buckets are summed by guessed language in the workers.
     """
     labelled = documents.where(F.col("text").isNotNull()).select(F.lower("lang").alias("lang"), "text")
     rows = [r for lang in LANGUAGES for r in labelled.where(F.col("lang") == lang).limit(sample).collect()]
@@ -147,18 +147,32 @@ def fit_languages(documents: DataFrame, pairs: DataFrame, sample: int = SAMPLE)
     for k, g in counted:
         if _best(model, g, known)[0] == k:
             counts[k] += np.bincount(g, minlength=BUCKETS)
-    own = [grams(f"{r.query} {r.ground_truth}") for r in pairs.select("query", "ground_truth").where("query is not null and ground_truth is not null").limit(16 * sample).collect()]
+    own = pairs.where("query is not null and ground_truth is not null").select(F.concat_ws(" ", "query", "ground_truth").alias("text")).distinct()
     for _ in range(2):
-        model, known = _logs(counts), counts.sum(axis=1) > 0
-        more = np.zeros_like(counts)
-        for g in own:
-            k, lead = _best(model, g, known)
-            if lead > 5:
-                more[k] += np.bincount(g, minlength=BUCKETS)
-        counts = counts + more
+        counts = counts + _guessed(own, _logs(counts), counts.sum(axis=1) > 0)
     return _logs(counts)
 
 
+def _guessed(texts: DataFrame, model: np.ndarray, known: np.ndarray, lead: float = 5.0) -> np.ndarray:
+    """Bucket counts of all texts by the language that the model gives them with some lead; others count nowhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more = np.zeros(model.shape, np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                g = grams(t)
+                k, ahead = _best(model, g, known)
+                if ahead > lead:
+                    np.add.at(more[k], g, 1)
+        place = np.flatnonzero(more)
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(more.ravel()[place], pa.int64())], names=["place", "n"])
+
+    found = texts.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    more = np.zeros(model.size)
+    more[found["place"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
+    return more.reshape(model.shape)
+
+
 def _best(model: np.ndarray, g: np.ndarray, known: np.ndarray) -> tuple[int, float]:
     """Language of a text, given by its buckets, and its lead over the next."""
     score = np.where(known, model[:, g].sum(axis=1), -np.inf)
