@@ -68,5 +68,10 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(docs)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_repaired, p3_found, p3_pieces, p5_found, p5_statistics, p6_found, p6_touched_documents, p7_mixture, p7_shares, p8_found)}
+def p8_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Units of every text in documents, whatever its source."""
+    return sentences.sentence_units(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_repaired, p3_found, p3_pieces, p5_found, p5_statistics, p6_found, p6_touched_documents, p7_mixture, p7_shares, p8_found, p8_units)}
 SQL: dict[str, str] = {}
