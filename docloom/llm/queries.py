@@ -64,8 +64,9 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where(F.col("source").isin("manual", "report", "notice", "standards"))
-    return sentences.sentence_units(docs)
+    docs = table(spark, folder, "documents")
+    asked = docs.where(F.col("source").isin("manual", "report", "notice", "standards"))
+    return sentences.sentence_units(asked, known=sentences.fit_statistics(docs))
 
 
 def p8_units(spark: SparkSession, folder: str) -> DataFrame:

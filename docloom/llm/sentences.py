@@ -1,20 +1,30 @@
 """Sentence units in many languages by a semi-Markov dynamic programme over whole spans.
 
-Candidates are end marks (and, in Thai, blanks between two Thai letters). The programme picks, for each paragraph, the set
-of spans with the highest total score; a span is scored by its closing word, the opening word of what follows, its length
-and whether its quotations and brackets are balanced.
+Every mark that could end a sentence is a candidate (in Thai also a blank between two Thai letters); none is ruled out
+beforehand. For each paragraph the programme picks the set of spans with the highest total score. A span is scored by
 
-Null or blank texts give no rows; repeated rows give repeated units; other columns of the input are ignored.
+* its closing word together with the opening word of what follows (JOINT), moved by what the corpus says of both words,
+* its length in code points under a log-normal law fitted on the corpus,
+* its quotations and brackets: each pair that one of its ends cuts, and a quotation that it ends with but did not open with.
+
+The search is exact; it starts anew only at marks that provably end a span in every best solution (``_certain``).
+
+Null or blank texts give no rows; repeated rows give repeated units; other columns of the input are ignored. Word
+statistics cover all texts; words under the relative frequency ``FLOOR`` have none, so at most 1 / FLOOR go to the workers.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 # Abbreviations that never close a sentence, by the word before the full stop, in lower case.
 NEVER_FINAL = frozenset(
@@ -40,14 +50,10 @@ NEXT_WORD = re.compile(r"[^\W\d_]+")
 THAI_BREAK = re.compile(r"(?<=[฀-๿])[ \t 　]+(?=[฀-๿])")
 HAS_THAI = re.compile(r"[฀-๿]")
 DEVANAGARI = re.compile(r"[ऀ-ॿ]")
-
-# Weights of the score.
-CERTAIN = 4.0
-DROP = -3.0
-UNBALANCED = -8.0
-FOREIGN_QUOTE = -8.0
-SHORT = -4.0
-
+JOINED = re.compile(r"[^\W\d_]{3}[.!?]([^\W\d_][^\s]*)$")
+BLANKLESS = re.compile(r"[฀-๿぀-ヿ一-鿿]")
+#: Marks that end a sentence wherever they stand before a blank; pieces between them show how long sentences are.
+STRONG_END = re.compile(r"(?<=[.!?])\s+(?=[A-ZÄÖÜÁÉÍÓÚÑ¿¡])|(?<=[。！？।])|(?<=[฀-๿])\s+(?=[฀-๿])")
 
 def _pairs(text: str) -> list[tuple[int, int]]:
     """Matched quotations and brackets as (first, last) positions; what stays open is ignored."""
@@ -72,18 +78,55 @@ def _pairs(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def _local(text: str, start: int, stop: int, after: int, danda: bool) -> float:
-    """Score of ending a span at a mark text[start:stop] with closers up to ``after``, without regard to the span."""
-    mark = text[start:stop]
+
+# Scores of a closing class with an opening class, in nats. A closing class tells what stands before the mark, an opening
+# class what stands after it; OTHERWISE holds for the opening classes that a row does not name.
+OTHERWISE = "*"
+JOINT = {
+    "strong": {"particle": -20.0, OTHERWISE: 9.0},
+    "shout": {"lower": -9.0, "glued lower": -9.0, "glued": -9.0, OTHERWISE: 8.0},
+    "ellipsis": {OTHERWISE: -20.0},
+    "word": {"lower": -9.0, "glued script": -9.0, "glued lower": -9.0, "glued": -9.0, "glued quote": 1.0, "glued upper": 4.4, "upper": 4.4, OTHERWISE: 4.0},
+    "abbreviation": {OTHERWISE: -9.0},
+    "before number": {"lower": -9.0, "glued script": -9.0, "digit": -9.0, "glued lower": -9.0, "glued": -9.0, OTHERWISE: 4.0},
+    "either": {"lower": -9.0, "glued script": -9.0, "digit": -1.0, "glued lower": -9.0, "glued": -9.0, OTHERWISE: 3.0},
+    "initial": {OTHERWISE: -9.0},
+    "dotted": {"lower": -9.0, "glued script": -9.0, "glued lower": -9.0, "glued": -9.0, "glued quote": 0.0, OTHERWISE: -1.5},
+    "ordinal": {OTHERWISE: -9.0},
+    "short before Devanagari": {OTHERWISE: -9.0},
+    "blank": {OTHERWISE: 9.0},
+}
+CUT_PAIR = -7.0  # for each of the two spans that share a pair of quotes or brackets
+FOREIGN_QUOTE = -9.0  # ends with a quotation that it did not open with
+LENGTH_WEIGHT = 0.15
+LENGTH_LEAST = -4.5
+FLOOR = 2e-6
+LEAST = 3
+
+
+class Statistics(NamedTuple):
+    """Of the corpus: mean and spread of the log of the length by script, and what words say of a boundary beside them."""
+
+    lengths: dict[str, tuple[float, float]]
+    closing: dict[str, float]
+    opening: dict[str, float]
+
+
+PRIOR = Statistics({"spaced": (4.3, 0.65), "blankless": (3.4, 0.65)}, {}, {})
+
+
+def _script(text: str) -> str:
+    return "blankless" if BLANKLESS.search(text) else "spaced"
+
+
+def _length_score(size: int, law: tuple[float, float]) -> float:
+    z = (math.log(max(1, size)) - law[0]) / law[1]
+    return max(LENGTH_LEAST, -LENGTH_WEIGHT * z * z)
+
+
+def _opening(text: str, after: int) -> tuple[str, str, int]:
+    """(opening class, opening word, where it starts) of what follows a mark and its closers."""
     size = len(text)
-    if after >= size:
-        return CERTAIN
-    if "…" in mark or mark.count(".") > 1 and not ("!" in mark or "?" in mark):
-        return -9.0
-    if any(c in "。！？।" for c in mark):
-        if after > stop and text[after] == "と":
-            return -9.0
-        return CERTAIN
     nxt = after
     while nxt < size and text[nxt].isspace():
         nxt += 1
@@ -99,54 +142,80 @@ def _local(text: str, start: int, stop: int, after: int, danda: bool) -> float:
     word = NEXT_WORD.match(text, k)
     opening = word.group() if word else ""
     lower = first.islower() and opening == opening.lower()
+    if not blank and c == "と":
+        return "particle", c, nxt
+    if not blank:
+        kind = "glued lower" if lower else "glued upper" if first.isupper() and c == first else "glued quote" if c in "“„«\"¿¡" and c else "glued script" if not first.isascii() else "glued"
+    else:
+        kind = "lower" if lower else "upper" if first.isupper() else "digit" if first.isdigit() else "Devanagari" if DEVANAGARI.match(first) else "other"
+    return kind, opening, nxt
+
+
+def _closing(text: str, start: int, stop: int, after: int, opening: str, danda: bool) -> tuple[str, str]:
+    """(closing class, closing word) before a mark text[start:stop] with closers up to ``after``."""
+    mark = text[start:stop]
+    if "…" in mark or mark.count(".") > 1 and not ("!" in mark or "?" in mark):
+        return "ellipsis", ""
+    if any(c in "。！？।" for c in mark):
+        return "strong", ""
     if "!" in mark or "?" in mark:
-        if lower:
-            return -9.0
-        if not blank and not (first.isupper() or c in "¿¡“„«\"" or not first.isascii()):
-            return -9.0
-        return CERTAIN
+        return "shout", ""
     before = LAST_WORD.search(text, max(0, start - 40), start)
-    closing = before.group().lower() if before else ""
-    if not blank:
-        # a missing blank joins nothing: lower case, digit or quote before, a capital after
+    closing = before.group() if before else ""
+    joined = JOINED.search(closing)  # the word before may lack its blank
+    closing = (joined[1] if joined else closing).lower()
+    if closing in NEVER_FINAL:
+        return "abbreviation", closing
+    if opening.startswith("glued"):
         previous = text[after - 1] if after > stop else (text[start - 1] if start else "")
-        if first.isupper() and c == first and (previous.islower() or previous.isdigit() or previous in CLOSERS or previous == "%") and len(closing) > 1 and "." not in closing and closing not in NEVER_FINAL:
-            return CERTAIN
-        if c in "“„«\"¿¡" and closing not in NEVER_FINAL and len(closing) > 1:
-            return 1.0
-        return -9.0
-    if lower:
-        return -9.0
-    if DEVANAGARI.match(first) and (danda or len(closing) <= 3):
-        return -9.0
-    score = 3.0
-    if closing in NEVER_FINAL or len(closing) == 1 and closing.isalpha() or closing in BEFORE_NUMBER and first.isdigit():
-        return -9.0
-    if "." in closing and closing not in MAYBE_FINAL and not closing[-1].isdigit() and len(closing) <= 6:
-        score -= 4.0
+        ends = previous.islower() or previous.isdigit() or previous in CLOSERS or previous == "%"
+        # a missing blank joins nothing: an ordinary word before, a capital or a quotation after
+        return ("word" if len(closing) > 1 and (opening == "glued quote" or ends and "." not in closing) else "initial"), closing
+    if len(closing) == 1 and closing.isalpha():
+        return "initial", closing
+    if opening == "Devanagari" and (danda or len(closing) <= 3):
+        return "short before Devanagari", closing
+    if closing in BEFORE_NUMBER:
+        return "before number", closing
     if closing in MAYBE_FINAL:
-        score -= 1.0
-        if first.isdigit():
-            score -= 3.0
-    if closing.isdigit() and len(closing) <= 2:
-        lead = LAST_WORD.search(text, 0, max(0, start - len(closing) - 1)) if start > len(closing) else None
+        return "either", closing
+    if "." in closing and not closing[-1].isdigit() and len(closing) <= 6:
+        return "dotted", closing
+    if closing.isdigit() and len(closing) <= 2 and start > len(closing):
+        lead = LAST_WORD.search(text, max(0, start - 40), start - len(closing) - 1)
         if lead and lead.group().lower() in ORDINAL_LEAD:
-            return -9.0
-    return score
+            return "ordinal", closing
+    return "word", closing
+
 
+def _boundary(text: str, start: int, stop: int, after: int, danda: bool, known: Statistics) -> float:
+    """Joint score of the closing word before a mark and the opening word after it."""
+    opening, word, _ = _opening(text, after)
+    closing, last = _closing(text, start, stop, after, opening, danda)
+    row = JOINT[closing]
+    score = row.get(opening, row[OTHERWISE])
+    if last and closing not in ("abbreviation", "initial"):
+        score += known.closing.get(last, 0.0)
+    return score + known.opening.get(word, 0.0)
 
-def _paragraph(text: str) -> list[tuple[int, int]]:
-    """Spans (first, past the last) of one paragraph without outer blanks."""
+
+class _End(NamedTuple):
+    at: int  # past the end of the span
+    score: float
+    opened: int  # place of the opener of the quotation that ends here, or -1
+    cut: int  # pairs that the boundary cuts
+    nxt: int  # where the next span starts
+
+
+def _candidates(text: str, known: Statistics) -> list[_End]:
     size = len(text)
-    marks = [(m.start(), m.end()) for m in MARK.finditer(text)]
-    thai = HAS_THAI.search(text) is not None
-    if not marks and not thai:
-        return [(0, size)]
     pairs = _pairs(text)
     opener = {b: a for a, b in pairs}
+    lefts, rights = sorted(a for a, _ in pairs), sorted(b for _, b in pairs)
     danda = "।" in text
-    ends: list[tuple[int, float, int]] = []  # position past the end, score, position of the opener of a closing quotation or -1
-    for start, stop in marks:
+    places: list[tuple[int, float, int]] = []
+    for m in MARK.finditer(text):
+        start, stop = m.span()
         after, opened = stop, -1
         while after < size:
             c = text[after]
@@ -154,55 +223,74 @@ def _paragraph(text: str) -> list[tuple[int, int]]:
                 if c in "”»“\"」』›":
                     opened = opener[after]
                 after += 1
-            elif c in "   \n" and after + 1 < size and after + 1 in opener and opener[after + 1] < start and text[after + 1] in "»":
+            elif c.isspace() and after + 1 < size and text[after + 1] == "»" and after + 1 in opener and opener[after + 1] < start:
                 opened = opener[after + 1]
                 after += 2
             else:
                 break
-        score = _local(text, start, stop, after, danda)
-        if score > DROP:
-            ends.append((after, score, opened))
-    if thai:
-        ends += [(m.start(), CERTAIN, -1) for m in THAI_BREAK.finditer(text)]
-        ends.sort()
-    if pairs:
-        ends = [e for e in ends if not any(a < e[0] <= b for a, b in pairs)]
-    if not ends or ends[-1][0] < size:
-        ends.append((size, CERTAIN, -1))
-    # Semi-Markov programme; a certain end that closes no quotation is a fixed point, so the search restarts there.
+        if after < size:
+            places.append((after, _boundary(text, start, stop, after, danda, known), opened))
+    if HAS_THAI.search(text):
+        places += [(m.start(), JOINT["blank"][OTHERWISE], -1) for m in THAI_BREAK.finditer(text)]
+    places.sort()
+    out = []
+    for at, score, opened in [*places, (size, 0.0, -1)]:
+        nxt = at
+        while nxt < size and text[nxt].isspace():
+            nxt += 1
+        cut = bisect_left(lefts, at) - bisect_left(rights, at) if at < size else 0
+        out.append(_End(at, score, opened, cut, nxt))
+    return out
+
+
+def _certain(ends: list[_End], j: int, before: int, law: tuple[float, float]) -> bool:
+    """Whether cutting at ends[j] raises the score of every solution that does not.
+
+    It cuts no pair and ends no quotation. Cutting a span in two changes its length score by no less than the score of the
+    parts that are shorter than the mean, and these are at least as long as the stretches to the nearest candidates.
+    """
+    e = ends[j]
+    if e.cut or e.opened >= 0:
+        return False
+    loss = 0.0
+    for size in (e.at - before, ends[j + 1].at - e.nxt):
+        if math.log(max(1, size)) < law[0]:
+            loss += _length_score(size, law)
+    return e.score + loss > 0
+
+
+def _paragraph(text: str, known: Statistics = PRIOR) -> list[tuple[int, int]]:
+    """Spans (first, past the last) of one paragraph without outer blanks: the segmentation of the highest score."""
+    ends = _candidates(text, known)
+    if len(ends) == 1:
+        return [(0, len(text))]
+    law = known.lengths.get(_script(text), PRIOR.lengths["spaced"])
     best: list[tuple[float, int]] = [(0.0, -1)]
-    firsts = [0]
+    firsts, cuts = [0], [0]
     low = 0
-    for j, (end, score, opened) in enumerate(ends, 1):
+    for j, e in enumerate(ends, 1):
         top = (float("-inf"), -1)
         for i in range(low, j):
-            first = firsts[i]
-            value = best[i][0] + score
-            if opened >= 0 and opened != first:
+            value = best[i][0] + e.score + _length_score(e.at - firsts[i], law) + CUT_PAIR * (cuts[i] + e.cut)
+            if e.opened >= 0 and e.opened != firsts[i]:
                 value += FOREIGN_QUOTE
-            length = end - first
-            if length <= 3 and text[first:end].rstrip(".").isascii() and text[first].isalnum():
-                value += SHORT
-            value -= 0.002 * abs(length - 90) / 90
             if value > top[0]:
                 top = (value, i)
         best.append(top)
-        nxt = end
-        while nxt < size and text[nxt].isspace():
-            nxt += 1
-        firsts.append(nxt)
-        if score >= CERTAIN and opened < 0 and end - firsts[j - 1] > 3:
+        firsts.append(e.nxt)
+        cuts.append(e.cut)
+        if j < len(ends) and _certain(ends, j - 1, firsts[j - 1], law):
             low = j
     spans: list[tuple[int, int]] = []
     j = len(ends)
     while j > 0:
         i = best[j][1]
-        spans.append((firsts[i], ends[j - 1][0]))
+        spans.append((firsts[i], ends[j - 1].at))
         j = i
     return spans[::-1]
 
 
-def spans(text: str | None) -> list[tuple[int, int]]:
+def spans(text: str | None, known: Statistics = PRIOR) -> list[tuple[int, int]]:
     """(start, length) of each unit in code points, in reading order."""
     if not text:
         return []
@@ -214,7 +302,7 @@ def spans(text: str | None) -> list[tuple[int, int]]:
         body = part.strip()
         if body:
             base = at + len(part) - len(part.lstrip())
-            for a, b in _paragraph(body):
+            for a, b in _paragraph(body, known):
                 piece = body[a:b]
                 cut = len(piece) - len(piece.lstrip())
                 length = len(piece.strip())
@@ -224,16 +312,101 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per unit: key, start_pos, n_chars. No shuffle: each document is cut where it is read."""
+# ---- statistics of the corpus ---------------------------------------------------------------------------------------
+
+FINAL_MARK = re.compile(r"([^\s(\[«“„\"「]+?)\.[\"'”»)]*$")
+INNER_DOT = re.compile(r"([^\s(\[«“„\"「]+)\.\s+([^\s])")
+AFTER_MARK = re.compile(r"[!?]\s+([^\W\d_]+)")
+INNER_WORD = re.compile(r"(?<=[^\W\d_] )[^\W\d_]+(?![.\w])")
+
+
+def _count(texts: Iterator[str], emit) -> None:
+    """Tells ``emit`` (kind, word) of what is sure: ends and starts of paragraphs, and marks before a lower-case word."""
+    for text in texts:
+        for part in PARAGRAPH.split(text):
+            body = part.strip()
+            if not body:
+                continue
+            final = FINAL_MARK.search(body[-60:])
+            if final:
+                emit("ends", final[1].lower())
+                start = NEXT_WORD.match(body)
+                if start:
+                    emit("opens", start[0])
+            for m in INNER_DOT.finditer(body):
+                if m[2].islower() or m[2] in ",;":
+                    emit("goes on", m[1].lower())
+            for m in AFTER_MARK.finditer(body):
+                emit("opens", m[1])
+            for w in INNER_WORD.findall(body):
+                emit("inside", w)
+
+
+def fit_statistics(docs: DataFrame, text: str = "text", floor: float = FLOOR) -> Statistics:
+    """Word and length statistics over all texts; counts are summed in the workers, frequent words come to the driver."""
+    schema = "kind string, word string, n long, total double, squares double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], int] = {}
+        sizes: dict[str, list[float]] = {}
+
+        def emit(kind: str, word: str) -> None:
+            counts[kind, word] = counts.get((kind, word), 0) + 1
+
+        def flush() -> pa.RecordBatch:
+            rows = [(k, w, n, 0.0, 0.0) for (k, w), n in counts.items()] + [("length", s, int(v[0]), v[1], v[2]) for s, v in sizes.items()]
+            counts.clear()
+            sizes.clear()
+            columns = list(zip(*rows)) if rows else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64()))], names=[x.split()[0] for x in schema.split(", ")])
+
+        for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            _count(iter(texts), emit)
+            for t in texts:
+                for part in PARAGRAPH.split(t):
+                    for piece in STRONG_END.split(part.strip()):
+                        n = len(piece.strip())
+                        if n > 8 and piece is not part:
+                            v = sizes.setdefault(_script(piece), [0.0, 0.0, 0.0])
+                            x = math.log(n)
+                            v[0], v[1], v[2] = v[0] + 1, v[1] + round(x, 3), v[2] + round(x * x, 3)
+            if len(counts) > 300_000:
+                yield flush()
+        yield flush()
+
+    found = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(run, schema).groupBy("kind", "word").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")])
+    totals = F.sum("n").over(Window.partitionBy("kind"))
+    kept = found.withColumn("whole", totals).where((F.col("kind") == "length") | (F.col("n") >= F.greatest(F.lit(LEAST), floor * F.col("whole"))))
+    lengths, counts = dict(PRIOR.lengths), {}
+    for r in kept.collect():
+        if r.kind == "length":
+            mean = r.total / r.n
+            lengths[r.word] = (round(mean, 2), round(max(0.4, math.sqrt(max(0.0, r.squares / r.n - mean * mean))), 2))
+        else:
+            counts.setdefault(r.kind, {})[r.word] = r.n
+    ends, goes = counts.get("ends", {}), counts.get("goes on", {})
+    opens, inside = counts.get("opens", {}), counts.get("inside", {})
+    # a word that is often met without a full stop is no abbreviation, whatever stands in lower case after it
+    closing = {w: min(0.5, max(-8.0, 2 * math.log((ends.get(w, 0) + inside.get(w, 0) + 1) / (goes.get(w, 0) + 1)))) for w in ends.keys() | goes.keys()}
+    opening = {w: min(1.0, max(-1.0, 0.25 * math.log((opens.get(w, 0) + 1) / (inside.get(w, 0) + 1)))) for w in opens.keys() | inside.keys() if not w.islower()}
+    return Statistics(lengths, closing, opening)
+
+
+def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text", known: Statistics | None = None) -> DataFrame:
+    """One row per unit: key, start_pos, n_chars. Without ``known`` the statistics are those of ``docs``.
+
+    The cutting shuffles nothing: each document is cut where it is read.
+    """
     schema = docs.select(key, F.lit(0).cast("long").alias("start_pos"), F.lit(0).cast("long").alias("n_chars")).schema
+    sent = docs.sparkSession.sparkContext.broadcast(known or fit_statistics(docs, text))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = None
+        kinds, statistics = None, sent.value
         for batch in batches:
             ids, starts, sizes = [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for a, n in spans(t):
+                for a, n in spans(t, statistics):
                     ids.append(k)
                     starts.append(a)
                     sizes.append(n)
