@@ -48,7 +48,8 @@ def p5_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaked_windows(table(spark, folder, "documents"), table(spark, folder, "qa_bank")).select("doc_id", "question_id").distinct()
+    near = leaks.leaked_windows(table(spark, folder, "documents"), table(spark, folder, "qa_bank"))
+    return near.where("edits = 0").select("doc_id", "question_id").distinct()
 
 
 def p6_touched_documents(spark: SparkSession, folder: str) -> DataFrame:
