@@ -20,7 +20,12 @@ def p4_inferred(spark: SparkSession, folder: str) -> DataFrame:
     return converted.where("unit_source = 'inferred'").select("cell_id", "raw_value", "unit", "true_category", "base_value", "posterior", "uncertain").distinct()
 
 
-QUERIES: dict = {f.__name__: f for f in (p4_found, p4_inferred)}
+def p4_hidden(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the mixtures tell the unit of every cell that has one written, from its value alone."""
+    return units.hidden_units(table(spark, folder, "table_cells"), table(spark, folder, "table_metadata"))
+
+
+QUERIES: dict = {f.__name__: f for f in (p4_found, p4_inferred, p4_hidden)}
 SQL: dict[str, str] = {}
 for _part in (texts, retrieval, evaluation, structure):
     QUERIES |= _part.query.queries

@@ -41,3 +41,23 @@ def test_missing_units_follow_the_mixture(spark):
 
 def test_empty_table(spark):
     assert U.convert_units(spark.createDataFrame([], CELLS)).count() == 0
+
+
+def test_capitals_leave_it_to_the_mixture(spark):
+    rows = [(f"k{i}", "r", "t", "x", "Power", f"{10 + i} MW", None, None) for i in range(30)] + [(f"m{i}", "r", "t", "x", "Drain", f"{200 + i} mW", None, None) for i in range(30)]
+    rows += [("a", "r", "t", "x", "Power", "12 mw", None, None), ("b", "r", "t", "x", "Drain", "210 Mw", None, None), ("c", "r", "t", "x", "Power", "15 mW", None, None), ("d", "r", "t", "x", "Power", "3 WATT", None, None), ("e", "r", "t", "x", "Alone", "3 mhz", None, None)]
+    got = {r.cell_id: r for r in U.convert_units(spark.createDataFrame(rows, CELLS)).where("length(cell_id) = 1").collect()}
+    assert (got["a"].unit, got["b"].unit, got["d"].unit) == ("MW", "mW", "W") and U.unit_of("mw") == "mW|MW" and U.unit_of("M") == "m"
+    # as written, capitals included; but the value makes the writing doubtful
+    assert got["c"].unit == "mW" and got["c"].uncertain and not got["a"].uncertain
+    assert got["e"].unit in ("Hz", "mHz", "MHz") and got["e"].true_category == "freq"
+
+
+def test_temperatures_by_offset(spark):
+    rows = [(f"k{i}", "r", "t", "x", "Temp", f"{10 + i} °C", None, None) for i in range(30)] + [(f"f{i}", "r", "t", "x", "Temp", f"{285 + i} K", None, None) for i in range(30)]
+    rows += [("a", "r", "t", "x", "Temp", "300", None, None), ("b", "r", "t", "x", "Temp", "20", None, None), ("z", "r", "t", "x", "Temp", "0 K", None, None)]
+    cells = spark.createDataFrame(rows, CELLS)
+    got = {r.cell_id: r.unit for r in U.convert_units(cells).where("length(cell_id) = 1").collect()}
+    assert got == {"a": "K", "b": "C", "z": "K"}
+    hidden = {r.unit: r for r in U.hidden_units(cells).collect()}
+    assert hidden["C"].n_agree == hidden["C"].n == 30 and hidden["K"].n == 31 and hidden["K"].n_agree >= 30
