@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W_]+")
-#: Item windows sent to the workers at a time; with 24 repetitions about 0.5 kB each.
+#: Item windows sent to the workers at a time; with 16 repetitions about 0.5 kB each.
 BLOCK = 100_000
 STRETCH = 2  # steps of the walk for each word
-DRAWS = 2  # samples of places drawn from each walk
+DRAWS = 3  # samples of places drawn from each walk
 FILTER_BITS = 20
-TOKENS = 400_000  # of documents embedded at a time
+TOKENS = 30_000  # of documents embedded at a time, so that the arrays stay in the cache
 
 
 def words(text: str | None) -> list[str]:
@@ -74,20 +74,27 @@ def window_keys(tokens: np.ndarray, width: int, plan: list[Walk]) -> list[np.nda
     n = len(tokens) - width + 1
     if n <= 0:
         return [np.empty(0, np.uint64) for _, samples in plan for _ in samples]
-    limit = np.arange(n) + width - 1
+    first = np.arange(n, dtype=np.int32)
+    limit = first + np.int32(width - 1)
     keys: list[np.ndarray] = []
     for walk, samples in plan:
-        steps = tokens * np.uint64(walk)
-        steps ^= steps >> np.uint64(32)
-        at = np.arange(n)
+        mixed = tokens * np.uint64(walk)
+        mixed ^= mixed >> np.uint64(32)
+        steps = mixed.astype(np.uint32)  # one bit for each step
+        at = first.copy()
         own = [np.full(n, len(keys) + k, np.uint64) for k in range(1, len(samples) + 1)]
-        for step in range(max(map(max, samples)) + 1):
+        last = max(map(max, samples))
+        for step in range(last + 1):
             for key, places in zip(own, samples):
                 if step in places:
                     key *= np.uint64(0x9E3779B97F4A7C15)
-                    key += tokens[at] * np.uint64(places[step])
-            at += ((steps[at] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
-            np.minimum(at, limit, out=at)
+                    key += tokens.take(at) * np.uint64(places[step])
+            if step < last:
+                bit = steps.take(at)
+                bit >>= np.uint32(step % 32)
+                bit &= np.uint32(1)
+                at += bit.view(np.int32)
+                np.minimum(at, limit, out=at)
         for key in own:
             key ^= key >> np.uint64(29)
         keys += own
@@ -141,6 +148,20 @@ def edit_distance(a: list, b: list, most: int) -> int:
     return row[-1]
 
 
+def distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """``edit_distance`` of the rows of two arrays of hashed words of one width."""
+    n, width = a.shape
+    far = np.int8(most + 1)
+    row = np.minimum(np.arange(width + 1), far).astype(np.int8)[:, None].repeat(n, axis=1)
+    for i in range(1, width + 1):
+        fresh = np.full((width + 1, n), far, np.int8)
+        fresh[0] = min(i, far)
+        for j in range(max(1, i - most), min(width, i + most) + 1):
+            np.minimum(row[j - 1] + (a[:, i - 1] != b[:, j - 1]), np.minimum(row[j], fresh[j - 1]) + np.int8(1), out=fresh[j], casting="unsafe")
+        row = np.minimum(fresh, far)
+    return row[width]
+
+
 def _hashed(texts: list[list[str]], hashes: _Hashes) -> np.ndarray:
     flat = [w for own in texts for w in own]
     return np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
@@ -188,25 +209,24 @@ def _search(key: str, item: str, index: _Index, owners: list[list], width: int,
         pairs = index.candidates(tokens, left[: len(tokens) - width + 1] >= width, width, plan)
         at, window = np.divmod(pairs, max(1, len(index.windows)))
         best: dict[tuple, int] = {}
-        # a window of the same width with no more than max_edits other words; only the rest can need words put in or left out
-        apart = (tokens[at[:, None] + np.arange(width)] != index.tokens[window]).sum(axis=1) if len(at) else ()
-        memo: dict[tuple, int] = {}
-        doc = np.searchsorted(ends, at, side="right")
-        for p, d, w, n in zip(at.tolist(), doc.tolist(), window.tolist(), list(apart)):
-            start = p - int(ends[d] - sizes[d])
-            given = texts[d][start : start + width]
-            if max_edits and n:
-                mark = (tuple(given), w)
-                n = memo.get(mark)
-                if n is None:
-                    n = memo[mark] = edit_distance(given, index.windows[w], max_edits)
-            elif given != index.windows[w]:
-                n = max_edits + 1
-            if n <= max_edits:
-                for owner in owners[w]:
-                    pair = (ids[d], owner)
-                    if n < best.get(pair, max_edits + 1):
-                        best[pair] = int(n)
+        if not len(at):
+            return best
+        given, wanted = tokens[at[:, None] + np.arange(width)], index.tokens[window]
+        apart = (given != wanted).sum(axis=1)
+        # as many other words as edits allow: that is the distance; only the rest can need words put in or left out
+        rest = np.flatnonzero(apart > max_edits) if max_edits > 1 else np.empty(0, np.int64)
+        apart[rest] = distances(given[rest], wanted[rest], max_edits)
+        near = np.flatnonzero(apart <= max_edits)
+        doc = np.searchsorted(ends, at[near], side="right")
+        for p, d, w, n in sorted(zip(at[near].tolist(), doc.tolist(), window[near].tolist(), apart[near].tolist()), key=lambda x: x[3]):
+            for owner in owners[w]:
+                pair = (ids[d], owner)
+                if n < best.get(pair, max_edits + 1):
+                    # the words themselves decide, not their hashes
+                    start = p - int(ends[d] - sizes[d])
+                    exact = edit_distance(texts[d][start : start + width], index.windows[w], max_edits)
+                    if exact <= max_edits:
+                        best[pair] = min(exact, best.get(pair, exact))
         return best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,12 +274,12 @@ def item_windows(items: DataFrame, item_key: str, item_texts: tuple[str, ...], w
 def leaked_windows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "question_id", item_texts: tuple[str, ...] = ("question", "evidence"), width: int = 12, max_edits: int = 2, recall: float = 0.95, sampled: int | None = None, block: int = BLOCK) -> DataFrame:
     """Distinct (key, item_key, edits): the item has a window within ``max_edits`` word edits of one of the document.
 
-    ``sampled`` places of the embedding make a key, by default 6, without edits 12. ``edits`` is the smallest distance found;
+    ``sampled`` places of the embedding make a key, by default 5, without edits 12. ``edits`` is the smallest distance found;
     equal windows (edits 0) are all found, others with at least the wanted recall. Two windows differ by two edits where a
     word is put in or left out, as both keep their width.
     """
     spark = docs.sparkSession
-    sampled = sampled or (6 if max_edits else 12)
+    sampled = sampled or (5 if max_edits else 12)
     plan = _plan(width, sampled, bands(width, max_edits, recall, sampled))
     asked = item_windows(items, item_key, item_texts, width)
     blocks = max(1, math.ceil(asked.count() / block))
