@@ -1,9 +1,13 @@
 """Per-document text statistics and the form of a text: prose, list, table or junk.
 
-Every line is turned into a distribution over token classes (function words, other words, numbers, codes, item marks, cell
-separators, unreadable tokens). The Jensen-Shannon divergence to the prose profile of the text's language and to the
-structural profiles of lists, tables and junk gives the line's form; the text has the form that most of its characters take.
-Prose profiles are averaged over all running text; the other profiles are parameters.
+Every line is turned into a distribution over token classes (function words, other words, numbers, codes, item evidence, cell
+separators, unreadable tokens). Item evidence is an item mark, or a label with its value, a short entry or a piece of an
+itemised run where most of the text is made of such; repeated matter and page navigation count as unreadable. The line's form
+is the profile with the least Jensen-Shannon divergence: the prose profile of the text's language or the structural profile
+of lists, tables or junk. The text has the form that most of its characters take; nothing overrides the nearest profiles.
+
+Prose profiles are averaged over all running text. Structural profiles start from PROFILES and are fitted to all texts: each
+line goes to its nearest profile, and each profile becomes the mean of its lines, with PROFILES counting as ``PRIOR`` of them.
 
 A null text gives no row, a blank one is junk. Repeated rows give one row for each key and text. Ties go to prose, then
 list, table, junk. Whole texts are read, however long; other columns are ignored.
@@ -13,11 +17,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("prose", "list", "table", "junk")
@@ -63,13 +69,23 @@ BROKEN = re.compile(r"[\ufffd¤¶¼½¾©®¬¢Ââ€œÃ]")
 EDGE = "\"'“”„«»‘’()[]{}.,;:!?…¡¿。、，！？「」『』।"
 END_MARK = re.compile(r"[.!?…。！？।:;][\"'”’»“)」』]*\s*$")
 
-# Structural profiles over CLASSES; weights are parameters, not measurements of these data.
+# Structural profiles over CLASSES from which the fit starts.
 PROFILES = {
     "list": (0.04, 0.40, 0.06, 0.06, 0.44, 0.00, 0.00),
     "table": (0.02, 0.22, 0.18, 0.10, 0.00, 0.48, 0.00),
     "junk": (0.01, 0.10, 0.05, 0.02, 0.00, 0.00, 0.82),
 }
 DEFAULT_PROSE = (0.36, 0.58, 0.03, 0.02, 0.00, 0.00, 0.01)
+LEVELS = 12  # steps of a share in the fit
+PRIOR = 0.25  # weight of PROFILES against the lines of the fit
+
+
+class Profiles(NamedTuple):
+    prose: dict[str, tuple[float, ...]]
+    structure: tuple[tuple[float, ...], ...]  # list, table, junk
+
+
+UNFITTED = Profiles({}, tuple(PROFILES[k] for k in KINDS[1:]))
 
 
 def language(text: str, tokens: list[str]) -> str:
@@ -180,9 +196,8 @@ def divergence(p: tuple[float, ...], q: tuple[float, ...]) -> float:
     return total / 2
 
 
-@lru_cache(maxsize=100_000)
-def _form(counts: tuple[float, ...], prose: tuple[float, ...]) -> tuple[str, float]:
-    """Nearest profile of token counts and the divergence to the prose profile."""
+def _shares(counts: list[float]) -> tuple[float, ...] | None:
+    """Distribution of the evidence; item evidence and cell separators weigh about as much as the tokens of their line."""
     function, word, number, code, mark, cell, bad = counts
     plain = function + word + number + code + bad
     if mark:
@@ -190,18 +205,26 @@ def _form(counts: tuple[float, ...], prose: tuple[float, ...]) -> tuple[str, flo
     if cell:
         cell = max(cell, plain * 0.9)
     whole = plain + mark + cell
-    if not whole:
-        return "junk", 1.0
-    p = (function / whole, word / whole, number / whole, code / whole, mark / whole, cell / whole, bad / whole)
+    return (function / whole, word / whole, number / whole, code / whole, mark / whole, cell / whole, bad / whole) if whole else None
+
+
+def _nearest(p: tuple[float, ...], prose: tuple[float, ...], structure: tuple[tuple[float, ...], ...]) -> tuple[int, float]:
+    """Place in KINDS of the nearest profile and the divergence to prose."""
     to_prose = divergence(p, prose)
-    best, least = "prose", to_prose
-    for kind in ("list", "table", "junk"):
-        d = divergence(p, PROFILES[kind])
+    best, least = 0, to_prose
+    for k, profile in enumerate(structure, 1):
+        d = divergence(p, profile)
         if d < least:
-            best, least = kind, d
+            best, least = k, d
     return best, to_prose
 
 
+@lru_cache(maxsize=100_000)
+def _form(counts: tuple[float, ...], prose: tuple[float, ...], structure: tuple[tuple[float, ...], ...]) -> tuple[int, float]:
+    p = _shares(counts)
+    return (3, 1.0) if p is None else _nearest(p, prose, structure)
+
+
 def _entry(line: str, counts: list[float]) -> bool:
     """A label with its value, or a short entry with a code or number, and no sentence."""
     if LABEL.match(line) and not SENTENCE.search(line):
@@ -220,14 +243,54 @@ def _runs(text: str) -> tuple[list[str], str]:
     return best
 
 
-def analyse(text: str, profiles: dict[str, tuple[float, ...]]) -> tuple:
+def evidence(lines: list[str], text: str, lang: str, spaced: list[str]) -> list[list[float]]:
+    """Weights of CLASSES for each line, given the text around it; ``spaced`` are its tokens between blanks, in lower case."""
+    counts = [_classes(line, lang) for line in lines]
+    marked = sum(c[4] > 0 for c in counts)
+    if marked < 2:  # one marked line is an initial, a year or a page number
+        for c in counts:
+            c[4] = 0.0
+        marked = 0
+    # label-value lines, lines of an entry with its code and short lines without any sentence are items where most lines are such
+    free = [not c[4] and not c[5] and 2 * c[6] < sum(c) for c in counts]
+    single = [f and len(line) <= 90 and _entry(line, c) for f, line, c in zip(free, lines, counts)]
+    bare = [f and len(line) <= 60 and not c[0] and END_MARK.search(line) is None for f, line, c in zip(free, lines, counts)]
+    strong, weak = marked + sum(single), marked + sum(a or b for a, b in zip(single, bare))
+    entries = strong >= 4 and 2 * strong >= len(lines) or weak >= 5 and weak >= 0.8 * len(lines)
+    inside = False
+    for c, f, line, one, plain in zip(counts, free, lines, single, bare):
+        if c[4]:
+            inside = True
+        elif f and (entries and (one or plain) or inside and 8 * marked >= len(lines) and (line[:1].isspace() or line[:1].islower())):
+            c[4] = 1.0
+        else:
+            inside = False
+    # an itemised run: its pieces are items
+    pieces, _ = _runs(text)
+    distinct = len(set(pieces))
+    if len(pieces) >= 7 and distinct > 0.2 * len(pieces) and sum(map(len, pieces)) <= 45 * len(pieces) and len(SENTENCE.findall(text)) <= 1 + 0.05 * len(pieces):
+        if sum(len(line) for f, line in zip(free, lines) if f) >= sum(len(line) for c, line in zip(counts, lines) if c[5]):
+            for f, c in zip(free, counts):
+                if f:
+                    c[4] = 1.0
+    # page navigation and repeated matter say nothing
+    idle = len(spaced) >= 6 and sum(map(NAVIGATION.__contains__, spaced)) >= 0.6 * len(spaced)
+    idle = idle or len(pieces) >= 7 and distinct <= 0.2 * len(pieces)
+    idle = idle or not marked and (len(spaced) >= 20 and len(set(spaced)) <= max(4, 0.03 * len(spaced)) or len(lines) >= 7 and len(set(lines)) <= 0.2 * len(lines))
+    if idle:
+        counts = [[0.0] * 6 + [max(1.0, sum(c))] for c in counts]
+    return counts
+
+
+def analyse(text: str, profiles: Profiles = UNFITTED) -> tuple:
     """(n_words, mean_word_length, symbol_ratio, punct_line_share, common_word_share, lang, prose_divergence, kind)."""
-    tokens = [w.lower() for w in WORD.findall(text)]
+    lowered = text.lower()
+    tokens = WORD.findall(lowered)
     lang = language(text, tokens)
-    prose = profiles.get(lang, DEFAULT_PROSE)
+    prose = profiles.prose.get(lang, DEFAULT_PROSE)
     signs = SIGNS.get(lang)
     blankless = BLANKLESS.findall(text) if signs is not None else []
-    spaced = (BLANKLESS.sub(" ", text) if blankless else text).split()
+    spaced = (BLANKLESS.sub(" ", lowered) if blankless else lowered).split()
     n_words = len(blankless) + len(spaced)
     letters = len(blankless) + sum(map(len, spaced))
     symbols = len(SYMBOL.findall(text))
@@ -239,83 +302,83 @@ def analyse(text: str, profiles: dict[str, tuple[float, ...]]) -> tuple:
     if not lines:
         return (*stats, 1.0, "junk")
     whole = [0.0] * len(CLASSES)
-    weight = dict.fromkeys(KINDS, 0)
-    lists = 0
-    forms: list[tuple[str, str, list[float]]] = []
-    for line in lines:
-        counts = _classes(line, lang)
-        kind = _form(tuple(counts), prose)[0]
+    weight = [0] * len(KINDS)
+    for line, counts in zip(lines, evidence(lines, text, lang, spaced)):
+        weight[_form(tuple(counts), prose, profiles.structure)[0]] += len(line)
         whole = [a + b for a, b in zip(whole, counts)]
-        forms.append((kind, line, counts))
-        lists += kind == "list"
-    to_prose = _form(tuple(whole), prose)[1]
-    if lists < 2:  # one marked line is an initial, a year or a page number
-        forms = [("prose" if kind == "list" else kind, line, c) for kind, line, c in forms]
-        lists = 0
-    # label-value lines, lines of an entry with its code and short lines without any sentence make a list when most lines are such
-    single = [kind == "prose" and len(line) <= 90 and _entry(line, c) for kind, line, c in forms]
-    bare = [kind == "prose" and len(line) <= 60 and not c[0] and END_MARK.search(line) is None for kind, line, c in forms]
-    strong, weak = lists + sum(single), lists + sum(a or b for a, b in zip(single, bare))
-    entries = strong >= 4 and 2 * strong >= len(lines) or weak >= 5 and weak >= 0.8 * len(lines)
-    inside = False
-    for (kind, line, c), one, plain in zip(forms, single, bare):
-        if kind == "list":
-            inside = True
-        elif kind == "prose" and (entries and (one or plain) or inside and 8 * lists >= len(lines) and (line[:1].isspace() or line[:1].islower())):
-            kind = "list"
-        else:
-            inside = False
-        weight[kind] += len(line)
-    nav = sum(t.lower() in NAVIGATION for t in spaced)
-    if spaced and nav >= 0.6 * len(spaced) and len(spaced) >= 6:
-        return (*stats, to_prose, "junk")
-    pieces, _ = _runs(text)
-    if len(pieces) >= 7:
-        distinct = len(set(pieces))
-        mean = sum(map(len, pieces)) / len(pieces)
-        if distinct <= 0.2 * len(pieces):
-            return (*stats, to_prose, "junk")
-        if mean <= 45 and len(SENTENCE.findall(text)) <= 1 + 0.05 * len(pieces) and weight["prose"] >= weight["table"]:
-            weight["list"] += weight["prose"]
-            weight["prose"] = 0
-    if not lists and (len(spaced) >= 20 and len(set(spaced)) <= max(4, 0.03 * len(spaced)) or len(lines) >= 7 and len(set(lines)) <= 0.2 * len(lines)):
-        return (*stats, to_prose, "junk")
-    kind = max(KINDS, key=lambda k: weight[k])
-    return (*stats, to_prose, kind)
+    return (*stats, _form(tuple(whole), prose, profiles.structure)[1], KINDS[weight.index(max(weight))])
 
 
 #: Token weights are multiples of 1 / WHOLE, so their sums don't depend on the order of rows.
 WHOLE = 24
 
 
-def fit_profiles(running: DataFrame, text: str = "text") -> dict[str, tuple[float, ...]]:
-    """Prose profile of each language from all texts of running prose, summed in the workers; a few rows come back."""
+def fit_profiles(texts: DataFrame, running: Column, text: str = "text", rounds: int = 5) -> Profiles:
+    """Profiles of all texts, in one pass. ``running`` tells which rows are running prose.
+
+    The workers sum the token classes of running prose by language, and the characters of lines by language and by their
+    distribution in steps of 1 / LEVELS, of which there are at most some ten thousand; both sums come to the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list[float]] = {}
+        sums: Counter = Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                lang = language(t, [w.lower() for w in WORD.findall(t)])
-                own = sums.setdefault(lang, [0.0] * len(CLASSES))
-                for line in t.split("\n"):
-                    if line.strip():
-                        for k, x in enumerate(_classes(line, lang)):
-                            own[k] += x
-        rows = [(lang, k, round(x * WHOLE)) for lang, own in sums.items() for k, x in enumerate(own) if k not in (4, 5)]
-        columns = list(zip(*rows)) if rows else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64()))], names=["lang", "place", "weight"])
-
-    found = running.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "lang string, place int, weight long").groupBy("lang", "place").agg(F.sum("weight").alias("weight"))
+            for t, prose in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lowered = t.lower()
+                lang = language(t, WORD.findall(lowered))
+                lines = [ln for ln in t.split("\n") if ln.strip()]
+                spaced = (BLANKLESS.sub(" ", lowered) if lang in SIGNS else lowered).split()
+                for line, counts in zip(lines, evidence(lines, t, lang, spaced)):
+                    if prose:
+                        for k in (0, 1, 2, 3, 6):
+                            sums["prose", lang, str(k)] += round(counts[k] * WHOLE)
+                    p = _shares(counts)
+                    if p is not None:
+                        sums["line", lang, " ".join(str(round(x * LEVELS)) for x in p)] += len(line)
+            if len(sums) > 200_000:
+                yield flush(sums)
+        yield flush(sums)
+
+    def flush(sums: Counter) -> pa.RecordBatch:
+        columns = list(zip(*((*k, n) for k, n in sums.items()))) or [()] * 4
+        sums.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["what", "lang", "place", "n"])
+
+    given = texts.where(F.col(text).isNotNull()).select(text, F.coalesce(running, F.lit(False)).alias("running"))
+    found = given.mapInArrow(run, "what string, lang string, place string, n long").groupBy("what", "lang", "place").agg(F.sum("n").alias("n")).collect()
     sums: dict[str, list[float]] = {}
-    for r in found.collect():
-        sums.setdefault(r.lang, [0.0] * len(CLASSES))[r.place] = r.weight / WHOLE
-    return {lang: tuple((x + 0.2) / (sum(v) + 1.0) if k < 4 else x / (sum(v) + 1.0) for k, x in enumerate(v)) for lang, v in sums.items() if sum(v) >= 500}
+    for r in found:
+        if r.what == "prose":
+            sums.setdefault(r.lang, [0.0] * len(CLASSES))[int(r.place)] = r.n / WHOLE
+    prose = {lang: tuple((x + 0.2) / (sum(v) + 1.0) if k < 4 else x / (sum(v) + 1.0) for k, x in enumerate(v)) for lang, v in sums.items() if sum(v) >= 500}
+    lines = []
+    for r in sorted((r for r in found if r.what == "line"), key=lambda r: (r.lang, r.place)):
+        levels = [int(x) for x in r.place.split(" ")]
+        lines.append((tuple(x / sum(levels) for x in levels), prose.get(r.lang, DEFAULT_PROSE), r.n))
+    return Profiles(prose, _structure(lines, rounds))
+
+
+def _structure(lines: list[tuple[tuple[float, ...], tuple[float, ...], int]], rounds: int) -> tuple[tuple[float, ...], ...]:
+    """Means of the lines nearest to each structural profile; lines are (distribution, prose profile of the language, weight)."""
+    seeds = structure = UNFITTED.structure
+    for _ in range(rounds):
+        sums, sizes = [[0.0] * len(CLASSES) for _ in seeds], [0.0] * len(seeds)
+        for p, prose, n in lines:
+            k, _d = _nearest(p, prose, structure)
+            if k:
+                sizes[k - 1] += n
+                sums[k - 1] = [a + n * x for a, x in zip(sums[k - 1], p)]
+        fresh = tuple(tuple(PRIOR * x + (1 - PRIOR) * y / size for x, y in zip(seed, own)) if size else seed for seed, own, size in zip(seeds, sums, sizes))
+        if fresh == structure:
+            break
+        structure = fresh
+    return structure
 
 
 COLUMNS = "n_words long, mean_word_length double, symbol_ratio double, punct_line_share double, common_word_share double, lang string, prose_divergence double, kind string"
 
 
-def text_quality(texts: DataFrame, profiles: dict[str, tuple[float, ...]], key: str, text: str = "text") -> DataFrame:
+def text_quality(texts: DataFrame, profiles: Profiles, key: str, text: str = "text") -> DataFrame:
     """key and the columns of COLUMNS for each row with a text; no shuffle."""
     kind = texts.schema[key].dataType.simpleString()
 

@@ -33,7 +33,7 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    profiles = quality.fit_profiles(docs.where(F.col("source").isin("manual", "report", "notice")))
+    profiles = quality.fit_profiles(docs, F.col("source").isin("manual", "report", "notice"))
     one = quality.text_quality(docs.select(F.col("doc_id").cast("string").alias("item_key"), "text"), profiles, "item_key")
     two = quality.text_quality(table(spark, folder, "chunks").select(F.col("chunk_id").alias("item_key"), "text"), profiles, "item_key")
     return one.withColumn("table_name", F.lit("documents")).unionByName(two.withColumn("table_name", F.lit("chunks")))

@@ -49,14 +49,14 @@ def test_sentence_rows(spark):
     ],
 )
 def test_forms(text, kind):
-    assert quality.analyse(text, {})[-1] == kind
+    assert quality.analyse(text)[-1] == kind
 
 
 def test_quality_rows_and_empty_table(spark):
     df = spark.createDataFrame([("a", "It is a pump."), ("b", None), (None, "x")], "k string, text string").selectExpr("k", "text", "'z' as kind")
-    got = {r.k: r.n_words for r in quality.text_quality(df, {}, "k").collect()}
+    got = {r.k: r.n_words for r in quality.text_quality(df, quality.UNFITTED, "k").collect()}
     assert got == {"a": 4, None: 1}
-    assert quality.text_quality(df.limit(0), {}, "k").count() == 0
+    assert quality.text_quality(df.limit(0), quality.UNFITTED, "k").count() == 0
 
 
 def test_pieces_cover_the_text_with_overlap():
