@@ -221,36 +221,34 @@ def find_fixes(counts: DataFrame, ranking: list, lower: frozenset[str], least: i
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                plain = w.replace("-", "").isalpha()
-                every, some = _grams(w)
-                every.append(fold(w))
-                if plain and n >= least:
-                    out += [(g, w, n, True, 0) for g in every]
-                out += [(g, w, n, False, len(some)) for g in some]
-            columns = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int32()))], names=["gram", "word", "n", "listed", "probes"])
-
-    grams = counts.mapInArrow(lists, "gram string, word string, n long, listed boolean, probes int")
-    listed = grams.where("listed").select("gram", F.col("word").alias("printed"), F.col("n").alias("n_printed"))
-    asked = grams.where("not listed").select("gram", "word", "n", "probes")
-    pairs = asked.join(listed, "gram").where((F.col("n_printed") >= 4 * F.col("n")) & (F.col("word") != F.col("printed")) & (F.abs(F.length("word") - F.length("printed")) <= 2))
-    pairs = pairs.groupBy("word", "n", "printed", "n_printed", "probes").agg(F.count(F.lit(1)).alias("shared")).where("shared >= probes - 1")
+            rows = [(w, n, w.replace("-", "").isalpha() and n >= least, *_grams(w)) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["word", "n", "listed", "every", "some"])
+
+    words_ = counts.mapInArrow(lists, "word string, n long, listed boolean, every array<string>, some array<string>")
+    listed = words_.where("listed").select(F.col("word").alias("printed"), F.col("n").alias("n_printed"), "every", F.explode("every").alias("gram"))
+    # a misreading spoils at most one of a word's disjoint grams, so of any two one is kept: the two rarest find every candidate
+    common = listed.groupBy("gram").agg(F.count(F.lit(1)).alias("lists"))
+    probes = words_.select("word", F.explode("some").alias("gram")).join(common, "gram", "left").groupBy("word").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("lists", F.lit(0)).alias("lists"), "gram"))), 1, 2).alias("rare"))
+    asked = words_.join(probes, "word").select("word", "n", "some", F.explode("rare.gram").alias("gram"))
+    shares = F.size(F.array_intersect("some", "every")) >= F.size("some") - 1
+    near = (F.col("n_printed") >= 4 * F.col("n")) & (F.col("word") != F.col("printed")) & (F.abs(F.length("word") - F.length("printed")) <= 2)
+    pairs = asked.join(listed, "gram").where(near & shares).select("word", "n", "printed", "n_printed").distinct()
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for w, n, p, m in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 features = ranking_features(w, n, p, m, p[0].isupper() and p.lower() not in lower)
-                if features[0] <= 1.0 and features[1] == 0 and w.lower() != p.lower():
+                if w.lower() != p.lower():
                     score = boosting.probability(ranking, features)
                     if score >= 0.5:
                         out.append((w, p, score - features[0]))
             columns = list(zip(*out)) if out else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()))], names=["word", "fix", "score"])
 
-    ranked = pairs.select("word", "n", "printed", "n_printed").mapInArrow(rank, "word string, fix string, score double")
+    ranked = pairs.mapInArrow(rank, "word string, fix string, score double")
     return ranked.groupBy("word").agg(F.max_by("fix", F.struct("score", "fix")).alias("fix"))
 
 
