@@ -9,7 +9,7 @@
 One type a pair, in that order. A null answer is empty; a pair without a query is judged without the tests that need it.
 Repeated rows are judged once. A ground truth that is null or says there is no answer permits a refusal. Texts are whole.
 
-The language model is fitted on a bounded sample of labelled documents (``sample`` rows for each language) and has a fixed
+The language model is fitted on a bounded sample of labelled documents (``sample`` rows for each language, drawn by hash) and has a fixed
 number of buckets, so its size does not grow with the data. The end statistics are counted over all answers and ground
 truths; they are joined to the answers by shuffle.
 """
@@ -25,13 +25,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.session import cut_lineage
 
 LANGUAGES = ("en", "de", "fr", "es", "ja", "zh", "hi", "th")
 BUCKETS = 1 << 15
-SAMPLE = 300
+SAMPLE = 600
 ORDER = 9  # longest context of the end statistics, in tokens
 
 # Stand-ins for no value, without marks and in lower case.
@@ -136,8 +137,10 @@ def fit_languages(documents: DataFrame, pairs: DataFrame, sample: int = SAMPLE)
     texts that the first model gives to another language; then adapted to the wording of the pairs by self-training on all
     distinct ones, each read as query and ground truth together; their buckets are summed by guessed language in the workers.
     """
-    labelled = documents.where(F.col("text").isNotNull()).select(F.lower("lang").alias("lang"), "text")
-    rows = [r for lang in LANGUAGES for r in labelled.where(F.col("lang") == lang).limit(sample).collect()]
+    labelled = documents.where(F.col("text").isNotNull()).select(F.lower("lang").alias("lang"), "text", F.xxhash64("text").alias("_order")).where(F.col("lang").isin(*LANGUAGES))
+    # by a hash of the text, so that neither order nor source of the rows matters
+    drawn = Window.partitionBy("lang").orderBy("_order", "text")
+    rows = labelled.withColumn("_k", F.row_number().over(drawn)).where(F.col("_k") <= sample).select("lang", "text").collect()
     counted = [(LANGUAGES.index(r.lang), grams(r.text)) for r in rows]
     counts = np.zeros((len(LANGUAGES), BUCKETS))
     for k, g in counted:
@@ -240,7 +243,7 @@ def tokens(text: str, query: str | None, ordinary: frozenset[str]) -> list[str]:
 
 def _contexts(seq: list[str], at: int) -> list[int]:
     """Hashes of the 1..ORDER tokens that end at position ``at``."""
-    return [xxhash.xxh64_intdigest("\x1f".join(seq[max(0, at - k + 1) : at + 1])) - (1 << 63) for k in range(1, ORDER + 1) if at - k + 1 >= -1]
+    return [xxhash.xxh64_intdigest("\x1f".join(seq[max(0, at - k + 1) : at + 1])) - (1 << 63) for k in range(1, min(ORDER, at + 1) + 1)]
 
 
 SENTENCE_MARKS = frozenset(".!?。！？।")
