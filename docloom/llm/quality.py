@@ -67,7 +67,8 @@ SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-\u0900-\u0e7f]|_")
 SENTENCE = re.compile(r"[.!?।][\"'”’»“)]*\s|[。！？]")
 BROKEN = re.compile(r"[\ufffd¤¶¼½¾©®¬¢Ââ€œÃ]")
 EDGE = "\"'“”„«»‘’()[]{}.,;:!?…¡¿。、，！？「」『』।"
-END_MARK = re.compile(r"[.!?…。！？।:;][\"'”’»“)」』]*\s*$")
+END_MARKS = frozenset(".!?…。！？।:;")
+AFTER_END = "\"'”’»“)」』"
 
 # Structural profiles over CLASSES from which the fit starts.
 PROFILES = {
@@ -88,18 +89,22 @@ class Profiles(NamedTuple):
 UNFITTED = Profiles({}, tuple(PROFILES[k] for k in KINDS[1:]))
 
 
-def language(text: str, tokens: list[str]) -> str:
-    """Script, or for Latin letters the language with most function words."""
-    head = BLANKLESS.search(text)
-    if head:
+def _ended(line: str) -> bool:
+    """Whether a line ends in punctuation, perhaps within quotes or brackets."""
+    return line.rstrip().rstrip(AFTER_END)[-1:] in END_MARKS and line.strip() != ""
+
+
+def language(text: str, common: list[str]) -> str:
+    """Script, or for Latin letters the language with most of the function words ``common``."""
+    if not text.isascii() and BLANKLESS.search(text):
         if KANA.search(text):
             return "ja"
         thai, han = len(THAI.findall(text)), len(HAN.findall(text))
         if 3 * (thai + han) > sum(map(str.isalpha, text)):
             return "th" if thai > han else "zh"
-    if DEVANAGARI.search(text):
+    if not text.isascii() and DEVANAGARI.search(text):
         return "hi"
-    votes = {v: sum(map(WORDS[v].__contains__, tokens)) for v in ("en", "de", "fr", "es")}
+    votes = {v: sum(map(WORDS[v].__contains__, common)) for v in ("en", "de", "fr", "es")}
     return max(votes, key=votes.get) if any(votes.values()) else "en"
 
 
@@ -168,7 +173,7 @@ def _classes(line: str, lang: str) -> list[float]:
     m = MARKER.match(line)
     if m and not PAGE_LINE.fullmatch(line):
         out[4], line = 1.0, line[m.end() :]
-    cells = CELLS.findall(line)
+    cells = CELLS.findall(line) if "|" in line or "\t" in line or "   " in line or ";" in line or "=" in line or "</t" in line else ()
     if len(cells) >= 2 or len(cells) == 1 and ("\t" in cells[0] or "|" in cells[0]):
         out[5] = float(len(cells))
         line = CELLS.sub(" ", TAGS.sub(" ", line))
@@ -225,11 +230,18 @@ def _form(counts: tuple[float, ...], prose: tuple[float, ...], structure: tuple[
     return (3, 1.0) if p is None else _nearest(p, prose, structure)
 
 
+@lru_cache(maxsize=100_000)
+def _levels(counts: tuple[float, ...]) -> str:
+    """The distribution in steps of 1 / LEVELS; empty for a line without evidence."""
+    p = _shares(counts)
+    return "" if p is None else " ".join(str(round(x * LEVELS)) for x in p)
+
+
 def _entry(line: str, counts: list[float]) -> bool:
     """A label with its value, or a short entry with a code or number, and no sentence."""
     if LABEL.match(line) and not SENTENCE.search(line):
         return True
-    return bool(counts[3] or counts[2]) and counts[0] <= 0.25 * sum(counts) + 0.5 and END_MARK.search(line) is None and len(line.split()) <= 8
+    return bool(counts[3] or counts[2]) and counts[0] <= 0.25 * sum(counts) + 0.5 and not _ended(line) and len(line.split()) <= 8
 
 
 def _runs(text: str) -> tuple[list[str], str]:
@@ -254,7 +266,7 @@ def evidence(lines: list[str], text: str, lang: str, spaced: list[str]) -> list[
     # label-value lines, lines of an entry with its code and short lines without any sentence are items where most lines are such
     free = [not c[4] and not c[5] and 2 * c[6] < sum(c) for c in counts]
     single = [f and len(line) <= 90 and _entry(line, c) for f, line, c in zip(free, lines, counts)]
-    bare = [f and len(line) <= 60 and not c[0] and END_MARK.search(line) is None for f, line, c in zip(free, lines, counts)]
+    bare = [f and len(line) <= 60 and not c[0] and not _ended(line) for f, line, c in zip(free, lines, counts)]
     strong, weak = marked + sum(single), marked + sum(a or b for a, b in zip(single, bare))
     entries = strong >= 4 and 2 * strong >= len(lines) or weak >= 5 and weak >= 0.8 * len(lines)
     inside = False
@@ -286,7 +298,8 @@ def analyse(text: str, profiles: Profiles = UNFITTED) -> tuple:
     """(n_words, mean_word_length, symbol_ratio, punct_line_share, common_word_share, lang, prose_divergence, kind)."""
     lowered = text.lower()
     tokens = WORD.findall(lowered)
-    lang = language(text, tokens)
+    known = list(filter(ANY_WORD.__contains__, tokens))
+    lang = language(text, known)
     prose = profiles.prose.get(lang, DEFAULT_PROSE)
     signs = SIGNS.get(lang)
     blankless = BLANKLESS.findall(text) if signs is not None else []
@@ -295,8 +308,8 @@ def analyse(text: str, profiles: Profiles = UNFITTED) -> tuple:
     letters = len(blankless) + sum(map(len, spaced))
     symbols = len(SYMBOL.findall(text))
     lines = [ln for ln in text.split("\n") if ln.strip()]
-    ended = sum(END_MARK.search(ln) is not None for ln in lines)
-    common = (_common_signs(blankless, text, lang) if signs is not None else 0) + sum(map(ANY_WORD.__contains__, tokens))
+    ended = sum(map(_ended, lines))
+    common = (_common_signs(blankless, text, lang) if signs is not None else 0) + len(known)
     counted = len(blankless) + len(tokens)
     stats = (n_words, letters / n_words if n_words else 0.0, symbols / len(text) if text else 0.0, ended / len(lines) if lines else 0.0, min(1.0, common / counted) if counted else 0.0, lang)
     if not lines:
@@ -325,16 +338,17 @@ def fit_profiles(texts: DataFrame, running: Column, text: str = "text", rounds:
         for batch in batches:
             for t, prose in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lowered = t.lower()
-                lang = language(t, WORD.findall(lowered))
+                lang = language(t, list(filter(ANY_WORD.__contains__, lowered.split())))
                 lines = [ln for ln in t.split("\n") if ln.strip()]
                 spaced = (BLANKLESS.sub(" ", lowered) if lang in SIGNS else lowered).split()
-                for line, counts in zip(lines, evidence(lines, t, lang, spaced)):
-                    if prose:
-                        for k in (0, 1, 2, 3, 6):
-                            sums["prose", lang, str(k)] += round(counts[k] * WHOLE)
-                    p = _shares(counts)
-                    if p is not None:
-                        sums["line", lang, " ".join(str(round(x * LEVELS)) for x in p)] += len(line)
+                found = evidence(lines, t, lang, spaced)
+                if prose:
+                    for k in (0, 1, 2, 3, 6):
+                        sums["prose", lang, str(k)] += round(sum(c[k] for c in found) * WHOLE)
+                for line, counts in zip(lines, found):
+                    place = _levels(tuple(counts))
+                    if place:
+                        sums["line", lang, place] += len(line)
             if len(sums) > 200_000:
                 yield flush(sums)
         yield flush(sums)
