@@ -24,6 +24,37 @@ def carry_forward(df: DataFrame, group: list[str], order: list[str], value: str,
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
+def carry_over_pages(df: DataFrame, doc: list[str], page: str, order: list[str], value: str, name: str) -> DataFrame:
+    """W4 for documents of any length: carried inside each page, and from page to page on one row a page.
+
+    No window holds the rows of a whole document, so that one that holds a large share of all rows is no single task's.
+    """
+    inside = W.partitionBy(*doc, page).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = df.groupBy(*doc, page).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
+    before = W.partitionBy(*doc).orderBy(page).rowsBetween(W.unboundedPreceding, -1)
+    starts = ends.select(*[F.col(c).alias(f"_{c}") for c in (*doc, page)], F.last("_last", ignorenulls=True).over(before).alias("_start"))
+    same = None
+    for c in (*doc, page):
+        one = F.col(c).eqNullSafe(F.col(f"_{c}"))
+        same = one if same is None else same & one
+    return df.withColumn("_own", F.last(value, ignorenulls=True).over(inside)).join(starts, same, "left").withColumn(name, F.coalesce("_own", "_start")).drop("_own", "_start", *[f"_{c}" for c in (*doc, page)])
+
+
+def global_number(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """Number of each row from 0 in a total order, without one task that holds all rows.
+
+    The rows are range partitioned and kept; each part is numbered by itself from the number of rows in the parts before it,
+    which is one row a part. ``order`` has to be unique for a defined result; ties are numbered in any order.
+    """
+    from docloom.session import cut_lineage
+
+    parts = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before")
+
+
 def gap_clusters(df: DataFrame, group: list[str], value: str, most: Column, name: str = "cluster") -> DataFrame:
     """One-dimensional clusters cut where the gap to the value before is over ``most``."""
     w = W.partitionBy(*group).orderBy(value)
