@@ -64,6 +64,12 @@ def split_sentences(c: Column | str, least: int = 0) -> Column:
     return F.filter(F.transform(F.split(cut, "\u0001"), lambda s: F.trim(s)), lambda s: F.length(s) > max(0, least - 1))
 
 
+def window_sentences(c: Column | str) -> Column:
+    """Pieces after . ! ? and white space or between line breaks, trimmed, of more than five signs; empty for null."""
+    cut = F.regexp_replace(F.regexp_replace(F.coalesce(col(c), F.lit("")), "([.!?])[ \t\n\r\f]+", "$1\u0001"), "\n+", "\u0001")
+    return F.filter(F.transform(F.split(cut, "\u0001"), lambda s: F.trim(s)), lambda s: F.length(s) > 5)
+
+
 def repair_hyphens(c: Column | str) -> Column:
     """F8: word halves around a hyphen and white space are joined."""
     return F.regexp_replace(col(c), "([A-Za-z0-9_]+)-[ \t\n\r\f]+([A-Za-z0-9_]+)", "$1$2")
