@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom.catalog import Catalog
 from docloom.operators import chunkers as C
 from docloom.operators import grids as G
+from docloom.operators import mesh as M
 
 query = Catalog()
 
@@ -37,3 +38,31 @@ def table_structure_scores(t):
     html = t("chunks").where("text like '<table%'").select("chunk_id", "text").dropDuplicates()
     less = F.regexp_replace("text", r"(?s)<tr>(?:(?!<tr>).)*</tr>\s*(?:</table>)?\s*$", "</table>")
     return html.select("chunk_id", G.table_scores(F.col("text"), less).alias("s")).select("chunk_id", "s.*")
+
+
+def _elements(t):
+    from docloom.functions import text as X
+    from docloom.functions import vectors as V
+
+    e = M.boxed_elements(t("chunks"))
+    return e.withColumn("vector", V.hashed_embedding(X.entity_tokens("text")))
+
+
+@query()
+def chunk_geometric(t):
+    """C4, J9, W11, J10; claims depend on earlier ones."""
+    c = M.geometric_grounding(_elements(t))
+    return c.select("chunk_id", "page", F.length("text").alias("n_chars"), "source_element_indices")
+
+
+@query()
+def chunk_hybrid(t):
+    """C5, W15."""
+    c = M.hybrid_semantic(_elements(t), most=400, least_similarity=0.3)
+    return c.select("chunk_id", "page", "closed_by", F.length("text").alias("n_chars"), "source_element_indices")
+
+
+@query()
+def chunk_mesh(t):
+    """C6, W13."""
+    return M.semantic_mesh(_elements(t), 200, 400, 8).select("chunk_id", "page", "source", F.length("text").alias("n_chars"), "page_span", "source_element_indices", "sequence_in_group", "prev_id", "next_id")

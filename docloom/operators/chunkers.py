@@ -73,8 +73,10 @@ STRATEGIES: dict[str, Callable[..., DataFrame]] = {"naive_baseline": naive_basel
 
 
 def chunker(name: str) -> Callable[..., DataFrame]:
-    """A strategy by name; an unknown name gives the section chunker."""
-    return STRATEGIES.get(name, section_hierarchical)
+    """A strategy, elements to chunks, by name; an unknown name gives the semantic mesh."""
+    from docloom.operators import mesh
+
+    return {**mesh.STRATEGIES, **STRATEGIES}.get(name, mesh.semantic_mesh)
 
 
 def elements_of(chunks: DataFrame) -> DataFrame:

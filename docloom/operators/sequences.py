@@ -30,14 +30,14 @@ def carry_over_pages(df: DataFrame, doc: list[str], page: str, order: list[str],
     No window holds the rows of a whole document, so that one that holds a large share of all rows is no single task's.
     """
     inside = W.partitionBy(*doc, page).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = df.groupBy(*doc, page).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
+    ends = df.groupBy(*doc, page).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_co_last"))
     before = W.partitionBy(*doc).orderBy(page).rowsBetween(W.unboundedPreceding, -1)
-    starts = ends.select(*[F.col(c).alias(f"_{c}") for c in (*doc, page)], F.last("_last", ignorenulls=True).over(before).alias("_start"))
+    starts = ends.select(*[F.col(c).alias(f"_{c}") for c in (*doc, page)], F.last("_co_last", ignorenulls=True).over(before).alias("_co_start"))
     same = None
     for c in (*doc, page):
         one = F.col(c).eqNullSafe(F.col(f"_{c}"))
         same = one if same is None else same & one
-    return df.withColumn("_own", F.last(value, ignorenulls=True).over(inside)).join(starts, same, "left").withColumn(name, F.coalesce("_own", "_start")).drop("_own", "_start", *[f"_{c}" for c in (*doc, page)])
+    return df.withColumn("_co_own", F.last(value, ignorenulls=True).over(inside)).join(starts, same, "left").withColumn(name, F.coalesce("_co_own", "_co_start")).drop("_co_own", "_co_start", *[f"_{c}" for c in (*doc, page)])
 
 
 def global_number(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
@@ -73,6 +73,33 @@ def pack(sizes: Column, budget: int) -> Column:
     return F.aggregate(sizes, start, step, lambda acc: acc["out"])
 
 
+def pack_between(sizes: Column, least: int, most: int) -> Column:
+    """As ``pack``, but a pack is only closed once it has reached ``least``."""
+    start = F.struct(F.lit(0).alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, size: Column) -> Column:
+        over = (F.size(acc["out"]) > 0) & (acc["used"] + size > most) & (acc["used"] >= least)
+        pack_no = F.when(over, acc["pack"] + 1).otherwise(acc["pack"])
+        return F.struct(pack_no.alias("pack"), F.when(over, size.cast("long")).otherwise(acc["used"] + size).alias("used"), F.concat(acc["out"], F.array(pack_no)).alias("out"))
+
+    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+
+
+def previous_over_pages(df: DataFrame, doc: list[str], page: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """``value`` of the row before in a document, over page ends too; null at its start. ``value`` must not be null."""
+    given = df.withColumn("_v", value)
+    inside = W.partitionBy(*doc, page).orderBy(*order)
+    given = given.withColumn("_own", F.lag("_v").over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    ends = given.groupBy(*doc, page).agg(F.max_by("_v", F.struct(*order)).alias("_last"))
+    before = ends.select(*[F.col(c).alias(f"_{c}") for c in (*doc, page)], F.lag("_last").over(W.partitionBy(*doc).orderBy(page)).alias("_prior"))
+    same = None
+    for c in (*doc, page):
+        one = F.col(c).eqNullSafe(F.col(f"_{c}"))
+        same = one if same is None else same & one
+    joined = given.join(before, same, "left")
+    return joined.withColumn(name, F.when(F.col("_first"), F.col("_prior")).otherwise(F.col("_own"))).drop("_v", "_own", "_first", "_prior", *[f"_{c}" for c in (*doc, page)])
+
+
 def token_windows(tokens: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` tokens, each starting size - overlap after the one before; the last reaches the end."""
     n, step = F.size(tokens), size - overlap
