@@ -113,6 +113,13 @@ def heading_level(c: Column | str) -> Column:
     return F.when(number == "", 0).otherwise(F.size(F.split(number, r"\.")))
 
 
+def heading_depth(c: Column | str) -> Column:
+    """Number of parts of a heading's numbering (2.1 or A.3 of several parts, or a number or up to three capitals alone); null without one."""
+    prefix = F.regexp_extract(F.trim(col(c)), r"^([0-9a-zA-Z]+(?:\.[0-9a-zA-Z]+)*)[ \t\n]+", 1)
+    parts = F.size(F.split(prefix, r"\."))
+    return F.when((prefix != "") & ((parts > 1) | prefix.rlike("^(?:[0-9]+|[A-Z0-9]{0,2}[A-Z][A-Z0-9]{0,2})$") & (prefix.rlike("^[0-9]+$") | (F.length(prefix) <= 3))), parts)
+
+
 def citations(c: Column | str) -> Column:
     """F16: numbers of the tables and figures cited, as ``table:n`` and ``figure:n``, distinct and sorted."""
     low = F.lower(F.coalesce(col(c), F.lit("")))
