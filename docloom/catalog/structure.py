@@ -66,3 +66,11 @@ def chunk_hybrid(t):
 def chunk_mesh(t):
     """C6, W13."""
     return M.semantic_mesh(_elements(t), 200, 400, 8).select("chunk_id", "page", "source", F.length("text").alias("n_chars"), "page_span", "source_element_indices", "sequence_in_group", "prev_id", "next_id")
+
+
+@query()
+def table_cell_scores(t):
+    """As above, by the texts of aligned cells."""
+    html = t("chunks").where("text like '<table%'").select("chunk_id", "text").dropDuplicates()
+    less = F.regexp_replace("text", r"(?s)<tr>(?:(?!<tr>).)*</tr>\s*(?:</table>)?\s*$", "</table>")
+    return html.select("chunk_id", G.aligned_cells(F.col("text"), less).alias("s")).select("chunk_id", "s.*")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.operators import sequences as S
+from docloom.operators.matching import assignment, iou_matrix
 
 _BOX = ["x0", "y0", "x1", "y1"]
 
@@ -87,3 +88,197 @@ def coverage(gold: DataFrame, found: DataFrame, page: list[str]) -> DataFrame:
         return pd.DataFrame([(*key, *coverage_areas(a[_BOX].to_numpy(float), b[_BOX].to_numpy(float)))], columns=[*page, "coverage", "overlap", "trespass", "excess"])
 
     return gold.groupBy(*page).cogroup(found.groupBy(*page)).applyInPandas(run, schema)
+
+
+def _compressed(gold: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Areas of the cells between all edges, and which cells each gold and each found box covers."""
+    boxes = np.vstack([gold, found])
+    xs, ys = np.unique(boxes[:, [0, 2]]), np.unique(boxes[:, [1, 3]])
+
+    def masks(b: np.ndarray) -> np.ndarray:
+        inside_x = (xs[None, :-1] >= b[:, 0:1]) & (xs[None, 1:] <= b[:, 2:3])
+        inside_y = (ys[None, :-1] >= b[:, 1:2]) & (ys[None, 1:] <= b[:, 3:4])
+        return inside_x[:, :, None] & inside_y[:, None, :]
+
+    return np.diff(xs)[:, None] * np.diff(ys)[None, :], masks(gold), masks(found)
+
+
+def assigned_areas(gold: np.ndarray, found: np.ndarray) -> tuple[list[tuple[float, float]], list[tuple[int, float]], float]:
+    """Each found box belongs to the gold box it covers most. For each gold box the shares that its own found boxes cover and
+    cover twice; for each found box its gold box (-1: none) and what it takes of other gold boxes as a share of its own;
+    and the found area outside all gold boxes.
+    """
+    cell, g, f = _compressed(gold, found)
+    shared = np.array([[float((cell * (m & k)).sum()) for k in g] for m in f]).reshape(len(f), len(g))
+    own = [int(row.argmax()) if len(row) and row.max() > 0 else -1 for row in shared]
+    size = [float((cell * k).sum()) for k in g]
+    of_gold = []
+    for i, k in enumerate(g):
+        times = sum((f[j].astype(int) for j in range(len(f)) if own[j] == i), np.zeros(cell.shape, int))
+        of_gold.append((float((cell * (k & (times > 0))).sum()) / size[i], float((cell * (k & (times > 1))).sum()) / size[i]) if size[i] else (np.nan, np.nan))
+    of_found = []
+    for j, m in enumerate(f):
+        others = np.delete(g, own[j], axis=0).any(axis=0) if own[j] >= 0 and len(g) > 1 else np.zeros(cell.shape, bool)
+        of_found.append((own[j], float((cell * (m & others)).sum()) / size[own[j]] if own[j] >= 0 and size[own[j]] else 0.0))
+    return of_gold, of_found, float((cell * (f.any(axis=0) & ~g.any(axis=0))).sum())
+
+
+def assigned_coverage(gold: DataFrame, found: DataFrame, page: list[str], width: float, height: float) -> DataFrame:
+    """E23 by page: means of coverage, overlap and trespass, and excess as a share of the area outside gold boxes.
+
+    A page without gold or without found boxes gives no row.
+    """
+    names = ["coverage", "overlap", "trespass", "excess", "n_assigned"]
+    schema = ", ".join(f"{c} {gold.schema[c].dataType.simpleString()}" for c in page) + ", coverage double, overlap double, trespass double, excess double, n_assigned long"
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=[*page, *names])
+        x, y = a[_BOX].to_numpy(float), b[_BOX].to_numpy(float)
+        of_gold, of_found, outside = assigned_areas(x, y)
+        kept = [v for v in of_gold if not np.isnan(v[0])]
+        trespass = [t for i, t in of_found if i >= 0]
+        cell, g, _ = _compressed(x, y)
+        free = width * height - float((cell * g.any(axis=0)).sum())
+        mean = lambda v: float(np.mean(v)) if len(v) else 0.0
+        row = (*key, mean([c for c, _ in kept]), mean([o for _, o in kept]), mean(trespass), outside / free if free > 0 else 0.0, len(trespass))
+        return pd.DataFrame([row], columns=[*page, *names])
+
+    return gold.groupBy(*page).cogroup(found.groupBy(*page)).applyInPandas(run, schema)
+
+
+def class_areas(gold: DataFrame, found: DataFrame, page: list[str]) -> DataFrame:
+    """Rows (what, gold_label, found_label, value): coverage and overlap of each gold box, trespass of each assigned found box.
+
+    Aggregate by gold_label for the scores of a class, and count trespass over 0.05 by both labels for the pairs of classes.
+    """
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(a) and len(b):
+            a, b = a.sort_values("box_id"), b.sort_values("box_id")
+            of_gold, of_found, _ = assigned_areas(a[_BOX].to_numpy(float), b[_BOX].to_numpy(float))
+            labels, others = a["label"].tolist(), b["label"].tolist()
+            for k, (c, o) in zip(labels, of_gold):
+                if not np.isnan(c):
+                    rows += [("coverage", k, None, c), ("overlap", k, None, o)]
+            rows += [("trespass", labels[i], k, t) for k, (i, t) in zip(others, of_found) if i >= 0]
+        return pd.DataFrame(rows, columns=["what", "gold_label", "found_label", "value"])
+
+    return gold.groupBy(*page).cogroup(found.groupBy(*page)).applyInPandas(run, "what string, gold_label string, found_label string, value double")
+
+
+ERRORS = ["missing", "hallucination", "size_error", "split", "merge", "overlap_pred", "duplicate", "misclassification"]
+
+
+def detection_errors(gold: np.ndarray, found: np.ndarray, gold_labels: list, found_labels: list, touch: float = 0.10, fit: float = 0.50, twin: float = 0.85) -> list[int]:
+    """Counts of ERRORS on one page.
+
+    Boxes touch from an IoU of ``touch``. Missing and hallucination touch nothing; duplicates and overlaps are pairs of found
+    boxes from ``twin`` and between both; of optimal pairs that touch, those under ``fit`` are size errors and the others with
+    different labels misclassifications. A split is a gold box whose pair and unpaired touching found boxes are more than one, a
+    merge the same the other way round.
+    """
+    if not len(gold) or not len(found):
+        return [len(gold) if not len(found) else 0, len(found) if not len(gold) else 0, 0, 0, 0, 0, 0, 0]
+    m, own = iou_matrix(gold, found), iou_matrix(found, found)[np.triu_indices(len(found), 1)]
+    pairs = [(i, j) for i, j in assignment(1.0 - m) if m[i, j] >= touch]
+    of_gold, of_found = np.zeros(len(gold), int), np.zeros(len(found), int)
+    near = m >= touch
+    for i, j in pairs:
+        of_gold[i] += 1
+        of_found[j] += 1
+    free_found, free_gold = of_found == 0, of_gold == 0
+    splits = of_gold + (near & free_found[None, :]).sum(axis=1)
+    merges = of_found + (near & free_gold[:, None]).sum(axis=0)
+    size = sum(m[i, j] < fit for i, j in pairs)
+    wrong = sum(m[i, j] >= fit and gold_labels[i] != found_labels[j] for i, j in pairs)
+    return [int((~near).all(axis=1).sum()), int((~near).all(axis=0).sum()), int(size), int((splits > 1).sum()), int((merges > 1).sum()), int(((own >= touch) & (own < twin)).sum()), int((own >= twin).sum()), int(wrong)]
+
+
+def page_errors(gold: DataFrame, found: DataFrame, page: list[str]) -> DataFrame:
+    """E24 by page, with the number of found boxes; boxes have x0, y0, x1, y1, box_id and label."""
+    schema = ", ".join(f"{c} {gold.schema[c].dataType.simpleString()}" for c in page) + "".join(f", {e} int" for e in ERRORS) + ", n_found int"
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("box_id"), b.sort_values("box_id")
+        counts = detection_errors(a[_BOX].to_numpy(float), b[_BOX].to_numpy(float), a["label"].tolist(), b["label"].tolist())
+        return pd.DataFrame([(*key, *counts, len(b))], columns=[*page, *ERRORS, "n_found"])
+
+    return gold.groupBy(*page).cogroup(found.groupBy(*page)).applyInPandas(run, schema)
+
+
+def error_rates(pages: DataFrame) -> DataFrame:
+    """Errors of each kind a detection, over all pages: (error, n, rate)."""
+    total = pages.agg(*[F.sum(e).alias(e) for e in ERRORS], F.sum("n_found").alias("n_found"))
+    long = total.unpivot("n_found", ERRORS, "error", "n")
+    return long.select("error", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce(F.col("n") / F.nullif(F.col("n_found"), F.lit(0)), F.lit(0.0)).alias("rate"))
+
+
+# Ranges of the area of a box in the published protocol.
+AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
+THRESHOLDS = [0.5 + 0.05 * k for k in range(10)]
+
+
+def protocol_matches(gold: np.ndarray, found: np.ndarray, score: np.ndarray, least: float, low: float, high: float, most: int = 100) -> tuple[list[tuple[float, bool, bool]], int]:
+    """Of one image and class: (score, hit, ignored) of the best ``most`` found boxes, and the number of gold boxes that count.
+
+    In order of score a found box takes the free gold box of the greatest IoU of at least ``least``, one that counts before one
+    outside the range of areas. Found boxes on a gold box that does not count, or free and outside the range, are ignored.
+    """
+    size = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    counts = (size(gold) >= low) & (size(gold) <= high) if len(gold) else np.zeros(0, bool)
+    order = np.argsort(-score, kind="stable")[:most]
+    m, free, out = iou_matrix(gold, found), np.ones(len(gold), bool), []
+    for j in order:
+        hit = None
+        for group in (counts, ~counts):
+            able = np.flatnonzero(free & group & (m[:, j] >= least - 1e-10)) if len(gold) else np.zeros(0, int)
+            if len(able):
+                hit = int(able[m[able, j].argmax()])
+                break
+        if hit is not None:
+            free[hit] = False
+            out.append((float(score[j]), bool(counts[hit]), not counts[hit]))
+        else:
+            area = float(size(found[[j]])[0])
+            out.append((float(score[j]), False, not low <= area <= high))
+    return out, int(counts.sum())
+
+
+def detection_protocol(gold: DataFrame, found: DataFrame, page: list[str], thresholds: list[float] = THRESHOLDS, areas: dict[str, tuple[float, float]] = AREAS) -> DataFrame:
+    """Average precision at 101 recalls and recall at 100 boxes, by label, threshold and range of areas, after the published
+    protocol. Average over labels and thresholds for the headline figures.
+
+    Images and labels are matched in groups; the curves are cumulated over distinct scores (six decimals), so that a label with
+    most of the boxes is summed before it reaches one task. A label without gold boxes in a range gives no row.
+    """
+    keys = [*page, "label"]
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("box_id"), b.sort_values("box_id")
+        x, y, s = a[_BOX].to_numpy(float), b[_BOX].to_numpy(float), b["score"].to_numpy(float)
+        rows = []
+        for name, (low, high) in areas.items():
+            for t in thresholds:
+                hits, n = protocol_matches(x, y, s, t, low, high)
+                rows.append((key[-1], name, round(t, 4), None, 0, 0, n))
+                rows += [(key[-1], name, round(t, 4), round(v, 6), int(h), int(not h), 0) for v, h, ignored in hits if not ignored]
+        return pd.DataFrame(rows, columns=["label", "area", "threshold", "score", "tp", "fp", "n_gold"])
+
+    schema = "label string, area string, threshold double, score double, tp long, fp long, n_gold long"
+    right = found.select(*[F.col(c).alias(c) for c in (*keys, "box_id", "score", *_BOX)])
+    rows = gold.select(*keys, "box_id", *_BOX).groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    curve = ["label", "area", "threshold"]
+    steps = rows.groupBy(*curve, "score").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("n_gold").alias("n_gold"))
+    gold_n = steps.groupBy(*curve).agg(F.sum("n_gold").alias("n")).where("n > 0")
+    w = W.partitionBy(*curve).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+    run_ = steps.where("score is not null").withColumns({"_tp": F.sum("tp").over(w), "_fp": F.sum("fp").over(w)}).join(gold_n, curve)
+    points = run_.select(*curve, (F.col("_tp") / F.col("n")).alias("recall"), (F.col("_tp") / (F.col("_tp") + F.col("_fp"))).alias("precision"))
+    envelope = F.max("precision").over(W.partitionBy(*curve).orderBy(F.desc("recall"), F.desc("precision")).rowsBetween(W.unboundedPreceding, 0))
+    before = F.coalesce(F.lag("recall").over(W.partitionBy(*curve).orderBy("recall", F.desc("precision"))), F.lit(-1.0))
+    # each of the 101 recalls takes the precision of the first point that reaches it
+    reached = (F.floor(F.col("recall") * 100 + 1e-9) - F.floor(F.col("_before") * 100 + 1e-9)).cast("long")
+    parts = points.withColumns({"_p": envelope, "_before": before}).withColumn("_k", F.when(F.col("_before") < 0, F.floor(F.col("recall") * 100 + 1e-9).cast("long") + 1).otherwise(reached))
+    ap = parts.groupBy(*curve).agg((F.sum(F.col("_p") * F.col("_k")) / 101).alias("ap"), F.max("recall").alias("ar"))
+    return gold_n.join(ap, curve, "left").select(*curve, F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("ar", F.lit(0.0)).alias("ar"), F.col("n").alias("n_gold"))
