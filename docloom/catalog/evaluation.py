@@ -238,8 +238,7 @@ def spatial_neighbours(t):
 @query(f"WITH {_BOXES} SELECT doc_filename, count(*) AS n, round(min(x0), 4) AS x0, round(min(y0), 4) AS y0, round(max(x1), 4) AS x1, round(max(y1), 4) AS y1 FROM bx GROUP BY doc_filename")
 def union_bbox(t):
     b = _boxes(t)
-    hull = b.groupBy("doc_filename").agg(F.count(F.lit(1)).alias("n"), G.hull_of(F.collect_list("bbox")).alias("h"))
-    return hull.select("doc_filename", "n", *[F.round(f"h.{c}", 4).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return b.groupBy("doc_filename").agg(F.count(F.lit(1)).alias("n"), *[F.round(f(f"bbox.{c}"), 4).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))])
 
 
 @query(f"WITH {_BOXES} SELECT a.chunk_id, count(b.chunk_id) AS n_refs, coalesce(string_agg(b.chunk_id, ' ' ORDER BY b.chunk_id), '') AS refs FROM bx a LEFT JOIN bx b ON a.doc_filename = b.doc_filename AND a.page = b.page AND a.chunk_id <> b.chunk_id GROUP BY a.chunk_id")

@@ -21,16 +21,20 @@ _RAW = _BM25.replace("{idf}", "greatest(0.0, (n - df + 0.5) / (df + 0.5))")
 
 
 def _bank(t):
-    docs, bank = t("documents"), t("qa_bank")
-    posted = R.entity_postings(docs, "doc_id", "text")
-    asked = R.asked_tokens(bank, "question_id", X.entity_tokens("question"))
-    stats = R.collection(docs, "doc_id", X.entity_tokens("text"))
+    """Postings of the tokens that the test items ask for, those tokens, and the size of the collection; the texts are cut once."""
+    asked = R.asked_tokens(t("qa_bank"), "question_id", X.entity_tokens("question"))
+    posted, stats = R.asked_index(t("documents"), "doc_id", X.entity_tokens("text"), asked)
     return posted, asked, stats
 
 
+def _all_postings(t):
+    return R.entity_postings(t("documents"), "doc_id", "text")
+
+
 def _top(scores, k=10):
-    top = R.ranked(scores.withColumn("score", F.round("score", 9)), k)
-    return top.select("query_id", "item_id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """The first ``k`` by the score to nine decimals, shown with eight of the score itself."""
+    top = R.ranked(scores.withColumnRenamed("score", "_score").withColumn("score", F.round("_score", 9)), k)
+    return top.select("query_id", "item_id", F.round("_score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_POSTED} SELECT token, count(*) AS df, min(item_id) AS first_item FROM posted GROUP BY token")
@@ -64,30 +68,33 @@ _TFIDF = "idf AS (SELECT token, ln((n + 1)::DOUBLE / (df + 1)) + 1 AS idf FROM d
 
 @query(f"WITH {_POSTED}, {_TFIDF} {_TOP}")
 def tfidf_cosine_top10(t):
-    return _top(R.tfidf(*_bank(t)))
+    _, asked, stats = _bank(t)
+    return _top(R.tfidf(_all_postings(t), asked, stats))
 
 
 _DENSE = "v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score FROM v, (SELECT * FROM v WHERE vec_id % 20 = 0) q)"
 
 
 def _dense(t):
-    items = t("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    return R.dense(items, items.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id"))
+    items = t("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
+    return items, items.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
 
 
 @query(f"WITH {_DENSE} {_TOP}")
 def dense_top10(t):
     """Queries: every vector whose id is divisible by 20, against all."""
-    return _top(_dense(t))
+    top = R.dense_top(*_dense(t), 10)
+    return top.select("query_id", "item_id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_DENSE}, r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM s), g AS (SELECT query_id, item_id FROM s, embeddings a, embeddings b WHERE a.vec_id = query_id AND b.vec_id = item_id AND a.label = b.label AND query_id <> item_id), f AS (SELECT g.query_id, min(rank) AS first FROM g JOIN (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r WHERE query_id <> item_id) r ON r.query_id = g.query_id AND r.item_id = g.item_id GROUP BY g.query_id) SELECT query_id, (first <= 1)::INT::DOUBLE AS hit_1, (first <= 5)::INT::DOUBLE AS hit_5, (first <= 10)::INT::DOUBLE AS hit_10, round(1.0 / first, 6) AS mrr, round(CASE WHEN first <= 10 THEN 1 / log2(first + 1) ELSE 0 END, 6) AS ndcg_10 FROM f")
 def hit_mrr_ndcg(t):
     """Nearest vectors of the same label, the query itself left out."""
-    scores = _dense(t).where("query_id <> item_id").withColumn("score", F.round("score", 9))
-    e = t("embeddings").select("vec_id", "label")
-    gold = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id").join(e.withColumnRenamed("vec_id", "item_id"), "label").where("query_id <> item_id").select("query_id", "item_id")
-    m = R.ranking_metrics(R.ranked(scores), gold)
+    items, asked = _dense(t)
+    # queries without another item of their label are none of the gold standard
+    several = items.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and label is not null")
+    first = R.first_relevant(items, asked)
+    m = R.first_hit_metrics(asked.join(several, "label", "left_semi").select("query_id").distinct().join(first, "query_id", "left"))
     return m.select("query_id", "hit_1", "hit_5", "hit_10", F.round("mrr", 6).alias("mrr"), F.round("ndcg_10", 6).alias("ndcg_10"))
 
 
@@ -104,7 +111,7 @@ def rrf_two_way(t):
 @query(f"WITH {_POSTED}, {_LOG.replace('s AS (SELECT * FROM s0)', 'a AS (SELECT * FROM s0)')}, b AS (SELECT query_id, item_id, count(*)::DOUBLE AS score FROM posted JOIN asked USING (token) GROUP BY ALL), {_TFIDF.replace(', s AS (SELECT', ', c AS (SELECT')}, {_RRF}, r3 AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM c QUALIFY rank <= 50), s AS (SELECT query_id, item_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) GROUP BY ALL) {_TOP}")
 def rrf_three_way(t):
     posted, asked, stats = _bank(t)
-    lists = [R.ranked(s.withColumn("score", F.round("score", 9)), 50) for s in (R.bm25(posted, asked, stats), R.overlap(posted, asked), R.tfidf(posted, asked, stats))]
+    lists = [R.ranked(s.withColumn("score", F.round("score", 9)), 50) for s in (R.bm25(posted, asked, stats), R.overlap(posted, asked), R.tfidf(_all_postings(t), asked, stats))]
     return _top(R.rrf(lists))
 
 

@@ -42,7 +42,7 @@ def element_atomic(elements: DataFrame, floor: int = 100) -> DataFrame:
 def section_hierarchical(elements: DataFrame, budget: int = 800) -> DataFrame:
     """Sections that a header opens, packed under ``budget`` words; each chunk starts with the header carried over pages."""
     e = elements.withColumn("_h", F.when(F.col("type").isin(HEADERS), F.col("text")))
-    e = S.carry_forward(e, ["doc"], ["page", "seq"], "_h", "_header")
+    e = S.carry_over_pages(e, ["doc"], "page", ["seq"], "_h", "_header")
     e = e.withColumn("_s", F.col("type").isin(HEADERS))
     e = S.islands(e, ["doc", "page"], ["seq"], F.col("_s"), "_sec")
     parts = F.array_sort(F.collect_list(F.struct("seq", F.col("text"), "type", X.token_count("text").cast("long").alias("n"), "_header")))

@@ -6,6 +6,10 @@ by its nature but never assumed so: joins go by token, and a top k is cut before
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,10 +32,26 @@ def document_frequency(posted: DataFrame) -> DataFrame:
 
 
 def collection(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """One row: number of items and mean number of distinct tokens."""
+    """One row: number of items and mean number of distinct tokens, as many as postings hold for it."""
     return docs.select(F.size(F.array_distinct(tokens)).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
+def asked_index(docs: DataFrame, key: str, tokens: Column, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Binary postings of the tokens asked for, and the one row of ``collection``, from one pass over the texts.
+
+    What is kept is the size of each item and its postings of asked tokens; all rankers and fusions can share it.
+    """
+    from docloom.session import cut_lineage
+
+    base = docs.select(F.col(key).alias("item_id"), F.array_distinct(tokens).alias("_t")).withColumn("dl", F.size("_t").cast("long"))
+    rows = base.select("item_id", "dl", F.posexplode_outer("_t").alias("_at", "token"))
+    known = asked.select("token").distinct().withColumn("_asked", F.lit(True))
+    kept = rows.join(known, "token", "left").where(F.coalesce("_asked", F.lit(False)) | (F.coalesce("_at", F.lit(0)) == 0))
+    kept = cut_lineage(kept.select("item_id", "token", "dl", F.coalesce("_asked", F.lit(False)).alias("_asked"), (F.coalesce("_at", F.lit(0)) == 0).alias("_one")))
+    stats = kept.where("_one").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    return kept.where("_asked").select("item_id", "token", F.lit(1).cast("long").alias("tf"), "dl"), stats
+
+
 def asked_tokens(queries: DataFrame, key: str, tokens: Column) -> DataFrame:
     return queries.select(F.col(key).alias("query_id"), F.explode(F.array_distinct(tokens)).alias("token"))
 
@@ -65,14 +85,123 @@ def tfidf(posted: DataFrame, asked: DataFrame, stats: DataFrame) -> DataFrame:
     return dots.join(lengths, "item_id").join(q_norm, "query_id").select("query_id", "item_id", F.coalesce(F.col("dot") / F.nullif(F.col("norm") * F.col("q_norm"), F.lit(0.0)), F.lit(0.0)).alias("score"))
 
 
-def dense(items: DataFrame, queries: DataFrame) -> DataFrame:
-    """Q5: exact cosine of a stated query set (query_id, vector) against all items (item_id, vector); norms are taken once a row.
+#: Bytes of query vectors that go to the workers at a time.
+BLOCK_BYTES = 64 << 20
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of equal length as rows of unit length; a null vector or one without length becomes zero."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = column.to_numpy(zero_copy_only=False)
+    size = max((len(r) for r in rows if r is not None), default=0)
+    out = np.zeros((len(rows), size))
+    for k, r in enumerate(rows):
+        if r is not None:
+            out[k, : len(r)] = r
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
-    The nested loop is over the query set, in blocks: each item partition meets each query once.
+
+def _in_blocks(items: DataFrame, queries: DataFrame, extra: list[str], kernel: Callable, schema: str) -> DataFrame | None:
+    """``kernel(query ids, query matrix, query extras, item ids, item matrix, item extras)`` on each batch of the items for each block of queries.
+
+    The query set is stated by the caller and may grow; it is met in blocks of at most BLOCK_BYTES, each in a pass over the items.
+    """
+    spark = items.sparkSession
+    asked = queries.where("query_id is not null").select("query_id", "vector", *[F.col(c).alias(f"q_{c}") for c in extra])
+    n, dim = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-(n or 0) * max(1, dim or 1) * 8 // BLOCK_BYTES))
+    given = items.where("item_id is not null").select("item_id", "vector", *extra)
+    out = None
+    for number in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number) if blocks > 1 else asked
+        table = block.toArrow()
+        if not table.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((table.column("query_id").to_pylist(), _matrix(table.column("vector")), [np.array(table.column(f"q_{c}").to_pylist(), object) for c in extra]))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, matrix, more = sent.value
+            for batch in batches:
+                if batch.num_rows:
+                    right = _matrix(batch.column(1))
+                    width = min(matrix.shape[1], right.shape[1])
+                    scores = matrix[:, :width] @ right[:, :width].T
+                    yield kernel(ids, scores, more, batch.column(0).to_pylist(), [np.array(batch.column(2 + k).to_pylist(), object) for k in range(len(extra))], batch)
+
+        part = given.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def dense_top(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` items (item_id, vector) of the greatest cosine of each query (query_id, vector), exactly.
+
+    Blocks of queries are multiplied with batches of items where these are read; a batch keeps its own ``k`` best of each query, so
+    that the exchange sees few rows. Scores equal to nine decimals are ties and go by item_id; a zero vector has cosine 0.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in (*items.schema.fields, *queries.schema.fields)}
+    schema = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double"
+
+    def kernel(ids, scores, _more, item_ids, _extras, batch) -> pa.RecordBatch:
+        order = np.argsort(np.array(item_ids, object), kind="stable")
+        rows = []
+        for q, exact in zip(ids, scores[:, order]):
+            own = np.round(exact, 9)
+            best = np.argsort(-own, kind="stable")[:k] if len(own) <= 4 * k else _best(own, k)
+            rows += [(q, item_ids[order[j]], float(exact[j])) for j in best]
+        columns = list(zip(*rows)) if rows else [()] * 3
+        query_type = pa.array(ids[:1]).type
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], query_type), pa.array(columns[1], batch.schema.field(0).type), pa.array(columns[2], pa.float64())], names=["query_id", "item_id", "score"])
+
+    found = _in_blocks(items, queries, [], kernel, schema)
+    found = found if found is not None else items.sparkSession.createDataFrame([], schema)
+    w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("item_id"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _best(own: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` greatest, ties from the left, without sorting all."""
+    bound = np.partition(own, len(own) - k)[len(own) - k]
+    able = np.flatnonzero(own >= bound)
+    return able[np.argsort(-own[able], kind="stable")[:k]]
+
+
+def first_relevant(items: DataFrame, queries: DataFrame, label: str = "label") -> DataFrame:
+    """(query_id, first): rank, among all items but the query itself, of the best item with the query's label; no row without one.
+
+    Two passes of sums: the best relevant item of each query, then the number of items before it. No ranking and no pairs of a
+    label are ever written out.
     """
-    left = items.select("item_id", F.col("vector").alias("_v"), V.norm(F.col("vector")).alias("_n"))
-    right = queries.select("query_id", F.col("vector").alias("_q"), V.norm(F.col("vector")).alias("_m"))
-    return left.join(right).select("query_id", "item_id", F.coalesce(V.dot(F.col("_v"), F.col("_q")) / F.nullif(F.col("_n") * F.col("_m"), F.lit(0.0)), F.lit(0.0)).alias("score"))
+    kinds = {f.name: f.dataType.simpleString() for f in (*items.schema.fields, *queries.schema.fields)}
+    schema = f"query_id {kinds['query_id']}, score double, item_id {kinds['item_id']}"
+
+    def best(ids, scores, more, item_ids, extras, batch) -> pa.RecordBatch:
+        names = np.array(item_ids, object)
+        order = np.argsort(names, kind="stable")
+        rows, labels, sorted_names = [], extras[0][order], names[order]
+        for q, l, own in zip(ids, more[0], np.round(scores[:, order], 9)):
+            able = np.flatnonzero((labels == l) & (sorted_names != q)) if l is not None else ()
+            if len(able):
+                j = int(able[own[able].argmax()])  # the first of equal ones
+                rows.append((q, float(own[j]), sorted_names[j]))
+        columns = list(zip(*rows)) if rows else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.array(ids[:1]).type), pa.array(columns[1], pa.float64()), pa.array(columns[2], batch.schema.field(0).type)], names=["query_id", "score", "item_id"])
+
+    found = _in_blocks(items, queries, [label], best, schema)
+    if found is None:
+        return items.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, first long")
+    top = found.groupBy("query_id").agg(F.min_by(F.struct("score", "item_id"), F.struct(-F.col("score"), F.col("item_id"))).alias("b")).select("query_id", "b.*")
+    asked = queries.join(top, "query_id").select("query_id", "vector", F.col("score").alias("bound"), F.col("item_id").alias("bound_id"))
+    marked = items.select("item_id", "vector", F.lit(None).cast("double").alias("bound"), F.lit(None).cast(kinds["item_id"]).alias("bound_id"))
+
+    def before(ids, scores, more, item_ids, _extras, batch) -> pa.RecordBatch:
+        names = np.array(item_ids, object)
+        counts = [int((((own > b) | ((own == b) & (names < i))) & (names != q)).sum()) for q, b, i, own in zip(ids, more[0].astype(float), more[1], np.round(scores, 9))]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts, pa.int64())], names=["query_id", "n"])
+
+    counted = _in_blocks(marked, asked, ["bound", "bound_id"], before, f"query_id {kinds['query_id']}, n long")
+    return counted.groupBy("query_id").agg((F.sum("n") + 1).alias("first"))
 
 
 def sparse(items: DataFrame, queries: DataFrame) -> DataFrame:
@@ -99,9 +228,19 @@ def rrf(rankings: list[DataFrame], k: int = 60) -> DataFrame:
 def ranking_metrics(ranking: DataFrame, gold: DataFrame) -> DataFrame:
     """For each query of ``gold`` (query_id, item_id) hit at 1, 5 and 10, reciprocal rank and NDCG at 10 of the first hit."""
     hits = ranking.join(gold, ["query_id", "item_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
-    per = gold.select("query_id").distinct().join(hits, "query_id", "left")
+    return first_hit_metrics(gold.select("query_id").distinct().join(hits, "query_id", "left"))
+
+
+def first_hit_metrics(first: DataFrame) -> DataFrame:
+    """The measures of E12 from the rank of the first hit (query_id, first); null: none."""
     at = lambda n: F.coalesce((F.col("first") <= n).cast("double"), F.lit(0.0))
-    return per.select("query_id", at(1).alias("hit_1"), at(5).alias("hit_5"), at(10).alias("hit_10"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), F.when(F.col("first") <= 10, 1.0 / F.log2(F.col("first") + 1.0)).otherwise(0.0).alias("ndcg_10"))
+    return first.select("query_id", at(1).alias("hit_1"), at(5).alias("hit_5"), at(10).alias("hit_10"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), F.when(F.col("first") <= 10, 1.0 / F.log2(F.col("first") + 1.0)).otherwise(0.0).alias("ndcg_10"))
+
+
+def metric_means(per_query: DataFrame) -> DataFrame:
+    """Means over queries of the measures of E12, in one row; nulls count nowhere."""
+    names = [c for c in per_query.columns if c != "query_id"]
+    return per_query.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in names])
 
 
 def entity_postings(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -55,6 +55,20 @@ def global_number(df: DataFrame, order: list[str], name: str = "number") -> Data
     return parts.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before")
 
 
+def neighbours_in_order(df: DataFrame, group: list[str], order: list[str], key: str) -> DataFrame:
+    """W1, W2 for groups of any size: prev_id and next_id by the number of a row in a total order, joined by that number."""
+    numbered = global_number(df, [*group, *order], "_at")
+    beside = numbered.select(F.col("_at").alias("_to"), *[F.col(c).alias(f"_g_{c}") for c in group], F.col(key).alias("_key"))
+    same = None
+    for c in group:
+        one = F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        same = one if same is None else same & one
+    out = numbered
+    for step, name in ((-1, "prev_id"), (1, "next_id")):
+        out = out.join(beside.withColumn("_to", F.col("_to") - step), (F.col("_at") == F.col("_to")) & same, "left").withColumn(name, F.col("_key")).drop("_to", "_key", *[f"_g_{c}" for c in group])
+    return out.drop("_at")
+
+
 def gap_clusters(df: DataFrame, group: list[str], value: str, most: Column, name: str = "cluster") -> DataFrame:
     """One-dimensional clusters cut where the gap to the value before is over ``most``."""
     w = W.partitionBy(*group).orderBy(value)

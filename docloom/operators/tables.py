@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import numeric as N
 from docloom.functions import text as X
+from docloom.operators import sequences as S
+from docloom.session import cut_lineage
 
 
 def explode_tables(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,17 +49,61 @@ def lookup(index: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
 
 
 def range_lookup(cells: DataFrame, metadata: DataFrame, predicates: DataFrame, k: int = 5) -> DataFrame:
-    """Cells that meet a unit-aware predicate (query_id, op, target, category), lowest values first, with their table.
+    """The k lowest cells of the category that meet a predicate (query_id, op, target, category), with their table.
 
-    The equality on the category carries the join; the comparison is its residual condition.
+    Upper bounds only need the k lowest cells of a category. For the others cells and bounds are sorted together from the highest
+    value, and each bound takes the k cells seen last; the parts of the sorted table pass on their k lowest cells of a category.
+    So no cell meets every predicate. Nulls and NaN meet none.
     """
-    wanted = predicates.where("category is not null").select("query_id", "op", "target", F.col("category").alias("_category"))
-    hits = cells.join(wanted, (cells["unit_category"] == wanted["_category"]) & N.compare(F.col("op"), cells["norm_numeric"], F.col("target")))
+    wanted = predicates.where("category is not null and target is not null").select("query_id", "op", F.col("target").cast("double").alias("target"), "category")
+    numbers = cells.where(F.col("norm_numeric").isNotNull() & ~F.isnan("norm_numeric") & F.col("unit_category").isNotNull()).select("cell_id", "table_id", F.col("norm_numeric").cast("double").alias("norm_numeric"), F.col("unit_category").alias("category"))
+    low = W.partitionBy("category").orderBy("norm_numeric", "cell_id")
+    lowest = numbers.withColumn("_n", F.row_number().over(low)).where(F.col("_n") <= k)
+    upper = wanted.where("op in ('<', '<=')").join(lowest, "category").where(N.compare(F.col("op"), F.col("norm_numeric"), F.col("target"))).select("query_id", "cell_id", "table_id", "norm_numeric")
+    lower = _next_cells(numbers, wanted.where("op not in ('<', '<=')"), k)
     w = W.partitionBy("query_id").orderBy("norm_numeric", "cell_id")
-    first = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    first = upper.unionByName(lower).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return first.join(metadata.select("table_id", "doc_name", "section_path", "page"), "table_id")
 
 
+def _next_cells(numbers: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
+    """For bounds with =, > or >= the k lowest cells from there on: (query_id, cell_id, table_id, norm_numeric)."""
+    kinds = {f.name: f.dataType.simpleString() for f in (*numbers.schema.fields, *bounds.schema.fields)}
+    names = ["category", "value", "rank_", "cell_id", "table_id", "query_id", "op"]
+    # from the highest value; at one value a bound with > comes before the cells, the others after them
+    a = numbers.select("category", F.col("norm_numeric").alias("value"), F.lit(1).alias("rank_"), "cell_id", "table_id", F.lit(None).cast(kinds["query_id"]).alias("query_id"), F.lit(None).cast("string").alias("op"))
+    b = bounds.select("category", F.col("target").alias("value"), F.when(F.col("op") == ">", 2).otherwise(0).alias("rank_"), F.lit(None).cast(kinds["cell_id"]).alias("cell_id"), F.lit(None).cast(kinds["table_id"]).alias("table_id"), "query_id", "op")
+    order = [F.asc("category"), F.desc("value"), F.desc("rank_"), F.desc("cell_id")]
+    part = cut_lineage(a.unionByName(b).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    low = W.partitionBy("part", "category").orderBy("value", "cell_id")
+    tails = part.where("cell_id is not null").withColumn("_n", F.row_number().over(low)).where(F.col("_n") <= k).select("part", "category", "value", "cell_id", "table_id").collect()  # k rows a part and category
+    sent = numbers.sparkSession.sparkContext.broadcast(sorted(((r.part, r.category, r.value, r.cell_id, r.table_id) for r in tails), key=lambda r: (r[0], r[1], -r[2], r[3])))
+    schema = f"query_id {kinds['query_id']}, cell_id {kinds['cell_id']}, table_id {kinds['table_id']}, norm_numeric double"
+
+    def run(frames):
+        rows, seen, category, first = [], [], None, None
+        for frame in frames:
+            for c, v, r, cell, table, q, op in frame[names].itertuples(index=False):
+                p = first if first is not None else int(frame["part"].iloc[0])
+                first = p
+                if c != category:
+                    category = c
+                    # what earlier parts have of this category, its k lowest last
+                    seen = sorted(((x[2], x[3], x[4]) for x in sent.value if x[0] < p and x[1] == c), key=lambda x: (x[0], x[1]))[:k][::-1]
+                if r == 1:
+                    seen.append((v, cell, table))
+                    if len(seen) > 4 * k + 64:
+                        seen = seen[-2 * k :]
+                else:
+                    near = sorted(seen, key=lambda x: (x[0], x[1]))[:k]
+                    rows += [(q, x[1], x[2], x[0]) for x in near if op != "=" or x[0] == v]
+            if rows:
+                yield pd.DataFrame(rows, columns=["query_id", "cell_id", "table_id", "norm_numeric"])
+                rows = []
+
+    return part.mapInPandas(run, schema)
+
+
 def best_cell(cells: DataFrame, asked: DataFrame) -> DataFrame:
     """for each (query_id, row_id) of ``asked`` (with tokens) the cell with most query tokens, five for each in the column label, one in the value."""
     tokens = F.col("query_tokens")
@@ -80,13 +127,12 @@ def row_chunks(cells: DataFrame, metadata: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("cell_id", "column_label", "raw_value")))
     rows = cells.groupBy("table_id", "row_id").agg(F.max("row_label").alias("row_label"), ordered.alias("c"))
     number = F.regexp_extract("row_id", r"_r([0-9]+)$", 1).try_cast("int")
-    rows = rows.join(metadata.select("table_id", "section_path"), "table_id", "left").withColumn("row_index", number)
-    w = W.partitionBy("table_id").orderBy("row_index", "row_id")
-    whole = W.partitionBy("table_id")
+    # one table may hold a tenth of all rows: neighbours come by number, totals by aggregation, and no window holds a table
+    rows = S.neighbours_in_order(rows.withColumn("row_index", number), ["table_id"], ["row_index", "row_id"], "row_id")
     is_sum = F.lower("row_label").rlike("total|sum|average")
+    whole = rows.groupBy("table_id").agg(F.count(F.lit(1)).alias("total_rows"), F.coalesce(F.max_by("row_id", F.when(is_sum, F.struct("row_index", "row_id"))), F.max_by("row_id", F.struct("row_index", "row_id"))).alias("summary_row_id"))
+    rows = rows.join(whole, "table_id", "left").join(metadata.select("table_id", "section_path").dropDuplicates(["table_id"]), "table_id", "left")
     return rows.select(
-        "table_id", "row_id", "row_index",
-        row_text(F.col("section_path"), F.col("table_id"), F.col("row_label"), F.col("c.column_label"), F.col("c.raw_value")).alias("text"),
-        F.lag("row_id").over(w).alias("prev_row_id"), F.lead("row_id").over(w).alias("next_row_id"), F.count(F.lit(1)).over(whole).alias("total_rows"),
-        F.coalesce(F.max_by("row_id", F.when(is_sum, F.col("row_index"))).over(whole), F.max_by("row_id", "row_index").over(whole)).alias("summary_row_id"),
+        "table_id", "row_id", "row_index", row_text(F.col("section_path"), F.col("table_id"), F.col("row_label"), F.col("c.column_label"), F.col("c.raw_value")).alias("text"),
+        F.col("prev_id").alias("prev_row_id"), F.col("next_id").alias("next_row_id"), "total_rows", "summary_row_id",
     )
