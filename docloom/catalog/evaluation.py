@@ -113,11 +113,13 @@ def latency_percentiles(t):
     return t("events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
 
 
-@query("SELECT zone_class, count(*) FILTER (WHERE gt_text_status = 'checked') AS checked, count(*) FILTER (WHERE gt_text_status = 'second_reading') AS second_reading FROM medcore_text_gt_flat GROUP BY zone_class")
+@query("SELECT zone_class, count(*) FILTER (WHERE gt_text_status = 'checked') AS checked, count(*) FILTER (WHERE gt_text_status = 'second_reading') AS second_reading, count(*) FILTER (WHERE gt_text_status = 'no_text') AS no_text, count(*) FILTER (WHERE gt_text_status IS NULL OR gt_text_status NOT IN ('checked', 'second_reading', 'no_text')) AS other FROM medcore_text_gt_flat GROUP BY zone_class")
 def pivot_class_model(t):
     """Counts by class, a column for each status."""
-    p = t("medcore_text_gt_flat").groupBy("zone_class").pivot("gt_text_status", ["checked", "second_reading"]).count()
-    return p.select("zone_class", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("checked", "second_reading")])
+    known = ["checked", "second_reading", "no_text"]
+    z = t("medcore_text_gt_flat").withColumn("_s", F.when(F.col("gt_text_status").isin(known), F.col("gt_text_status")).otherwise("other"))
+    p = z.groupBy("zone_class").pivot("_s", [*known, "other"]).count()
+    return p.select("zone_class", *[F.coalesce(c, F.lit(0)).alias(c) for c in (*known, "other")])
 
 
 @query("SELECT coalesce(zone_class, 'ALL') AS zone_class, round(sum(e) / sum(n), 6) AS micro, round(avg(e / n), 6) AS macro FROM (SELECT coalesce(zone_class, 'none') AS zone_class, abs(char_len - length(gt_text))::DOUBLE AS e, length(gt_text)::DOUBLE AS n FROM medcore_text_gt_flat WHERE length(gt_text) > 0 AND char_len IS NOT NULL) GROUP BY ROLLUP (zone_class)")
@@ -328,18 +330,72 @@ def _folder(df):
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_events FROM events GROUP BY user_id")
 def stream_job_state(t):
     """R3 as a stream that is run to its end; the SQL is the batch equivalent."""
-    e = t("events")
-    stream = V.latest_state(V.read_events(e.sparkSession, _folder(e)))
-    return V.run_available(stream, "complete").select("user_id", "state", "n_events")
+    return V.run_available(V.latest_state(_stream(t)), "complete").select("user_id", "state", "n_events")
 
 
 @query("SELECT event_id, event_type FROM events")
 def stream_dedup(t):
-    """The stream joined with itself delivers each event twice; the result has each once."""
-    e = t("events")
-    one = V.read_events(e.sparkSession, _folder(e))
+    """The stream joined with itself delivers each event twice; the result has each once. Keys are held for a day of event time."""
+    one = _stream(t)
     twice = one.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return V.run_available(V.once(twice, late="10000 days")).select("event_id", "event_type")
+    return V.run_available(V.once(twice, late="1 day")).select("event_id", "event_type")
+
+
+def _stream(t):
+    e = t("events")
+    return V.read_events(e.sparkSession, _folder(e))
+
+
+@query("WITH f AS (SELECT user_id, min((ts, event_id)) AS first FROM events WHERE event_type = 'purchase' GROUP BY user_id) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, event_type = 'purchase' AS closed FROM events LEFT JOIN f USING (user_id) WHERE first IS NULL OR (ts, event_id) <= first")
+def stream_progress(t):
+    """Progress of each job up to its first terminal event, with a state that ends by itself."""
+    return V.run_available(V.job_progress(_stream(t), ["purchase"])).select("user_id", "event_id", "step", "closed")
+
+
+@query("SELECT status, count(*) AS n, coalesce(sum(event_id), 0)::BIGINT AS ids FROM (SELECT event_id, CASE WHEN event_type = 'error' OR user_id = 13 THEN 'failed' ELSE 'done' END AS status FROM events) GROUP BY status")
+def stream_failures(t):
+    """Errors and all events of one job go to the dead letters."""
+    done, dead = V.run_split(V.with_failures(_stream(t), F.when((F.col("event_type") != "error") & (F.col("user_id") != 13), F.col("value"))))
+    both = done.select("status", "event_id").unionByName(dead.select("status", "event_id"))
+    return both.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3")
+def progress_list(t):
+    """R9."""
+    return V.progress_list(t("events"), 3).select("user_id", "event_id")
+
+
+@query("SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def expired_jobs(t):
+    """Older than a week at the time of the last event."""
+    e = t("events")
+    now = e.agg(F.max("ts")).first()[0]
+    return V.expired(e, F.lit(now).cast("timestamp_ntz")).select("event_id")
+
+
+@query("SELECT event_type, strftime(start, '%Y-%m-%d %H:%M') AS start, n, total FROM (SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_tumbling(t):
+    """Windows that the watermark, a day behind the last event, has closed."""
+    w = V.run_available(V.tumbling(_stream(t)))
+    return w.select("event_type", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "n", F.round("total", 2).alias("total"))
+
+
+@query("SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, n FROM (SELECT b - INTERVAL (k) HOUR AS start, count(*) AS n FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS b, unnest([0, 1]) AS k FROM events) GROUP BY start) WHERE start + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_sliding(t):
+    w = V.run_available(V.sliding(_stream(t)))
+    return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
+@query("SELECT user_id, n FROM (SELECT user_id, count(*) AS n, max(ts) + INTERVAL 30 MINUTE AS until FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL)::INT AS s FROM events)) GROUP BY user_id, g) WHERE until <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_sessions(t):
+    return V.run_available(V.sessions(_stream(t))).select("user_id", "n")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_events FROM events GROUP BY user_id")
+def stream_state_updates(t):
+    """As above in update mode, merged by job."""
+    return V.run_available(V.latest_state(_stream(t)), "update", ["user_id"]).select("user_id", "state", "n_events")
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
