@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,3 +40,34 @@ def hashed_embedding(tokens: Column, size: int = 64) -> Column:
     """counts of tokens by hash, the same in every run."""
     places = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
+
+
+def similarity_pairs(df: DataFrame, group: list[str], key: str, vector: str) -> DataFrame:
+    """cosine of each pair of rows of a group, the first key before the second; a group is a page or section, not a table."""
+    a = df.select(*group, F.col(key).alias("a_id"), F.col(vector).alias("_a"))
+    b = df.select(*group, F.col(key).alias("b_id"), F.col(vector).alias("_b"))
+    return a.join(b, group).where("a_id < b_id").select(*group, "a_id", "b_id", cosine(F.col("_a"), F.col("_b")).alias("similarity"))
+
+
+def seeded_vector(texts: pd.Series, size: int = 64) -> pd.Series:
+    """unit vectors that depend on the text alone, from a generator seeded with the sum of its code points; null for null."""
+    out = []
+    for t in texts:
+        if t is None:
+            out.append(None)
+            continue
+        v = np.random.RandomState(sum(map(ord, t)) % (2**31 - 1)).randn(size).astype(np.float32)
+        out.append((v / (np.linalg.norm(v) or 1.0)).tolist())
+    return pd.Series(out, dtype="object")
+
+
+def fallback_vector(c: Column, size: int = 64) -> Column:
+    """F51 as a column function."""
+    return F.pandas_udf(lambda s: seeded_vector(s, size), "array<float>")(c)
+
+
+def batches(values: Column, size: int) -> Column:
+    """an array cut into arrays of ``size``; the last may be shorter."""
+    n = F.size(values)
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(n / F.lit(size)).cast("int") - 1), lambda k: F.slice(values, k * size + 1, size))
+    return F.when(n > 0, cut)
