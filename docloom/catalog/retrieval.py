@@ -151,7 +151,10 @@ def predicate_range_lookup(t):
     return T.range_lookup(cells, t("table_metadata"), p, 5).select("query_id", "cell_id", F.col("rank").cast("long").alias("rank"), "doc_name", F.col("page").cast("long").alias("page"))
 
 
-@query(f"WITH {_INDEX}, h AS (SELECT query_id, row_id, table_id, count(DISTINCT token) AS hit_count FROM idx JOIN asked USING (token) GROUP BY ALL), top AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hit_count DESC, row_id, table_id) = 1), q AS (SELECT query_id, list(token) AS qt FROM asked GROUP BY query_id), c AS (SELECT DISTINCT row_id, table_id, cell_id, column_label, raw_value FROM table_cells) SELECT query_id, row_id, cell_id, (5 * len(list_intersect({entity_sql('column_label')}, qt)) + len(list_intersect({entity_sql('raw_value')}, qt)))::BIGINT AS cell_score FROM top JOIN c USING (row_id, table_id) JOIN q USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id, row_id, table_id ORDER BY cell_score DESC, cell_id) = 1")
+_CELL_SCORE = f"(5 * len(list_intersect({entity_sql('column_label')}, qt)) + len(list_intersect({entity_sql('raw_value')}, qt)) + 10 * len(list_intersect(list_intersect({entity_sql('column_label')}, qt), [{', '.join(repr(w) for w in T.DOMAIN_WORDS)}])))"
+
+
+@query(f"WITH {_INDEX}, h AS (SELECT query_id, row_id, table_id, count(DISTINCT token) AS hit_count FROM idx JOIN asked USING (token) GROUP BY ALL), top AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hit_count DESC, row_id, table_id) = 1), q AS (SELECT query_id, list(token) AS qt FROM asked GROUP BY query_id), c AS (SELECT DISTINCT row_id, table_id, cell_id, column_label, raw_value FROM table_cells) SELECT query_id, row_id, cell_id, {_CELL_SCORE}::BIGINT AS cell_score FROM top JOIN c USING (row_id, table_id) JOIN q USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id, row_id, table_id ORDER BY cell_score DESC, cell_id) = 1")
 def best_cell(t):
     asked = _asked(t)
     top = T.lookup(T.row_tokens(t("table_cells")), asked, 1).select("query_id", "row_id", "table_id")
@@ -168,10 +171,10 @@ def table_rows_kv(t):
 _ROWS = "rows AS (SELECT table_id, row_id, max(row_label) AS row_label, string_agg(CASE WHEN trim(coalesce(raw_value, ''), ' ') <> '' THEN column_label || ' = ' || trim(raw_value, ' ') END, ' | ' ORDER BY cell_id) AS pairs, try_cast(regexp_extract(row_id, '_r([0-9]+)$', 1) AS INT) AS row_index FROM (SELECT DISTINCT table_id, row_id, row_label, cell_id, column_label, raw_value FROM table_cells) GROUP BY table_id, row_id)"
 
 
-@query(f"WITH {_ROWS} SELECT table_id, row_id, lag(row_id) OVER w AS prev_row_id, lead(row_id) OVER w AS next_row_id, count(*) OVER (PARTITION BY table_id) AS total_rows, md5(concat_ws(' | ', 'Section: ' || section_path, 'Table: ' || table_id, 'Row: ' || row_label, coalesce(pairs, ''))) AS text_md5 FROM rows LEFT JOIN table_metadata USING (table_id) WINDOW w AS (PARTITION BY table_id ORDER BY row_index, row_id)")
+@query(f"WITH {_ROWS} SELECT table_id, row_id, lag(row_id) OVER w AS prev_row_id, lead(row_id) OVER w AS next_row_id, count(*) OVER (PARTITION BY table_id) AS total_rows, coalesce(max(CASE WHEN regexp_matches(lower(row_label), 'total|sum|average') THEN (coalesce(row_index, -1), row_id) END) OVER (PARTITION BY table_id), max((coalesce(row_index, -1), row_id)) OVER (PARTITION BY table_id))[2] AS summary_row_id, md5(concat_ws(' | ', 'Section: ' || section_path, 'Table: ' || table_id, 'Row: ' || row_label, coalesce(pairs, ''))) AS text_md5 FROM rows LEFT JOIN table_metadata USING (table_id) WINDOW w AS (PARTITION BY table_id ORDER BY row_index, row_id)")
 def row_chunks_pointers(t):
     cells = t("table_cells").select("table_id", "row_id", "row_label", "cell_id", "column_label", "raw_value").distinct()
-    return T.row_chunks(cells, t("table_metadata")).select("table_id", "row_id", "prev_row_id", "next_row_id", "total_rows", F.md5("text").alias("text_md5"))
+    return T.row_chunks(cells, t("table_metadata")).select("table_id", "row_id", "prev_row_id", "next_row_id", "total_rows", "summary_row_id", F.md5("text").alias("text_md5"))
 
 
 @query(f"WITH {_INDEX}, {_ROWS}, q AS (SELECT DISTINCT query_id, CASE WHEN contains(lower(query), 'table') OR contains(lower(query), 'column') OR contains(lower(query), 'grid') THEN 'table' WHEN list_has_any({entity_sql('query')}, [{', '.join(repr(w) for w in X.PROSE_SIGNALS)}]) OR len(list_filter(regexp_split_to_array(lower(trim(query, ' ')), '[ \\t\\n\\r\\f]+'), lambda t: t <> '')) > 5 THEN 'prose' ELSE 'table' END AS route FROM predictions WHERE try_cast(right(query_id, 7) AS BIGINT) % 20 = 0) SELECT route, count(*) AS n_queries, sum(hits)::BIGINT AS n_hits FROM (SELECT q.query_id, route, count(h.row_id) AS hits FROM q LEFT JOIN (SELECT query_id, row_id FROM (SELECT query_id, row_id, table_id, count(DISTINCT token) AS c FROM idx JOIN asked USING (token) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, row_id, table_id) <= 5) h ON h.query_id = q.query_id AND route = 'table' GROUP BY ALL) GROUP BY route")

@@ -173,15 +173,21 @@ def markdown_tables(t):
     return rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("r")).cast("long").alias("n_columns"))
 
 
-@query("SELECT doc_id, array_to_string(t[1:15], ',') AS terms FROM (SELECT doc_id, (SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS i) GROUP BY x)) AS t FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{2,}|[0-9]+(?:\\.[0-9]+)? (?:mm|cm|kg|ml|V|W|Hz)\\b') AS l FROM documents)) WHERE t IS NOT NULL")
+_PLAIN = r"regexp_replace(text, '[ªµºÀ-ÖØ-öø-žʼ\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Devanagari}ー]', '_', 'g')"
+
+
+@query(f"WITH k AS (SELECT doc_id, list_filter(regexp_extract_all({_PLAIN}, '\\b[A-Z][a-zA-Z0-9\\-]{{2,}}\\b|\\b[0-9]+[.0-9]*[ \\t\\n\\r\\f]*[a-zA-Z]+\\b'), lambda x: length(x) > 3) AS l FROM documents), d AS (SELECT doc_id, l, list_transform(l, lambda x: lower(x)) AS low FROM k) SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(low, lower(x)) = i)[1:15], ',') AS terms FROM d WHERE len(l) > 0")
 def key_terms(t):
     return t("documents").select("doc_id", X.key_terms("text").alias("k")).where("size(k) > 0").select("doc_id", F.array_join("k", ",").alias("terms"))
 
 
-@query("SELECT d AS domain, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(text), 'catheter|clinical|sterile') THEN 'medical' WHEN regexp_matches(lower(text), 'laboratory|assay|reagent') THEN 'scientific' WHEN regexp_matches(lower(text), 'revenue|invoice|audit') THEN 'financial' ELSE 'general' END AS d FROM documents) GROUP BY d")
+_ANY = lambda c, words: "(" + " OR ".join(f"contains(lower(coalesce({c}, '')), '{w}')" for w in words) + ")"
+_DOMAIN = "CASE " + " ".join(f"WHEN {_ANY('doc_stem', p)} OR {_ANY('text', w)} THEN '{n}'" for n, (p, w) in X.DOMAINS.items()) + " ELSE 'general' END"
+
+
+@query(f"SELECT {_DOMAIN} AS domain, count(*) AS n FROM documents GROUP BY 1")
 def domain_class(t):
-    rules = [("medical", "catheter|clinical|sterile"), ("scientific", "laboratory|assay|reagent"), ("financial", "revenue|invoice|audit")]
-    return t("documents").select(X.domain("text", rules).alias("domain")).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    return t("documents").select(X.document_domain(F.col("doc_stem"), F.col("text")).alias("domain")).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT DISTINCT chunk_id, page AS first_page, (page + len(source_element_indices) % 4)::INTEGER AS last_page, (1 + len(source_element_indices) % 4)::BIGINT AS n_pages FROM chunks WHERE page IS NOT NULL AND source_element_indices IS NOT NULL")

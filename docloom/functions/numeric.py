@@ -36,6 +36,16 @@ def unit_value(c: Column | str) -> Column:
     return F.struct((number * F.coalesce(scale, F.lit(1.0))).alias("base_value"), F.when(number.isNotNull(), F.when(unit == "", "dimensionless").otherwise(F.coalesce(category, unit))).alias("category"))
 
 
+@F.pandas_udf(T.StringType())
+def unit_string(texts: pd.Series) -> pd.Series:
+    """normal form of an anchored number with a unit, the number to four significant digits; other texts in lower case."""
+    out = []
+    for t in texts:
+        m = re.match(_VALUE, t.strip()) if t is not None else None
+        out.append(None if t is None else f"{float(m[1]):.4g} {m[2].lower()}" if m and m[2] else f"{float(m[1]):.4g}" if m else t.strip().lower())
+    return pd.Series(out, dtype="object")
+
+
 def predicate(c: Column | str) -> Column:
     """P5: struct(op, target, category) of the first comparison in a query; null fields without one."""
     t = col(c)

@@ -135,9 +135,32 @@ def markdown_rows(c: Column | str) -> Column:
 
 
 def key_terms(c: Column | str, most: int = 15) -> Column:
-    """capitalised words and numbers with a unit, the first ``most`` distinct ones."""
-    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"([A-Z][a-z]{2,}|[0-9]+(?:\.[0-9]+)? (?:mm|cm|kg|ml|V|W|Hz)(?![A-Za-z0-9_]))"), 1)
-    return F.slice(F.array_distinct(found), 1, most)
+    """capitalised words and numbers with a word, over three signs long, the first ``most`` that differ in lower case."""
+    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"(\b[A-Z][a-zA-Z0-9\-]{2,}\b|\b[0-9]+[.0-9]*[ \t\n\r\f]*[a-zA-Z]+\b)"), 1)
+    long = F.filter(found, lambda t: F.length(t) > 3)
+    low = F.transform(long, lambda t: F.lower(t))
+    return F.slice(F.filter(long, lambda t, i: F.array_position(low, F.lower(t)) == i + 1), 1, most)
+
+
+# Words of each domain, tried in this order, and parts of a path that name it.
+DOMAINS = {
+    "medical": (["medical"], ["patient", "clinical", "forceps", "surgical", "treatment", "doctor", "health", "hospital", "anatomy"]),
+    "scientific": (["scientific", "arxiv"], ["abstract", "equation", "theorem", "method", "dataset", "framework", "architecture", "experimental"]),
+    "financial": (["financial"], ["fiscal", "quarter", "revenue", "profit", "ebitda", "shares", "growth", "annual report", "balance sheet"]),
+}
+
+
+def document_domain(path: Column, text: Column) -> Column:
+    """the first domain that the path names or of which the text holds a word; else general."""
+    low_path, low_text, out = F.lower(F.coalesce(path, F.lit(""))), F.lower(F.coalesce(text, F.lit(""))), F.lit("general")
+    for name, (paths, words) in reversed(DOMAINS.items()):
+        hit = F.lit(False)
+        for p in paths:
+            hit = hit | low_path.contains(p)
+        for w in words:
+            hit = hit | low_text.contains(w)
+        out = F.when(hit, F.lit(name)).otherwise(out)
+    return out
 
 
 def domain(c: Column | str, rules: list[tuple[str, str]], default: str = "general") -> Column:
@@ -189,6 +212,12 @@ def fenced_json(c: Column | str) -> Column:
     return F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+def code_block(c: Column | str) -> Column:
+    """the first fenced block of an answer, with or without a language, else the answer; trimmed."""
+    found = F.regexp_extract(col(c), r"(?s)```(?:python)?[ \t\n\r\f]*(.*?)```", 1)
+    return F.trim(F.when(col(c).rlike(r"(?s)```.*?```"), found).otherwise(col(c)), F.lit(" \t\n\r"))
+
+
 def groundedness(context: Column, truth: Column) -> Column:
     """0.1 + 0.9 times the share of the truth's words found in the context; 0.1 without words."""
     gold = F.array_distinct(alnum_tokens(truth))

@@ -153,3 +153,36 @@ def scored(predictions: DataFrame, prediction: str, gold: str) -> DataFrame:
         "exact_match": exact_match(p, g), "set_em": set_exact_match(p, g), "token_f1": token_scores(p, g)["f1"], "token_precision": token_scores(p, g)["precision"],
         "numeric_em": numeric_match(p, g), "char_similarity": char_similarity(p, g), "containment": containment(p, g),
     })
+
+
+def corpus_bleu(df: DataFrame, p: str = "p", g: str = "g") -> DataFrame:
+    """Corpus BLEU-4 in one row from counts summed over all rows; a match of zero counts as 0.1 of a total (first smoothing), no totals give 0."""
+    counts = df.select(*[bleu_counts(F.col(p), F.col(g), n).alias(f"n{n}") for n in range(1, 5)], F.size(words(F.col(p))).alias("lp"), F.size(words(F.col(g))).alias("lg"))
+    s = counts.agg(*[F.sum(f"n{n}.{c}").alias(f"{c}{n}") for n in range(1, 5) for c in ("match", "total")], F.sum("lp").alias("lp"), F.sum("lg").alias("lg"))
+    logs = F.lit(0.0)
+    for n in range(1, 5):
+        total = F.greatest(F.col(f"total{n}"), F.lit(1))
+        logs = logs + F.log(F.when(F.col(f"match{n}") > 0, F.col(f"match{n}")).otherwise(F.lit(0.1)) / total) / 4
+    brevity = F.when(F.col("lp") >= F.col("lg"), 1.0).otherwise(F.exp(1 - F.col("lg") / F.greatest(F.col("lp"), F.lit(1))))
+    return s.select(F.when(F.coalesce(F.col("match1"), F.lit(0)) > 0, brevity * F.exp(logs)).otherwise(0.0).alias("bleu"), "lp", "lg")
+
+
+def cider(df: DataFrame, key: str, p: str, g: str, most: int = 4) -> DataFrame:
+    """(key, cider) with one reference each: mean over n of the cosine of TF-IDF weights of n-grams, document frequencies over
+    the references, times ten. N-grams are joined by equality and summed by row.
+    """
+    def grams(c: Column, n: int) -> Column:
+        return F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.concat(F.lit(f"{n}:"), F.array_join(F.slice(c, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+    base = df.select(key, words(F.col(p)).alias("_p"), words(F.col(g)).alias("_g"))
+    many = lambda c: F.concat(*[grams(F.col(c), n) for n in range(1, most + 1)])
+    long = base.select(key, F.lit("p").alias("side"), F.explode(many("_p")).alias("gram")).unionByName(base.select(key, F.lit("g").alias("side"), F.explode(many("_g")).alias("gram")))
+    tf = long.groupBy(key, "gram").agg(F.sum((F.col("side") == "p").cast("double")).alias("tp"), F.sum((F.col("side") == "g").cast("double")).alias("tg"))
+    df_ = tf.where("tg > 0").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    n_docs = base.agg(F.log(F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double")).alias("log_n"))
+    idf = F.col("log_n") - F.log(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)).cast("double"))
+    w = tf.join(df_, "gram", "left").crossJoin(F.broadcast(n_docs)).select(key, F.split_part("gram", F.lit(":"), F.lit(1)).alias("n"), (F.col("tp") * idf).alias("wp"), (F.col("tg") * idf).alias("wg"))  # one row
+    each = w.groupBy(key, "n").agg(F.sum(F.least("wp", "wg") * F.col("wg")).alias("dot"), F.sqrt(F.sum(F.col("wp") ** 2)).alias("np"), F.sqrt(F.sum(F.col("wg") ** 2)).alias("ng"))
+    score = each.groupBy(key).agg((10 * F.sum(F.coalesce(F.col("dot") / F.nullif(F.col("np") * F.col("ng"), F.lit(0.0)), F.lit(0.0))) / most).alias("cider"))
+    lengths = base.select(key, F.exp(-((F.size("_p") - F.size("_g")) ** 2) / 72.0).alias("_l"))
+    return lengths.join(score, key, "left").select(key, (F.coalesce("cider", F.lit(0.0)) * F.col("_l")).alias("cider"))

@@ -71,3 +71,41 @@ def checks(chunks: DataFrame) -> DataFrame:
     }
     found = F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()])
     return chunks.select("chunk_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("check_name")).distinct()
+
+
+def element_checks(elements: DataFrame) -> DataFrame:
+    """Violations (check_name, doc, element) of the ten rules of an element corpus.
+
+    ``elements`` has doc, elem_idx, element_id, type, page, bbox (struct), reading_order, section_path (array), text, table_markdown, image_path,
+    image_caption. Rules of one element are one scan; those of a document or page are aggregations. ``doc`` may be null for none.
+    """
+    e = elements.withColumn("_e", F.col("elem_idx").cast("string"))
+    b, text = F.col("bbox"), F.coalesce("text", F.lit(""))
+    rows_of = F.filter(F.split(F.coalesce("table_markdown", F.lit("")), "\n"), lambda line: F.trim(line).startswith("|") & F.trim(line).endswith("|"))
+    widths = F.array_distinct(F.transform(rows_of, lambda line: F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))))
+    table, figure = F.col("type") == "table", F.col("type").isin("figure", "image")
+    textual = F.col("type").isin("title", "paragraph", "header", "footer", "list_item", "formula")
+    missing = F.col("doc").isNull() | F.col("element_id").isNull() | F.col("type").isNull() | F.col("page").isNull() | b.isNull() | F.col("reading_order").isNull() | F.col("section_path").isNull()
+    missing = missing | (textual & F.col("text").isNull()) | (table & F.col("table_markdown").isNull()) | (figure & (F.col("image_path").isNull() | F.col("image_caption").isNull()))
+    rules = {
+        "schema_completeness": missing,
+        "type_correctness": (F.col("page") < 1) | (b.isNotNull() & (b["x0"].isNull() | b["y0"].isNull() | b["x1"].isNull() | b["y1"].isNull())),
+        "bbox_sanity": (b["x0"] < 0) | (b["y0"] < 0) | (b["x1"] <= b["x0"]) | (b["y1"] <= b["y0"]),
+        "table_integrity": table & F.col("table_markdown").isNotNull() & (~(F.col("table_markdown").contains("|") | F.col("table_markdown").contains("<table>")) | (F.size(widths) > 1)),
+        "figure_integrity": figure & ((F.trim("image_caption") == "") | (F.trim("image_path") == "")),
+        "text_quality": text.contains("\ufffd") | text.rlike(r"([^.\-\s])\1{3,}") | text.rlike(r"[\p{L}\p{N}_]-[ \t\n\r\f]+[\p{L}\p{N}_]") | text.rlike("[\ufb01\ufb02\ufb00][ \t\n\r\f]+[\p{L}\p{N}_]"),
+    }
+    found = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()])
+    single = e.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("check_name"), "doc", F.col("_e").alias("element"))
+    twice = e.where("element_id is not null").groupBy("doc", "element_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("uniqueness").alias("check_name"), "doc", F.col("element_id").alias("element"))
+    w = W.partitionBy("doc", "page").orderBy("elem_idx")
+    order = e.where("reading_order is not null").withColumn("_back", F.col("reading_order") <= F.lag("reading_order").over(w)).groupBy("doc", "page").agg(F.max("_back").alias("_bad"), (F.count_distinct("reading_order") < F.count(F.lit(1))).alias("_twice"))
+    order = order.where("_bad or _twice").select(F.lit("reading_order").alias("check_name"), "doc", F.concat(F.lit("page "), F.col("page").cast("string")).alias("element"))
+    mixed = e.where(F.col("type").isin("title", "paragraph") & F.col("section_path").isNotNull()).groupBy("doc", "page").agg(F.max(F.size("section_path")).alias("_most"), F.min(F.size("section_path")).alias("_least"))
+    mixed = mixed.where("_most > 0 and _least = 0").select(F.lit("section_path").alias("check_name"), "doc", F.concat(F.lit("page "), F.col("page").cast("string")).alias("element"))
+    # documents whose elements fill other fields than most do
+    fields = ["element_id", "reading_order", "section_path"]
+    keys = e.groupBy("doc").agg(F.concat_ws(",", *[F.when(F.count(c) > 0, F.lit(c)) for c in fields]).alias("_k"))
+    usual = keys.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).agg(F.max_by("_k", F.struct("_n", "_k")).alias("_usual"))
+    odd = keys.crossJoin(F.broadcast(usual)).where("_k <> _usual").select(F.lit("cross_document").alias("check_name"), "doc", F.lit("document").alias("element"))  # one row
+    return single.unionByName(twice).unionByName(order).unionByName(mixed).unionByName(odd).distinct()

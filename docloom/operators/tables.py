@@ -104,15 +104,39 @@ def _next_cells(numbers: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
     return part.mapInPandas(run, schema)
 
 
+# Words of a column label that decide for its cell.
+DOMAIN_WORDS = "temperature temp degc c voltage volts v pressure psi diameter mm storage tb gb memory ram battery wh material sterilization processor cpu flow cv".split()
+
+
 def best_cell(cells: DataFrame, asked: DataFrame) -> DataFrame:
-    """for each (query_id, row_id) of ``asked`` (with tokens) the cell with most query tokens, five for each in the column label, one in the value."""
-    tokens = F.col("query_tokens")
-    score = 5 * F.size(F.array_intersect(X.entity_tokens("column_label"), tokens)) + F.size(F.array_intersect(X.entity_tokens("raw_value"), tokens))
+    """for each (query_id, row_id) of ``asked`` (with query_tokens) the cell with most query tokens: five for each in the column label, ten
+    more for each of DOMAIN_WORDS among them, one in the value; the first of equal ones.
+    """
+    tokens, label = F.col("query_tokens"), F.array_intersect(X.entity_tokens("column_label"), F.col("query_tokens"))
+    domain = F.size(F.array_intersect(label, F.array(*[F.lit(w) for w in DOMAIN_WORDS])))
+    score = 5 * F.size(label) + F.size(F.array_intersect(X.entity_tokens("raw_value"), tokens)) + 10 * domain
     joined = cells.join(asked, ["row_id", "table_id"]).withColumn("cell_score", score)
     w = W.partitionBy("query_id", "row_id", "table_id").orderBy(F.desc("cell_score"), "cell_id")
     return joined.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def search(cells: DataFrame, metadata: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Rows (query_id, rank, row_id, cell_id, raw_value, score, doc_name, section_path, page) for each query (query_id, query).
+
+    A query with a predicate on a known unit takes the cells in range, with score 10; any other the rows that share most of its tokens,
+    each with its best cell. Both branches run in one plan and are put together.
+    """
+    parsed = queries.select("query_id", "query", N.predicate("query").alias("p"))
+    ranged = F.col("p.category").isNotNull()
+    hits = range_lookup(cells, metadata, parsed.where(ranged).select("query_id", "p.op", "p.target", "p.category"), k)
+    by_range = hits.join(cells.select("cell_id", "row_id", "raw_value").dropDuplicates(["cell_id"]), "cell_id").select("query_id", "rank", "row_id", "cell_id", "raw_value", F.lit(10.0).alias("score"), "doc_name", "section_path", "page")
+    tokens = parsed.where(~F.coalesce(ranged, F.lit(False))).select("query_id", X.entity_tokens("query").alias("query_tokens"))
+    rows = lookup(row_tokens(cells), tokens.select("query_id", F.explode("query_tokens").alias("token")), k)
+    best = best_cell(cells, rows.join(tokens, "query_id"))
+    by_row = best.join(metadata.select("table_id", "doc_name", "section_path", "page").dropDuplicates(["table_id"]), "table_id", "left").select("query_id", "rank", "row_id", "cell_id", "raw_value", F.col("hit_count").cast("double").alias("score"), "doc_name", "section_path", "page")
+    return by_range.unionByName(by_row)
+
+
 def row_text(section: Column, table: Column, label: Column, headers: Column, values: Column) -> Column:
     """"Section: … | Table: … | Row: … | header = value", empty cells left out."""
     pairs = F.filter(F.zip_with(headers, values, lambda h, v: F.when(F.trim(F.coalesce(v, F.lit(""))) != "", F.concat(h, F.lit(" = "), F.trim(v)))), lambda s: s.isNotNull())
