@@ -97,9 +97,10 @@ def document_slug(name: Column | str, content: Column | str) -> Column:
 
 
 def section_slug(c: Column | str) -> Column:
-    """first 30 characters, other than letters and digits to underscores, or ``sec``."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(F.substring(F.coalesce(col(c), F.lit("")), 1, 30)), "[^a-z0-9]+", "_"), "^_|_$", "")
-    return F.when(s == "", "sec").otherwise(s)
+    """the first 30 signs in lower case, each other than letters and digits as an underscore, without outer ones; ``sec`` for nothing."""
+    low = F.lower(F.regexp_replace(F.substring(F.coalesce(col(c), F.lit("")), 1, 30), "[^a-zA-Z0-9]", "_"))
+    slug = F.regexp_replace(low, "^_+|_+$", "")
+    return F.when(slug == "", "sec").otherwise(slug)
 
 
 def chunk_name(stem: Column, strategy: Column, page: Column, seq: Column) -> Column:

@@ -93,7 +93,7 @@ def element_checks(elements: DataFrame) -> DataFrame:
         "bbox_sanity": (b["x0"] < 0) | (b["y0"] < 0) | (b["x1"] <= b["x0"]) | (b["y1"] <= b["y0"]),
         "table_integrity": table & F.col("table_markdown").isNotNull() & (~(F.col("table_markdown").contains("|") | F.col("table_markdown").contains("<table>")) | (F.size(widths) > 1)),
         "figure_integrity": figure & ((F.trim("image_caption") == "") | (F.trim("image_path") == "")),
-        "text_quality": text.contains("\ufffd") | text.rlike(r"([^.\-\s])\1{3,}") | text.rlike(r"[\p{L}\p{N}_]-[ \t\n\r\f]+[\p{L}\p{N}_]") | text.rlike("[\ufb01\ufb02\ufb00][ \t\n\r\f]+[\p{L}\p{N}_]"),
+        "text_quality": text.contains("\ufffd") | text.rlike(r"([^.\-\s])\1{3,}") | text.rlike(r"[\p{L}\p{N}_]-[ \t\n\r\f]+[\p{L}\p{N}_]") | text.rlike(r"[\x{FB01}\x{FB02}\x{FB00}][ \t\n\r\f]+[\p{L}\p{N}_]"),
     }
     found = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()])
     single = e.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("check_name"), "doc", F.col("_e").alias("element"))

@@ -204,6 +204,39 @@ def first_relevant(items: DataFrame, queries: DataFrame, label: str = "label") -
     return counted.groupBy("query_id").agg((F.sum("n") + 1).alias("first"))
 
 
+def maxsim_top(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Q7: items (item_id, m: array of vectors) with the greatest sum over the query's vectors (query_id, q) of the best dot product.
+
+    As for ``dense_top`` the query set is met in blocks by batches of items where these are read.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in (*items.schema.fields, *queries.schema.fields)}
+    schema = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double"
+    spark = items.sparkSession
+    n, size = queries.agg(F.count(F.lit(1)), F.max(F.aggregate("q", F.lit(0), lambda a, v: a + F.size(v)))).first()
+    blocks = max(1, -(-(n or 0) * max(1, size or 1) * 8 // BLOCK_BYTES))
+    out = spark.createDataFrame([], schema)
+    for number in range(blocks):
+        rows = queries.where((F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number) & F.col("query_id").isNotNull() & (F.size("q") > 0)).select("query_id", "q").collect()  # one block
+        if not rows:
+            continue
+        sent = spark.sparkContext.broadcast([(r.query_id, np.array(r.q, float)) for r in rows])
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                best: dict[int, list] = {}
+                for item, vectors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if vectors:
+                        passage = np.array(vectors, float)
+                        for place, (_, q) in enumerate(sent.value):
+                            best.setdefault(place, []).append((float((q @ passage.T).max(axis=1).sum()), item))
+                found = [(sent.value[p][0], i, s) for p, own in best.items() for s, i in sorted(own, key=lambda x: (-round(x[0], 9), x[1]))[:k]]
+                columns = list(zip(*found)) if found else [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.array([sent.value[0][0]]).type), pa.array(columns[1], batch.schema.field(0).type), pa.array(columns[2], pa.float64())], names=["query_id", "item_id", "score"])
+
+        out = out.unionByName(items.where(F.col("item_id").isNotNull()).select("item_id", "m").mapInArrow(run, schema))
+    return ranked(out, k)
+
+
 def sparse(items: DataFrame, queries: DataFrame) -> DataFrame:
     """Q4, Q6: dot product of exploded sparse vectors (id, term, weight)."""
     return items.join(queries, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.catalog import evaluation, filters, layout, pages, reading, retrieval, scores, sources, structure, texts
+from docloom.catalog import evaluation, filters, index, layout, pages, reading, retrieval, scores, sources, structure, texts
 from docloom.operators import units
 from docloom.session import table
 
@@ -27,6 +27,6 @@ def p4_hidden(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict = {f.__name__: f for f in (p4_found, p4_inferred, p4_hidden)}
 SQL: dict[str, str] = {}
-for _part in (texts, filters, reading, retrieval, evaluation, scores, pages, layout, sources, structure):
+for _part in (texts, filters, reading, retrieval, evaluation, scores, pages, layout, sources, index, structure):
     QUERIES |= _part.query.queries
     SQL |= _part.query.sql
