@@ -53,20 +53,36 @@ def section_hierarchical(elements: DataFrame, budget: int = 800) -> DataFrame:
 
 
 def naive_baseline(elements: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
-    """Windows over the words of a page."""
-    pages = elements.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("_p"))
-    words = F.filter(F.split(F.array_join(F.transform("_p", lambda p: p["text"]), "\n\n"), "[ \t\n\r\f]+"), lambda x: x != "")
-    win = pages.select("doc", "page", F.posexplode(S.token_windows(words, size, overlap)).alias("n", "w"))
-    return win.select(X.chunk_name(F.col("doc"), F.lit("naive_baseline"), F.col("page"), F.col("n")).alias("chunk_id"), "doc", "page", F.lit("naive_baseline").alias("strategy"), F.array_join("w", " ").alias("text"))
+    """Windows over the words of a page, each with the elements that its words come from."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t\n\r\f]+"), lambda x: x != "")
+    pages = elements.select("doc", "page", "seq", F.transform(words, lambda x: F.struct(F.col("seq").alias("s"), x.alias("w"))).alias("_w")).groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "_w"))).alias("_p"))
+    flat = F.flatten(F.transform("_p", lambda p: p["_w"]))
+    starts = S.token_windows(F.transform(F.sequence(F.lit(1), F.size("_f")), lambda i: i.cast("string")), size, overlap)
+    win = pages.withColumn("_f", flat).where(F.size("_f") > 0).select("doc", "page", "_f", F.posexplode(starts).alias("n", "_at"))
+    win = win.withColumn("_s", F.slice("_f", F.element_at("_at", 1).cast("int"), F.size("_at")))
+    return win.select(
+        X.chunk_name(F.col("doc"), F.lit("naive_baseline"), F.col("page"), F.col("n")).alias("chunk_id"), "doc", "page", F.lit("naive_baseline").alias("strategy"),
+        F.array_join(F.transform("_s", lambda x: x["w"]), " ").alias("text"), F.array_distinct(F.transform("_s", lambda x: x["s"])).alias("source_element_indices"),
+    )
 
 
 def tagged_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 2000) -> DataFrame:
-    """Blocks between blank lines packed under a number of characters, with a pointer to the next chunk."""
-    blocks = F.filter(F.split(F.col(text), "\n[ \t]*\n[ \t\n]*"), lambda b: F.trim(b) != "")
-    packed = docs.select(F.col(key).alias("doc"), blocks.alias("_b")).where(F.size("_b") > 0).withColumn("_k", S.pack(F.transform("_b", lambda b: F.length(b).cast("long")), budget))
-    rows = packed.select("doc", F.posexplode(F.arrays_zip("_b", "_k")).alias("pos", "z"))
-    chunks = rows.groupBy("doc", F.col("z._k").alias("seq")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("z._b").alias("b")))), lambda p: p["b"]), "\n\n").alias("text"))
-    return chunks.withColumn("next_seq", F.lead("seq").over(W.partitionBy("doc").orderBy("seq")))
+    """Blocks between blank lines packed under a number of characters; blocks tagged as table or figure stand alone, with the
+    references of their tag. Each chunk points to the one before and, but for the last, to the next.
+    """
+    from docloom.functions.markup import tag
+
+    blocks = F.filter(F.transform(F.split(F.col(text), "\n\n"), lambda b: F.trim(b, F.lit(" \t\n\r"))), lambda b: b != "")
+    kinds = F.transform("_b", lambda b: F.when(b.contains("[TABLE]") | b.rlike(r'\[TABLE\s+id="'), "table").when(b.contains("[FIGURE"), "figure").otherwise("text"))
+    cut = docs.select(F.col(key).alias("doc"), blocks.alias("_b")).where(F.size("_b") > 0).withColumn("_t", kinds)
+    sized = F.zip_with("_b", "_t", lambda b, k: F.struct(F.length(b).cast("long").alias("n"), (k != "text").alias("alone")))
+    packed = cut.withColumn("_k", S.pack_alone(sized, budget))
+    rows = packed.select("doc", F.posexplode(F.arrays_zip("_b", "_t", "_k")).alias("pos", "z")).select("doc", "pos", F.col("z._b").alias("b"), F.col("z._t").alias("t"), F.col("z._k").alias("seq"))
+    chunks = rows.groupBy("doc", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b"))), lambda p: p["b"]), "\n\n").alias("text"), F.max("t").alias("_kind"), F.min_by("t", "pos").alias("element_type"), F.count_if(F.lit(True)).alias("n_blocks"))
+    chunks = chunks.drop("_kind").withColumn("cross_references", F.when(F.col("element_type") != "text", tag("text")["refs"]))
+    # packs are numbered without a gap
+    last = chunks.groupBy("doc").agg(F.max("seq").alias("_last"))
+    return chunks.join(last, "doc").withColumns({"prev_seq": F.when(F.col("seq") > 0, F.col("seq") - 1), "next_seq": F.when(F.col("seq") < F.col("_last"), F.col("seq") + 1)}).drop("_last")
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"naive_baseline": naive_baseline, "element_atomic": element_atomic, "section_hierarchical": section_hierarchical}

@@ -87,6 +87,18 @@ def pack(sizes: Column, budget: int) -> Column:
     return F.aggregate(sizes, start, step, lambda acc: acc["out"])
 
 
+def pack_alone(blocks: Column, budget: int) -> Column:
+    """As ``pack`` for structs of n and alone: one that stands alone has a pack of its own."""
+    start = F.struct(F.lit(-1).alias("pack"), F.lit(0).cast("long").alias("used"), F.lit(True).alias("shut"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
+        fresh = acc["shut"] | b["alone"] | (acc["used"] + b["n"] > budget)
+        pack_no = F.when(fresh, acc["pack"] + 1).otherwise(acc["pack"])
+        return F.struct(pack_no.alias("pack"), F.when(fresh, b["n"].cast("long")).otherwise(acc["used"] + b["n"]).alias("used"), b["alone"].alias("shut"), F.concat(acc["out"], F.array(pack_no)).alias("out"))
+
+    return F.aggregate(blocks, start, step, lambda acc: acc["out"])
+
+
 def pack_between(sizes: Column, least: int, most: int) -> Column:
     """As ``pack``, but a pack is only closed once it has reached ``least``."""
     start = F.struct(F.lit(0).alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))

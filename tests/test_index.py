@@ -105,9 +105,9 @@ def test_answer_spans(spark):
     df = spark.createDataFrame(cases, "q string, t string")
     got = df.select(D.answer_span(F.col("q"), F.col("t")).alias("a"), D.best_sentence(F.col("q"), F.col("t")).alias("s")).collect()
     # the first span of the best window that is no token of the query; the best sentence by itself
-    assert got[0].a == "The Torex" and got[0].s == "Its pump delivers 45 litres." and got[1].a in ("Torex", "The", "The Torex", "Staff")
+    assert got[0].a == "The Torex" and got[0].s == "Its pump delivers 45 litres." and got[1].a == "Its"
     assert got[2].a == "" and got[3].a is None and got[3].s is None
-    assert D._in_order("2019 or 2020", "in 2019: 5, in 2020: 7", ["5", "7"]) == "5, 7" and D._in_order("2020 and 2019", "in 2019: 5, in 2020: 7", ["5", "7"]) == "7, 5"
+    assert D._in_order("2019 or 2020", "in 2019: 5, in 2020: 7", ["5", "7"]) == "5, 7" and D._in_order("2020 and 2019", "in 2019 5 units; the year 2020 7 units", ["5", "7"]) == "7, 5"
     assert D._in_order("one", "a b", list("abcdefg")) == "a, b, c, d, e" and D._in_order(None, None, []) is None
 
 

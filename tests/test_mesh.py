@@ -108,3 +108,17 @@ def test_global_number(spark):
 
 def test_unknown_strategy_is_the_mesh():
     assert C.chunker("nothing") is M.semantic_mesh and C.chunker("element_atomic") is C.element_atomic
+
+
+def test_naive_windows_know_their_elements(spark):
+    e = spark.createDataFrame([("d", 1, 1, "text", "a b c"), ("d", 1, 2, "text", None), ("d", 1, 3, "text", " d  e"), ("d", 2, 1, "text", "")], "doc string, page int, seq int, type string, text string")
+    got = [(r.text, r.source_element_indices) for r in sorted(C.naive_baseline(e, 3, 1).collect(), key=lambda r: r.chunk_id)]
+    assert got == [("a b c", [1]), ("c d e", [1, 3])]
+
+
+def test_tagged_blocks_stand_alone(spark):
+    tagged = '[TABLE id="p1_tbl1" page="1" cross_ref_figures="p1_fig1"]\n[TABLE]\n| a |'
+    text = "\n\n".join(["one", "two", tagged, "x" * 30, "y" * 30, '[FIGURE id="p1_fig1" page="1"]\nlamp'])
+    rows = sorted(C.tagged_blocks(spark.createDataFrame([(1, text), (2, None), (3, " \n\n ")], "doc_id int, text string"), budget=40).collect(), key=lambda r: r.seq)
+    assert [(r.seq, r.element_type, r.n_blocks, r.prev_seq, r.next_seq) for r in rows] == [(0, "text", 2, None, 1), (1, "table", 1, 0, 2), (2, "text", 1, 1, 3), (3, "text", 1, 2, 4), (4, "figure", 1, 3, None)]
+    assert rows[0].text == "one\n\ntwo" and rows[1].cross_references == {"cross_ref_figures": ["p1_fig1"]} and rows[2].cross_references is None
