@@ -76,4 +76,11 @@ def p8_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_repaired, p3_found, p3_pieces, p5_found, p5_statistics, p6_found, p6_touched_documents, p7_mixture, p7_shares, p8_found, p8_units)}
-SQL: dict[str, str] = {}
+_BLANK = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}]"
+_SIGN = r"[\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"
+_COUNT = f"(len(regexp_extract_all(x, '{_SIGN}')) + len(regexp_extract_all(regexp_replace(x, '{_SIGN}', ' ', 'g'), '[^{_BLANK[1:]}+')))"
+_FOLDED = "regexp_extract_all(lower(replace(replace(replace(replace(text, chr(173), ''), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff')), '[\\p{L}\\p{N}\\p{M}]+')"
+SQL: dict[str, str] = {
+    "p3_found": f"WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL), s AS (SELECT chunk_id, text, list_max(list_transform(string_split(regexp_replace(text, '(\n|[.!?।]({_BLANK}|$)|[。！？])', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_COUNT})) AS stretch, list_transform([text], lambda x: {_COUNT})[1] AS n FROM c) SELECT DISTINCT chunk_id, CASE WHEN stretch > 400 THEN 'forced' ELSE 'natural' END AS boundary FROM s WHERE n > 400",
+    "p6_found": f"WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents WHERE text IS NOT NULL), q AS (SELECT question_id, {_FOLDED} AS w FROM (SELECT question_id, unnest([question, evidence]) AS text FROM qa_bank) WHERE text IS NOT NULL), a AS (SELECT DISTINCT question_id, array_to_string(w[i:i + 11], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM q)), b AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM d)) SELECT DISTINCT doc_id, question_id FROM a JOIN b USING (k)",
+}

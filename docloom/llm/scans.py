@@ -305,7 +305,7 @@ def strip_page(line: str) -> tuple[str, bool]:
 
 
 def is_page_number(line: str) -> bool:
-    return 0 < len(line.strip()) <= 24 and PAGE.fullmatch(line) is not None and (any(map(str.isdigit, line)) or line.strip().endswith("."))
+    return PAGE.fullmatch(line) is not None and (any(map(str.isdigit, line)) or line.strip().endswith("."))
 
 
 SMALL = re.compile(r"(?:^|\s)[a-zß-öø-ÿ]")
@@ -321,7 +321,7 @@ LABEL_VALUE = re.compile(r"[^:]{2,40}:\s*(?:[-+]?[\d.,]+(?:\s*\S{1,4})?|[A-Z]{1,
 
 
 def may_be_head(line: str) -> bool:
-    return 4 <= len(line) <= 120 and not line[0].islower() and line[-1] not in ".!?;:," and title_share(line) >= 0.4 and LETTER.search(line) is not None and LABEL_VALUE.match(line) is None
+    return len(line) >= 4 and not line[0].islower() and line[-1] not in ".!?;:," and title_share(line) >= 0.4 and LETTER.search(line) is not None and LABEL_VALUE.match(line) is None
 
 
 def head_key(line: str) -> str:
@@ -392,12 +392,22 @@ def furniture(lines: list[str], copies: list) -> dict[int, str]:
         if times[head_key(b)] >= 2:
             heads.setdefault(head_key(b), b)
     pages = max(times.values(), default=1)
+    grams: dict[str, list[str]] = {}
+    for h in heads:
+        for g in {h[i : i + Q] for i in range(len(h) - Q + 1)}:
+            grams.setdefault(g, []).append(h)
+    order = {h: k for k, h in enumerate(heads)}
     out = {}
     for k, b in possible.items():
         key = head_key(b)
-        for h, head in heads.items():
-            if key == h or abs(len(key) - len(h)) <= len(h) // 3 and boosting.probability(copies, copy_features(b, head, times[h], pages)) >= 0.5:
-                out[k] = head
+        if key in heads:
+            out[k] = heads[key]
+            continue
+        # a copy that shares no q-gram with a head is spoilt throughout
+        near = {h for i in range(len(key) - Q + 1) for h in grams.get(key[i : i + Q], ())}
+        for h in sorted(near, key=order.get):
+            if abs(len(key) - len(h)) <= len(h) // 3 and boosting.probability(copies, copy_features(b, heads[h], times[h], pages)) >= 0.5:
+                out[k] = heads[h]
                 break
     return out
 
@@ -449,7 +459,7 @@ def scan_texts(items: DataFrame, known: frozenset[str], division: list, copies:
                         if not alone and lines[k].lstrip()[0].islower():
                             continue
                         bare, numbered = strip_page(lines[k])
-                        if may_be_head(bare) or alone and 4 <= len(bare) <= 120 and not CLOSED.search(bare) and LABEL_VALUE.match(bare) is None:
+                        if may_be_head(bare) or alone and len(bare) >= 4 and not CLOSED.search(bare) and LABEL_VALUE.match(bare) is None:
                             out.append((*row, "numbered" if numbered else "line", bare, alone))
                             heads[k] = bare  # taken out below only for words divided over a page end
                     if alone and any(strip_page(lines[k])[1] and PAGE_SURE.search(lines[k]) for k in heads):

@@ -141,3 +141,25 @@ def test_poisson_tails_and_caps():
     assert mixing.fit([1.0] * mixing.BINS, 3.0 * mixing.BINS, 3)[1] == [mixing.BINS] * 3
     rate, cuts = mixing.fit([1.0] * mixing.BINS, 0.5 * mixing.BINS, 6)
     assert rate == pytest.approx(0.5, abs=0.01) and sum(cuts) == pytest.approx(0.5 * mixing.BINS, abs=2)
+
+
+def test_cuts_lie_in_the_deepest_valley_of_their_window():
+    import random
+
+    draw = random.Random(8)
+    topics = [[f"{t}word{k}" for k in range(12)] for t in "abcdefgh"]
+    text = " ".join(" ".join(draw.choices(words, k=10)) + "." for words in topics for _ in range(draw.randint(8, 22)))
+    stretch, cut = splitting.pieces(text, 400, 40)
+    words = [(m.start(), m.end()) for m in splitting.WORD.finditer(text)]
+    starts = [a for a, _ in words]
+    places = sorted({next((k for k, a in enumerate(starts) if a >= m.end()), len(starts)) for m in splitting.BOUNDARY.finditer(text)} - {0, len(starts)})
+    depths = splitting._depths(splitting._similarities([text[a:b] for a, b in words], places, 60))
+    first = 0
+    for k, (a, b, n, forced) in enumerate(cut):
+        assert starts[first] == a and n <= 400 and not forced
+        if k + 1 < len(cut):
+            end = first + n
+            window = [(d, p) for d, p in zip(depths, places) if first + 200 <= p <= first + 400]
+            assert end in places and (depths[places.index(end)], end) == max(window)
+            first = end - 40
+    assert stretch <= 400 and sum(n for *_, n, _ in cut) - 40 * (len(cut) - 1) == len(words)
