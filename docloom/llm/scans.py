@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -120,6 +121,11 @@ def misreading_cost(read: str, printed: str) -> tuple[float, float]:
 # ---- words ----------------------------------------------------------------------------------------------------------
 
 
+def composed(text: str) -> str:
+    """The text with letters and their marks composed, as words are looked up by letters."""
+    return text if text.isascii() else unicodedata.normalize("NFC", text)
+
+
 def tokens(text: str) -> list[str]:
     return (TOKEN if SPOILT.search(text) else PLAIN).findall(text)
 
@@ -157,7 +163,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                counts.update(words(t))
+                counts.update(words(composed(t)))
             if len(counts) > 500_000:
                 yield flush()
         yield flush()
@@ -199,7 +205,7 @@ def fit_ranking(frequent: list[tuple[str, int]], seed: int = 5, sample: int = 15
                 bad = w[:i] + r + w[i + len(p) :]
                 if bad.lower() != w.lower():
                     shares = (0.0, 0.0005, 0.002, 0.01, 0.04)
-                    m = max(1, int(n * draw.choice(shares + (0.08, 0.12, 0.2) if name and r.isalpha() else shares)))
+                    m = max(1, int(n * draw.choice(shares + (0.08, 0.12, 0.2) if name or not r.isalpha() else shares)))
                     x.append(ranking_features(bad, m, w, n, name))
                     # a name that differs by letters only is another name where both are about as frequent
                     y.append(int(not (name and r.isalpha()) or n + 1 >= NAME_RATIO * (m + 1)))
@@ -444,6 +450,7 @@ def scan_texts(items: DataFrame, known: frozenset[str], division: list, copies:
         for batch in batches:
             out = []
             for table, key, scan, page, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                text = composed(text)
                 lines = LINE.split(text)
                 row = (table, key, scan, page)
                 numbers = {k for k, ln in enumerate(lines) if is_page_number(ln)}
@@ -613,7 +620,7 @@ def repair(items: DataFrame, models: Models) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                repair_text(t, frozenset(h or ()), dict(f or ()), page is None, known, division, copies) for page, t, h, f in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))
+                repair_text(composed(t), frozenset(h or ()), dict(f or ()), page is None, known, division, copies) for page, t, h, f in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["table_name", "item_key", "repaired"])
 
