@@ -44,6 +44,7 @@ def _one(name, column):
 
 @query(f"WITH {_PAIR} SELECT query_id, round({_SET}, 6) AS set_em, round({_EM}, 6) AS exact_match FROM pr")
 def set_em(t):
+    """U3."""
     return _pairs(t).select("query_id", F.round(A.set_exact_match(F.col("p"), F.col("g")), 6).alias("set_em"), F.round(A.exact_match(F.col("p"), F.col("g")), 6).alias("exact_match"))
 
 
@@ -101,7 +102,7 @@ def cost_ledger_summary(t):
 
 @query("WITH m AS (SELECT p_brand AS model, round(avg(l_quantity), 4) AS score, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, n DESC, model) AS place FROM m) SELECT model, score, n, place, round(score - lead(score) OVER (ORDER BY place), 4) AS ahead FROM r")
 def leaderboard_sorted(t):
-    """Models by mean score with ties by name, and the lead over the next; the models are few by their nature."""
+    """Models by mean score with ties by name, and the lead over the next; the models are few by their nature."""
     m = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("model")).agg(F.round(F.avg("l_quantity"), 4).alias("score"), F.count(F.lit(1)).alias("n"))
     w = W.orderBy(F.desc("score"), F.desc("n"), "model")
     return m.select("model", "score", "n", F.row_number().over(w).cast("long").alias("place"), F.round(F.col("score") - F.lead("score").over(w), 4).alias("ahead"))
@@ -109,6 +110,7 @@ def leaderboard_sorted(t):
 
 @query("SELECT quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, event_type FROM events GROUP BY event_type")
 def latency_percentiles(t):
+    """A18."""
     p = lambda q: F.expr(f"percentile(value, {q})")
     return t("events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
 
@@ -144,6 +146,7 @@ def manifest_antijoin(t):
 
 @query("SELECT h AS cache_key, count(*) AS n, bool_or(hit) AS cached FROM (SELECT md5(e2e_prediction) AS h, md5(e2e_prediction) IN (SELECT md5(ground_truth) FROM predictions WHERE ground_truth IS NOT NULL) AS hit FROM predictions WHERE e2e_prediction IS NOT NULL) GROUP BY h")
 def cache_miss_antijoin(t):
+    """F49."""
     p = t("predictions")
     seen = p.where("ground_truth is not null").select(F.md5("ground_truth").alias("cache_key")).distinct().withColumn("hit", F.lit(True))
     asked = p.where("e2e_prediction is not null").groupBy(F.md5("e2e_prediction").alias("cache_key")).agg(F.count(F.lit(1)).alias("n"))
@@ -245,6 +248,7 @@ def union_bbox(t):
 
 @query(f"WITH {_BOXES} SELECT a.chunk_id, count(b.chunk_id) AS n_refs, coalesce(string_agg(b.chunk_id, ' ' ORDER BY b.chunk_id), '') AS refs FROM bx a LEFT JOIN bx b ON a.doc_filename = b.doc_filename AND a.page = b.page AND a.chunk_id <> b.chunk_id GROUP BY a.chunk_id")
 def copage_xref(t):
+    """J18."""
     b = _boxes(t)
     pairs = E.page_pairs(b, ["doc_filename", "page"]).groupBy("a_id").agg(F.array_sort(F.collect_set("b_id")).alias("r"))
     return b.join(pairs, b["chunk_id"] == pairs["a_id"], "left").select("chunk_id", F.coalesce(F.size("r"), F.lit(0)).cast("long").alias("n_refs"), F.coalesce(F.array_join("r", " "), F.lit("")).alias("refs"))
@@ -276,7 +280,7 @@ def corpus_checks(t):
 
 @query()
 def reading_order_columns(t):
-    """W8 on the boxes of chunks."""
+    """W7, W8 on the boxes of chunks."""
     return S.column_order(_boxes(t), ["doc_filename", "page"]).select("chunk_id", "slice_no", "column_no", "reading_order")
 
 

@@ -44,6 +44,13 @@ def detection_scores(t):
     return L.detection_scores(_gold(t), _found(t), _pairs(t), PAGE)
 
 
+@query()
+def layer_scores(t):
+    """E21, strict and tolerant."""
+    strict, loose = (L.layer_scores(_gold(t), _found(t), PAGE, {"list_item": "text"}, m) for m in (0.0, 0.05))
+    return strict.withColumn("variant", F.lit("strict")).unionByName(loose.withColumn("variant", F.lit("tolerant")))
+
+
 @query()
 def label_confusion(t):
     """E39."""
@@ -78,7 +85,7 @@ def error_rates(t):
 
 @query()
 def page_coverage(t):
-    """E22."""
+    """G8, E22."""
     return L.coverage(_gold(t), _found(t), PAGE)
 
 
@@ -143,3 +150,15 @@ def kept_boxes(t):
     g = _gold(t).unionByName(_found(t).drop("score").withColumn("box_id", F.concat("box_id", F.lit("'"))))
     c = g.withColumn("confidence", F.pmod(F.xxhash64("box_id"), F.lit(1000)) / 1000.0)
     return M.deduplicate_boxes(c, PAGE, 0.6).select("box_id", "confidence")
+
+
+@query(f"WITH {_EL}, o AS (SELECT doc, page, bool_and(y0 >= coalesce(prev, y0)) AS same FROM (SELECT *, lag(y0) OVER (PARTITION BY doc, page ORDER BY seq) AS prev FROM el) GROUP BY ALL), t AS (SELECT el.doc, count(*) AS n_tables, sum((m.table_id IS NOT NULL)::INT)::BIGINT AS matched FROM el LEFT JOIN (SELECT doc_name AS doc, page, min(table_id) AS table_id FROM table_metadata GROUP BY ALL) m USING (doc, page) WHERE type = 'table' GROUP BY el.doc) SELECT o.doc, count(*) AS n_pages, sum(same::INT)::BIGINT AS pages_in_order, coalesce(any_value(n_tables), 0) AS n_tables, coalesce(any_value(matched), 0) AS matched_tables FROM o LEFT JOIN t ON o.doc = t.doc GROUP BY o.doc")
+def diagnostics(t):
+    """Of each document the pages whose elements stand in order of height, and the tables that a stored table of their page matches."""
+    e = _elements(t)
+    w = W.partitionBy("doc", "page").orderBy("seq")
+    order = e.withColumn("_p", F.lag("bbox.y0").over(w)).groupBy("doc", "page").agg(F.min(F.col("bbox.y0") >= F.coalesce("_p", F.col("bbox.y0"))).alias("same"))
+    stored = t("table_metadata").select(F.col("doc_name").alias("doc"), "page", F.lit(1).alias("_m")).distinct()
+    tables = e.where("type = 'table'").join(stored, ["doc", "page"], "left").groupBy("doc").agg(F.count(F.lit(1)).alias("n_tables"), F.count("_m").alias("matched_tables"))
+    pages = order.groupBy("doc").agg(F.count(F.lit(1)).alias("n_pages"), F.sum(F.col("same").cast("int")).alias("pages_in_order"))
+    return pages.join(tables, "doc", "left").select("doc", "n_pages", "pages_in_order", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tables", "matched_tables")])

@@ -44,11 +44,13 @@ def postings(t):
 
 @query("SELECT token, count(*) AS df, sum(tf)::BIGINT AS total FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY ALL) GROUP BY token")
 def doc_freq(t):
+    """A5."""
     return R.postings(t("documents"), "doc_id", X.alnum_tokens("text"), binary=False).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
 @query(f"WITH {_POSTED}, {_LOG} {_TOP}")
 def bm25_top10(t):
+    """Q1, X6."""
     return _top(R.bm25(*_bank(t)))
 
 
@@ -82,14 +84,14 @@ def _dense(t):
 
 @query(f"WITH {_DENSE} {_TOP}")
 def dense_top10(t):
-    """Queries: every vector whose id is divisible by 20, against all."""
+    """Queries: every vector whose id is divisible by 20, against all."""
     top = R.dense_top(*_dense(t), 10)
     return top.select("query_id", "item_id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_DENSE}, r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM s), g AS (SELECT query_id, item_id FROM s, embeddings a, embeddings b WHERE a.vec_id = query_id AND b.vec_id = item_id AND a.label = b.label AND query_id <> item_id), f AS (SELECT g.query_id, min(rank) AS first FROM g JOIN (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r WHERE query_id <> item_id) r ON r.query_id = g.query_id AND r.item_id = g.item_id GROUP BY g.query_id) SELECT query_id, (first <= 1)::INT::DOUBLE AS hit_1, (first <= 5)::INT::DOUBLE AS hit_5, (first <= 10)::INT::DOUBLE AS hit_10, round(1.0 / first, 6) AS mrr, round(CASE WHEN first <= 10 THEN 1 / log2(first + 1) ELSE 0 END, 6) AS ndcg_10 FROM f")
 def hit_mrr_ndcg(t):
-    """Nearest vectors of the same label, the query itself left out."""
+    """Nearest vectors of the same label, the query itself left out."""
     items, asked = _dense(t)
     # queries without another item of their label are none of the gold standard
     several = items.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and label is not null")
@@ -103,6 +105,7 @@ _RRF = "r1 AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_i
 
 @query(f"WITH {_POSTED}, {_LOG.replace('s AS (SELECT * FROM s0)', 'a AS (SELECT * FROM s0)')}, b AS (SELECT query_id, item_id, count(*)::DOUBLE AS score FROM posted JOIN asked USING (token) GROUP BY ALL), {_RRF}, s AS (SELECT query_id, item_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY ALL) {_TOP}")
 def rrf_two_way(t):
+    """Q9, U1, U2, X7."""
     posted, asked, stats = _bank(t)
     lists = [R.ranked(s.withColumn("score", F.round("score", 9)), 50) for s in (R.bm25(posted, asked, stats), R.overlap(posted, asked))]
     return _top(R.rrf(lists))
@@ -117,6 +120,7 @@ def rrf_three_way(t):
 
 @query("SELECT coalesce(query_type, 'ALL') AS query_type, avg(ok) AS recall, count(*) AS n FROM (SELECT coalesce(query_type, 'none') AS query_type, retrieval_success::INT AS ok FROM predictions WHERE retrieval_success IS NOT NULL) GROUP BY ROLLUP (query_type)")
 def recall_by_type_rollup(t):
+    """A8."""
     p = t("predictions").where("retrieval_success is not null").select(F.coalesce("query_type", F.lit("none")).alias("query_type"), F.col("retrieval_success").cast("int").alias("ok"))
     return p.rollup("query_type").agg(F.avg("ok").alias("recall"), F.count(F.lit(1)).alias("n")).withColumn("query_type", F.coalesce("query_type", F.lit("ALL")))
 
@@ -144,6 +148,7 @@ _PRED = f"pred AS (SELECT chunk_id AS query_id, op, v::DOUBLE * coalesce({_SCALE
 
 @query(f"WITH {_PRED}, c AS (SELECT DISTINCT cell_id, table_id, norm_numeric, unit_category FROM table_cells), h AS (SELECT query_id, cell_id, table_id, norm_numeric FROM c JOIN pred ON unit_category = category AND CASE op WHEN '>' THEN norm_numeric > target WHEN '>=' THEN norm_numeric >= target WHEN '<' THEN norm_numeric < target WHEN '<=' THEN norm_numeric <= target ELSE norm_numeric = target END), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY norm_numeric, cell_id) AS rank FROM h QUALIFY rank <= 5) SELECT query_id, cell_id, rank, doc_name, page::BIGINT AS page FROM r JOIN table_metadata USING (table_id)")
 def predicate_range_lookup(t):
+    """T4."""
     p = t("chunks").select(F.col("chunk_id").alias("query_id"), N.predicate("text").alias("p")).where("p.op is not null").select("query_id", "p.op", "p.target", "p.category").distinct()
     limits = t("chunks").sparkSession.createDataFrame([("voltage", 100.0), ("power", 500.0), ("length", 1.0), ("memory", 64.0)], "category string, target double")
     p = p.unionByName(limits.select(F.concat(F.lit("over_"), "category").alias("query_id"), F.lit(">=").alias("op"), "target", "category"))

@@ -19,7 +19,8 @@ def chunk_atomic(t):
 
 @query()
 def chunk_sections(t):
-    return C.section_hierarchical(C.elements_of(t("chunks"))).select("chunk_id", "page", F.length("text").alias("n_chars"), F.size("source_element_indices").alias("n_elements"))
+    """C3."""
+    return C.section_hierarchical(M.boxed_elements(t("chunks"))).select("chunk_id", "page", "parent_section", F.length("text").alias("n_chars"), F.size("source_element_indices").alias("n_elements"))
 
 
 @query()

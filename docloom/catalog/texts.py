@@ -62,6 +62,7 @@ def slug_ids(t):
 
 @query("SELECT doc_id, sha256(text) AS content_hash, md5(coalesce(lang, '') || ':' || text) AS cache_key FROM documents")
 def doc_sha256(t):
+    """F48."""
     return t("documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.md5(F.concat(F.coalesce("lang", F.lit("")), F.lit(":"), F.col("text"))).alias("cache_key"))
 
 
@@ -133,6 +134,7 @@ def text_quality_flags(t):
 @query(f"""WITH w AS (SELECT doc_id, {WORDS_SQL.replace('{c}', 'lower(text)')} AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 10),
 c AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL) GROUP BY doc_id) SELECT documents.doc_id, coalesce(most >= 4, false) AS repeats FROM documents LEFT JOIN c USING (doc_id)""")
 def trigram_degeneration(t):
+    """F66."""
     found = X.repeated_trigrams(t("documents"), "doc_id", "text").withColumn("repeats", F.lit(True))
     return t("documents").select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("repeats", F.lit(False)).alias("repeats"))
 
@@ -178,6 +180,7 @@ _PLAIN = r"regexp_replace(text, '[ªµºÀ-ÖØ-öø-žʼ\p{Han}\p{Hiragana}\p{K
 
 @query(f"WITH k AS (SELECT doc_id, list_filter(regexp_extract_all({_PLAIN}, '\\b[A-Z][a-zA-Z0-9\\-]{{2,}}\\b|\\b[0-9]+[.0-9]*[ \\t\\n\\r\\f]*[a-zA-Z]+\\b'), lambda x: length(x) > 3) AS l FROM documents), d AS (SELECT doc_id, l, list_transform(l, lambda x: lower(x)) AS low FROM k) SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(low, lower(x)) = i)[1:15], ',') AS terms FROM d WHERE len(l) > 0")
 def key_terms(t):
+    """F22, U6."""
     return t("documents").select("doc_id", X.key_terms("text").alias("k")).where("size(k) > 0").select("doc_id", F.array_join("k", ",").alias("terms"))
 
 
@@ -200,6 +203,7 @@ def page_ranges(t):
 @query("""WITH l AS (SELECT doc_id, unnest(s[1:30]) AS x, generate_subscripts(s[1:30], 1) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda z: trim(z, ' ') <> '') AS s FROM documents))
 SELECT doc_id, count(*) AS n_lines, sum((x LIKE '%:%')::BIGINT)::BIGINT AS n_keyed, md5(string_agg(CASE WHEN x LIKE '%:%' THEN trim(split_part(x, ':', 1), ' ') ELSE 'line_' || i END, '|' ORDER BY i)) AS keys_md5 FROM l GROUP BY doc_id""")
 def lines_to_kv(t):
+    """P22."""
     lines = F.slice(F.filter(F.split("text", "\n"), lambda z: F.trim(z) != ""), 1, 30)
     keyed = t("documents").select("doc_id", lines.alias("s")).where("size(s) > 0")
     keys = F.transform("s", lambda x, i: F.when(x.contains(":"), F.trim(F.split_part(x, F.lit(":"), F.lit(1)))).otherwise(F.concat(F.lit("line_"), (i + 1).cast("string"))))
@@ -208,6 +212,7 @@ def lines_to_kv(t):
 
 @query("SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k FROM events")
 def json_props(t):
+    """F65."""
     return t("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
@@ -236,6 +241,7 @@ def point_ids(t):
 
 @query("SELECT doc_id, coalesce(tag, 'default') AS access FROM (SELECT doc_id, CASE WHEN contains(doc_stem, 'catalogue') THEN 'public' WHEN contains(doc_stem, 'contract') THEN 'legal' WHEN contains(doc_stem, 'invoice') THEN 'finance' END AS tag FROM documents)")
 def access_tags(t):
+    """P3."""
     rules = [("catalogue", "public"), ("contract", "legal"), ("invoice", "finance")]
     out = None
     for part, tag in rules:

@@ -39,17 +39,47 @@ def element_atomic(elements: DataFrame, floor: int = 100) -> DataFrame:
     return _grouped(S.islands(e, ["doc", "page"], ["seq"], F.col("_s"), "_g"), ["doc", "page", "_g"], "element_atomic")
 
 
+ANCHORS = ["table", "figure", "formula"]
+
+
+def aligned_headers(elements: DataFrame) -> DataFrame:
+    """(doc, page, seq, aligned): for each table and figure the text of the nearest title or figure caption of its page that ends above
+    its top (15 points below at most); ties go to the first. Elements have a bbox.
+    """
+    heads = elements.where(F.col("type").isin(*HEADERS, "figure_caption")).select("doc", "page", F.col("seq").alias("_hs"), F.col("text").alias("_ht"), F.col("bbox.y1").alias("_y1"))
+    anchors = elements.where(F.col("type").isin("table", "figure")).select("doc", "page", "seq", F.col("bbox.y0").alias("_y0"))
+    above = anchors.join(heads, ["doc", "page"]).where("_y1 <= _y0 + 15 and trim(_ht) <> ''")
+    return above.groupBy("doc", "page", "seq").agg(F.min_by("_ht", F.struct(F.col("_y0") - F.col("_y1"), "_hs")).alias("aligned"))
+
+
 def section_hierarchical(elements: DataFrame, budget: int = 800) -> DataFrame:
-    """Sections that a header opens, packed under ``budget`` words; each chunk starts with the header carried over pages."""
+    """Sections that a header opens, their texts packed under ``budget`` words, atomic types alone. Each chunk starts with its header.
+
+    The header is carried over pages; a table or figure takes the header that stands over it, if elements have boxes. A caption tells
+    what it belongs to (``caption_for``): the last table, figure or formula before it on its page and in its section.
+    """
     e = elements.withColumn("_h", F.when(F.col("type").isin(HEADERS), F.col("text")))
-    e = S.carry_over_pages(e, ["doc"], "page", ["seq"], "_h", "_header")
-    e = e.withColumn("_s", F.col("type").isin(HEADERS))
-    e = S.islands(e, ["doc", "page"], ["seq"], F.col("_s"), "_sec")
-    parts = F.array_sort(F.collect_list(F.struct("seq", F.col("text"), "type", X.token_count("text").cast("long").alias("n"), "_header")))
+    e = S.carry_over_pages(e, ["doc"], "page", ["seq"], "_h", "_header").withColumn("_header", F.coalesce("_header", F.lit("")))
+    atomic = F.col("type").isin(ATOMIC + ["figure_caption", "table_caption"])
+    w = W.partitionBy("doc", "page").orderBy("seq")
+    e = e.withColumn("_s", F.col("type").isin(HEADERS) | atomic | F.coalesce(F.lag(atomic).over(w), F.lit(False)))
+    e = S.islands(e, ["doc", "page"], ["seq"], F.col("_s"), "_sec").withColumn("_open", F.sum(F.col("type").isin(HEADERS).cast("int")).over(w))
+    inside = W.partitionBy("doc", "page", "_open").orderBy("seq")
+    last = F.last(F.when(F.col("type").isin(ANCHORS), F.col("type")), ignorenulls=True).over(inside)
+    e = e.withColumn("caption_for", F.when(F.col("type").isin("caption", "figure_caption", "table_caption"), last))
+    if "bbox" in elements.columns:
+        e = e.join(aligned_headers(elements), ["doc", "page", "seq"], "left").withColumn("_header", F.coalesce("aligned", "_header")).drop("aligned")
+    parts = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text"), "type", X.token_count("text").cast("long").alias("n"), "_header", "caption_for")))
     sections = e.groupBy("doc", "page", "_sec").agg(parts.alias("_p")).withColumn("_k", S.pack(F.transform("_p", lambda p: p["n"]), budget))
     rows = sections.select("doc", "page", "_sec", F.explode(F.arrays_zip("_p", "_k")).alias("z")).select("doc", "page", "_sec", F.col("z._k").alias("_k"), "z._p.*")
-    out = _grouped(rows, ["doc", "page", "_sec", "_k", "_header"], "section_hierarchical")
-    return out
+    out = rows.groupBy("doc", "page", "_sec", "_k").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "type"))).alias("_p"), F.max("_header").alias("parent_section"), F.max("caption_for").alias("caption_for"), F.min("seq").alias("_first"))
+    body = F.array_join(F.transform("_p", lambda p: F.when(p["type"] == "figure", F.concat(F.lit("[FIGURE] "), p["text"])).otherwise(p["text"])), "\n\n")
+    rank = F.row_number().over(W.partitionBy("doc", "page").orderBy("_first")) - 1
+    headed = (F.col("parent_section") == "") | F.startswith(body, F.col("parent_section")) | F.col("caption_for").isNotNull()
+    return out.select(
+        X.chunk_name(F.col("doc"), F.lit("section_hierarchical"), F.col("page"), rank).alias("chunk_id"), "doc", "page", F.lit("section_hierarchical").alias("strategy"),
+        F.when(headed, body).otherwise(F.concat_ws("\n\n", F.col("parent_section"), body)).alias("text"), "parent_section", "caption_for", F.transform("_p", lambda p: p["seq"]).alias("source_element_indices"), F.array_distinct(F.transform("_p", lambda p: p["type"])).alias("element_types"),
+    )
 
 
 def naive_baseline(elements: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:

@@ -36,6 +36,27 @@ def average_precision(detections: DataFrame, n_gold: DataFrame, label: str = "la
     return n_gold.join(best, label, "left").select(label, (total / 11).alias("ap"))
 
 
+def layer_scores(gold: DataFrame, found: DataFrame, page: list[str], names: dict[str, str] | None = None, margin: float = 0.0) -> DataFrame:
+    """Precision, recall, F1, mean IoU and class accuracy over all pages, in one row, from optimal pairs of an IoU of 0.5.
+
+    ``names`` gives canonical labels. With a ``margin`` both sides are first eroded by that share of their size, the tolerant variant.
+    """
+    from docloom.operators.matching import match_pages
+
+    def ready(df: DataFrame) -> DataFrame:
+        label = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("label")], F.col("label")) if names else F.col("label")
+        w, h = (F.col("x1") - F.col("x0")) * margin, (F.col("y1") - F.col("y0")) * margin
+        return df.select(*[F.col(c).alias(c) for c in page], F.col("box_id").alias("box_id"), label.alias("label"), (F.col("x0") + w).alias("x0"), (F.col("y0") + h).alias("y0"), (F.col("x1") - w).alias("x1"), (F.col("y1") - h).alias("y1"))
+
+    a, b = ready(gold), ready(found)
+    pairs = match_pages(a, b, page, 0.5, "optimal")
+    labelled = pairs.join(a.select(*page, F.col("box_id").alias("gold_id"), F.col("label").alias("_g")), [*page, "gold_id"]).join(b.select(*page, F.col("box_id").alias("found_id"), F.col("label").alias("_f")), [*page, "found_id"])
+    m = labelled.agg(F.count(F.lit(1)).alias("tp"), F.avg("iou").alias("mean_iou"), F.avg((F.col("_g") == F.col("_f")).cast("double")).alias("class_accuracy"))
+    n = a.agg(F.count(F.lit(1)).alias("n_gold")).crossJoin(b.agg(F.count(F.lit(1)).alias("n_found"))).crossJoin(m)  # one row each
+    p, r = F.coalesce(F.col("tp") / F.nullif("n_found", F.lit(0)), F.lit(0.0)), F.coalesce(F.col("tp") / F.nullif("n_gold", F.lit(0)), F.lit(0.0))
+    return n.select(p.alias("precision"), r.alias("recall"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1"), F.coalesce("mean_iou", F.lit(0.0)).alias("mean_iou"), F.coalesce("class_accuracy", F.lit(0.0)).alias("class_accuracy"))
+
+
 def confusion(pairs: DataFrame) -> DataFrame:
     """Matched pairs by reference and predicted label."""
     return pairs.groupBy("gold_label", "found_label").agg(F.count(F.lit(1)).alias("n"))

@@ -122,3 +122,15 @@ def test_tagged_blocks_stand_alone(spark):
     rows = sorted(C.tagged_blocks(spark.createDataFrame([(1, text), (2, None), (3, " \n\n ")], "doc_id int, text string"), budget=40).collect(), key=lambda r: r.seq)
     assert [(r.seq, r.element_type, r.n_blocks, r.prev_seq, r.next_seq) for r in rows] == [(0, "text", 2, None, 1), (1, "table", 1, 0, 2), (2, "text", 1, 1, 3), (3, "text", 1, 2, 4), (4, "figure", 1, 3, None)]
     assert rows[0].text == "one\n\ntwo" and rows[1].cross_references == {"cross_ref_figures": ["p1_fig1"]} and rows[2].cross_references is None
+
+
+def test_sections_take_the_header_above(elements, spark):
+    box = lambda y: (0.0, float(y), 10.0, float(y + 10))
+    rows = [("d", 1, 1, "title", "One", box(0)), ("d", 1, 2, "text", "aa bb", box(20)), ("d", 1, 3, "table", "| t |", box(60)), ("d", 1, 4, "caption", "Table 1", box(75)), ("d", 1, 5, "text", "cc", box(90)), ("d", 1, 6, "title", "Two", box(200)), ("d", 1, 7, "caption", "alone", box(220)), ("d", 2, 1, "figure", "lamp", box(5)), ("d", 2, 2, "text", None, box(50))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.page, r.source_element_indices, r.parent_section, r.caption_for, r.text) for r in C.section_hierarchical(df, 100).collect())
+    assert got == [
+        (1, [1, 2], "One", None, "One\n\naa bb"), (1, [3], "One", None, "One\n\n| t |"), (1, [4], "One", "table", "Table 1"), (1, [5], "One", None, "One\n\ncc"), (1, [6], "Two", None, "Two"), (1, [7], "Two", None, "Two\n\nalone"),
+        (2, [1], "Two", None, "Two\n\n[FIGURE] lamp"), (2, [2], "Two", None, "Two\n\n"),
+    ]
+    assert covered(C.section_hierarchical(elements)) == sorted((r.doc, r.page, r.seq) for r in elements.collect())
