@@ -264,9 +264,10 @@ def evidence(lines: list[str], text: str, lang: str, spaced: list[str]) -> list[
             c[4] = 0.0
         marked = 0
     # label-value lines, lines of an entry with its code and short lines without any sentence are items where most lines are such
-    free = [not c[4] and not c[5] and 2 * c[6] < sum(c) for c in counts]
-    single = [f and len(line) <= 90 and _entry(line, c) for f, line, c in zip(free, lines, counts)]
-    bare = [f and len(line) <= 60 and not c[0] and not _ended(line) for f, line, c in zip(free, lines, counts)]
+    free = [not c[4] and not c[5] and (2 * c[6] < sum(c) if c[6] else any(c)) for c in counts]
+    many = marked + len(lines) >= 4  # fewer lines make no list
+    single = [many and f and len(line) <= 90 and _entry(line, c) for f, line, c in zip(free, lines, counts)]
+    bare = [many and f and len(line) <= 60 and not c[0] and not _ended(line) for f, line, c in zip(free, lines, counts)]
     strong, weak = marked + sum(single), marked + sum(a or b for a, b in zip(single, bare))
     entries = strong >= 4 and 2 * strong >= len(lines) or weak >= 5 and weak >= 0.8 * len(lines)
     inside = False
