@@ -115,7 +115,7 @@ def _fitted(docs: DataFrame, targets: DataFrame, key: str, text: str, source: st
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     goal = {r.source: (float(r.target_share), int(r.max_repeats or 1)) for r in rows}
-    known = docs.where(F.col(text).isNotNull()).join(F.broadcast(targets.select(F.col("source").alias("_goal")).where("source is not null").distinct()), F.col(source) == F.col("_goal"), "left_semi")
+    known = docs.where(F.col(text).isNotNull()).join(F.broadcast(targets.where("source is not null and target_share is not null").select(F.col("source").alias("_goal")).distinct()), F.col(source) == F.col("_goal"), "left_semi")
     counted = known.select(F.col(source).alias("source"), _bin(key, seed).alias("bin"), token_count(spark, F.col(text), tokenizer).alias("tokens"))
     binned = cut_lineage(counted.groupBy("source", "bin").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
     have = {r.source: float(r.tokens) for r in binned.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}

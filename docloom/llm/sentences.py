@@ -1,7 +1,7 @@
 """Sentence units in many languages by a semi-Markov dynamic programme over whole spans.
 
-Every mark that could end a sentence is a candidate (in Thai also a blank between two Thai letters); none is ruled out
-beforehand. For each paragraph the programme picks the set of spans with the highest total score. A span is scored by
+Every mark that could end a sentence is a candidate (in Thai also a blank between two Thai letters); left out are only those
+whose score no length and no quotation could make up for. For each paragraph the programme picks the set of spans with the highest total score. A span is scored by
 
 * its closing word together with the opening word of what follows (JOINT), moved by what the corpus says of both words,
 * its length in code points under a log-normal law fitted on the corpus,
@@ -234,10 +234,14 @@ def _candidates(text: str, known: Statistics) -> list[_End]:
         places += [(m.start(), JOINT["blank"][OTHERWISE], -1) for m in THAI_BREAK.finditer(text)]
     places.sort()
     out = []
+    closed = {opened for _, _, opened in places}
     for at, score, opened in [*places, (size, 0.0, -1)]:
         nxt = at
         while nxt < size and text[nxt].isspace():
             nxt += 1
+        # no solution gains by a cut here: it can win the least length score at most, and what a quotation that starts here is spared
+        if at < size and score - LENGTH_LEAST - (FOREIGN_QUOTE if nxt in closed else 0.0) < 0:
+            continue
         cut = bisect_left(lefts, at) - bisect_left(rights, at) if at < size else 0
         out.append(_End(at, score, opened, cut, nxt))
     return out
@@ -266,21 +270,33 @@ def _paragraph(text: str, known: Statistics = PRIOR) -> list[tuple[int, int]]:
         return [(0, len(text))]
     law = known.lengths.get(_script(text), PRIOR.lengths["spaced"])
     best: list[tuple[float, int]] = [(0.0, -1)]
-    firsts, cuts = [0], [0]
-    low = 0
+    firsts, cuts, place = [0], [0], {0: 0}
+    low = far = 0  # the search starts at low; spans from before far all have the least length score
+    beyond = math.exp(law[0] + law[1] * math.sqrt(-LENGTH_LEAST / LENGTH_WEIGHT))
+    top_far = (float("-inf"), -1)
     for j, e in enumerate(ends, 1):
-        top = (float("-inf"), -1)
-        for i in range(low, j):
-            value = best[i][0] + e.score + _length_score(e.at - firsts[i], law) + CUT_PAIR * (cuts[i] + e.cut)
-            if e.opened >= 0 and e.opened != firsts[i]:
-                value += FOREIGN_QUOTE
+        while far < j and e.at - firsts[far] > beyond:
+            value = best[far][0] + CUT_PAIR * cuts[far]
+            if value > top_far[0]:
+                top_far = (value, far)
+            far += 1
+        base = e.score + CUT_PAIR * e.cut
+        foreign = FOREIGN_QUOTE if e.opened >= 0 else 0.0
+        top = (top_far[0] + base + LENGTH_LEAST + foreign, top_far[1])
+        own = place.get(e.opened, -1) if foreign else -1
+        for i in (*((own,) if low <= own < far else ()), *range(far, j)):
+            value = best[i][0] + CUT_PAIR * cuts[i] + base + _length_score(e.at - firsts[i], law)
+            if foreign and firsts[i] != e.opened:
+                value += foreign
             if value > top[0]:
                 top = (value, i)
         best.append(top)
         firsts.append(e.nxt)
         cuts.append(e.cut)
+        place[e.nxt] = j
         if j < len(ends) and _certain(ends, j - 1, firsts[j - 1], law):
-            low = j
+            low = far = j
+            top_far = (float("-inf"), -1)
     spans: list[tuple[int, int]] = []
     j = len(ends)
     while j > 0:

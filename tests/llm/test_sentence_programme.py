@@ -15,9 +15,16 @@ TEXTS = [
 ]
 
 
-def every_way(text: str, known: S.Statistics) -> float:
+def every_mark(text: str, known: S.Statistics, monkeypatch) -> list:
+    """Candidates with none left out."""
+    with monkeypatch.context() as m:
+        m.setattr(S, "LENGTH_LEAST", -1e9)
+        return S._candidates(text, known)
+
+
+def every_way(text: str, known: S.Statistics, monkeypatch) -> float:
     """The highest score over all subsets of the candidates."""
-    ends = S._candidates(text, known)
+    ends = every_mark(text, known, monkeypatch)
     law = known.lengths.get(S._script(text), S.PRIOR.lengths["spaced"])
     best = float("-inf")
     for n in range(len(ends)):
@@ -39,13 +46,13 @@ def score(chosen: list[int], ends: list, law: tuple[float, float]) -> float:
 
 @pytest.mark.parametrize("text", TEXTS)
 @pytest.mark.parametrize("mean", [2.0, 4.3, 6.0])
-def test_no_segmentation_scores_higher(text, mean):
+def test_no_segmentation_scores_higher(text, mean, monkeypatch):
     known = S.Statistics({"spaced": (mean, 0.5), "blankless": (mean, 0.5)}, {"feb": -4.0, "valve": -2.0}, {"Then": 1.0, "The": 0.7})
-    ends = S._candidates(text, known)
+    ends = every_mark(text, known, monkeypatch)
     law = known.lengths[S._script(text)]
     at = {e.at: k for k, e in enumerate(ends)}
     chosen = [at[b] for _, b in S._paragraph(text, known)]
-    assert score(chosen, ends, law) == pytest.approx(every_way(text, known))
+    assert score(chosen, ends, law) == pytest.approx(every_way(text, known, monkeypatch))
 
 
 def test_each_part_of_the_score_decides():
@@ -67,3 +74,13 @@ def test_statistics_cover_all_texts(spark):
     assert known.closing["bzw"] < -3 and known.closing["okt"] < 0 and known.closing["nie"] > 0
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.sentence_units(empty).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["e.x. ", "A. ", '"a." ', "(b. ", "ab. Cd ", "3. "])
+def test_long_texts_without_a_certain_end(unit):
+    import time
+
+    began = time.process_time()
+    found = S.spans(unit * 20000)
+    assert time.process_time() - began < 60 and found[0][0] == 0 and sum(n for _, n in found) > 0
+    assert all(a + n <= b for (a, n), (b, _) in zip(found, found[1:]))
