@@ -39,9 +39,8 @@ def ship(spark: SparkSession) -> SparkSession:
     home = pathlib.Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="docloom-code-")  # of the driver, which serves it to every executor while it lives
     atexit.register(shutil.rmtree, folder, True)
-    with zipfile.ZipFile(f"{folder}/docloom.zip", "w") as z:
-        for path in sorted(home.rglob("*.py")):
-            z.write(path, path.relative_to(home.parent))
+    with zipfile.PyZipFile(f"{folder}/docloom.zip", "w") as z:
+        z.writepy(str(home))  # compiled, so that a worker only loads it
     spark.sparkContext.addPyFile(f"{folder}/docloom.zip")
     return spark
 
