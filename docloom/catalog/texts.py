@@ -164,7 +164,7 @@ def citations(t):
     return t("documents").select("doc_id", F.array_join(X.citations("text"), " ").alias("cited"))
 
 
-@query("SELECT DISTINCT chunk_id, CASE WHEN n = '' THEN 0 ELSE len(string_split(n, '.')) END::BIGINT AS level, s AS section_slug FROM (SELECT chunk_id, regexp_extract(text, '^[ ]*([0-9]+(?:\\.[0-9]+)*)', 1) AS n, CASE WHEN z = '' THEN 'sec' ELSE z END AS s FROM (SELECT *, regexp_replace(regexp_replace(lower(substr(coalesce(parent_section, ''), 1, 30)), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS z FROM chunks))")
+@query("SELECT DISTINCT chunk_id, CASE WHEN n = '' THEN 0 ELSE len(string_split(n, '.')) END::BIGINT AS level, s AS section_slug FROM (SELECT chunk_id, regexp_extract(text, '^[ ]*([0-9]+(?:\\.[0-9]+)*)', 1) AS n, CASE WHEN z = '' THEN 'sec' ELSE z END AS s FROM (SELECT *, regexp_replace(lower(regexp_replace(substr(coalesce(parent_section, ''), 1, 30), '[^a-zA-Z0-9]', '_', 'g')), '^_+|_+$', '', 'g') AS z FROM chunks))")
 def heading_levels(t):
     return t("chunks").select("chunk_id", X.heading_level("text").cast("long").alias("level"), X.section_slug("parent_section").alias("section_slug")).distinct()
 

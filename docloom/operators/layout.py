@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.operators import sequences as S
-from docloom.operators.matching import assignment, iou_matrix
+from docloom.operators.matching import assignment, by_page, iou_matrix
 
 _BOX = ["x0", "y0", "x1", "y1"]
 
@@ -108,7 +108,7 @@ def coverage(gold: DataFrame, found: DataFrame, page: list[str]) -> DataFrame:
             return pd.DataFrame(columns=[*page, "coverage", "overlap", "trespass", "excess"])
         return pd.DataFrame([(*key, *coverage_areas(a[_BOX].to_numpy(float), b[_BOX].to_numpy(float)))], columns=[*page, "coverage", "overlap", "trespass", "excess"])
 
-    return gold.groupBy(*page).cogroup(found.groupBy(*page)).applyInPandas(run, schema)
+    return by_page(gold, found, page).applyInPandas(run, schema)
 
 
 def _compressed(gold: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +165,7 @@ def assigned_coverage(gold: DataFrame, found: DataFrame, page: list[str], width:
         row = (*key, mean([c for c, _ in kept]), mean([o for _, o in kept]), mean(trespass), outside / free if free > 0 else 0.0, len(trespass))
         return pd.DataFrame([row], columns=[*page, *names])
 
-    return gold.groupBy(*page).cogroup(found.groupBy(*page)).applyInPandas(run, schema)
+    return by_page(gold, found, page).applyInPandas(run, schema)
 
 
 def class_areas(gold: DataFrame, found: DataFrame, page: list[str]) -> DataFrame:
@@ -186,7 +186,7 @@ def class_areas(gold: DataFrame, found: DataFrame, page: list[str]) -> DataFrame
             rows += [("trespass", labels[i], k, t) for k, (i, t) in zip(others, of_found) if i >= 0]
         return pd.DataFrame(rows, columns=["what", "gold_label", "found_label", "value"])
 
-    return gold.groupBy(*page).cogroup(found.groupBy(*page)).applyInPandas(run, "what string, gold_label string, found_label string, value double")
+    return by_page(gold, found, page).applyInPandas(run, "what string, gold_label string, found_label string, value double")
 
 
 ERRORS = ["missing", "hallucination", "size_error", "split", "merge", "overlap_pred", "duplicate", "misclassification"]
@@ -226,7 +226,7 @@ def page_errors(gold: DataFrame, found: DataFrame, page: list[str]) -> DataFrame
         counts = detection_errors(a[_BOX].to_numpy(float), b[_BOX].to_numpy(float), a["label"].tolist(), b["label"].tolist())
         return pd.DataFrame([(*key, *counts, len(b))], columns=[*page, *ERRORS, "n_found"])
 
-    return gold.groupBy(*page).cogroup(found.groupBy(*page)).applyInPandas(run, schema)
+    return by_page(gold, found, page).applyInPandas(run, schema)
 
 
 def error_rates(pages: DataFrame) -> DataFrame:

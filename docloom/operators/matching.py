@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -87,6 +88,12 @@ def suppress(boxes: np.ndarray, confidence: np.ndarray, most: float = 0.85) -> l
 _BOX = ["x0", "y0", "x1", "y1"]
 
 
+def by_page(gold: DataFrame, found: DataFrame, page: list[str]):
+    """Both sides grouped by page; the columns of ``found`` are made its own, as both may come from one table."""
+    own = found.select(*[F.col(c).alias(c) for c in found.columns])
+    return gold.groupBy(*page).cogroup(own.groupBy(*page))
+
+
 def match_pages(gold: DataFrame, found: DataFrame, page: list[str], least: float = 0.5, method: str = "optimal") -> DataFrame:
     """Pairs (page keys, gold_id, found_id, iou) of boxes with columns x0, y0, x1, y1, box_id and label."""
     schema = ", ".join(f"{c} {gold.schema[c].dataType.simpleString()}" for c in page) + ", gold_id string, found_id string, iou double"
@@ -98,7 +105,7 @@ def match_pages(gold: DataFrame, found: DataFrame, page: list[str], least: float
         rows = [(*key, str(a["box_id"][i]), str(b["box_id"][j]), s) for i, j, s in pairs]
         return pd.DataFrame(rows, columns=[*page, "gold_id", "found_id", "iou"])
 
-    return gold.groupBy(*page).cogroup(found.groupBy(*page)).applyInPandas(match, schema)
+    return by_page(gold, found, page).applyInPandas(match, schema)
 
 
 def reading_bands(df: DataFrame, page: list[str], band: float = 10.0) -> DataFrame:
