@@ -278,10 +278,10 @@ def corpus_checks(t):
     return E.checks(t("chunks"))
 
 
-@query()
+@query(f"WITH {_BOXES}, c AS (SELECT *, CASE WHEN x1 - x0 >= 350 THEN 0 WHEN (x0 + x1) / 2 < 295 THEN 1 ELSE 2 END AS column_no FROM bx), s AS (SELECT *, sum((column_no = 0)::INT) OVER (PARTITION BY doc_filename, page ORDER BY y0, x0, chunk_id ROWS UNBOUNDED PRECEDING)::BIGINT AS slice_no FROM c) SELECT chunk_id, slice_no, column_no, row_number() OVER (PARTITION BY doc_filename, page ORDER BY slice_no, column_no, y0, x0, chunk_id)::INT AS reading_order FROM s")
 def reading_order_columns(t):
     """W7, W8 on the boxes of chunks."""
-    return S.column_order(_boxes(t), ["doc_filename", "page"]).select("chunk_id", "slice_no", "column_no", "reading_order")
+    return S.column_order(_boxes(t), ["doc_filename", "page"], key="chunk_id").select("chunk_id", "slice_no", "column_no", "reading_order")
 
 
 def _flat(t):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.catalog import Catalog
+from docloom.catalog.texts import WORDS_SQL
 from docloom.operators import chunkers as C
 from docloom.operators import grids as G
 from docloom.operators import mesh as M
@@ -23,7 +24,10 @@ def chunk_sections(t):
     return C.section_hierarchical(M.boxed_elements(t("chunks"))).select("chunk_id", "page", "parent_section", F.length("text").alias("n_chars"), F.size("source_element_indices").alias("n_elements"))
 
 
-@query()
+_NAIVE = f"w AS (SELECT doc_filename AS doc, page, flatten(list({WORDS_SQL.replace('{c}', 'text')} ORDER BY chunk_id)) AS w FROM (SELECT DISTINCT chunk_id, doc_filename, page, text FROM chunks WHERE page IS NOT NULL AND doc_filename IS NOT NULL AND text IS NOT NULL) GROUP BY ALL), n AS (SELECT *, unnest(range(CASE WHEN len(w) <= 128 THEN 1 ELSE (ceil((len(w) - 128) / 112.0) + 1)::BIGINT END)) AS n FROM w WHERE len(w) > 0)"
+
+
+@query(f"WITH {_NAIVE} SELECT doc || '_naive_baseline_' || page || '_' || lpad(n::VARCHAR, 4, '0') AS chunk_id, page, length(array_to_string(w[n * 112 + 1:n * 112 + 128], ' ')) AS n_chars FROM n")
 def chunk_naive(t):
     return C.naive_baseline(C.elements_of(t("chunks")), 128, 16).select("chunk_id", "page", F.length("text").alias("n_chars"))
 

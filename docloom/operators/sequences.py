@@ -139,17 +139,18 @@ def trim_to_budget(df: DataFrame, group: list[str], order: list[str], size: str,
     return df.withColumns({"_run": F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0)), "_n": F.row_number().over(w)}).where((F.col("_run") <= budget) | (F.col("_n") == 1)).drop("_run", "_n")
 
 
-def column_order(df: DataFrame, page: list[str], box: str = "bbox", full_width: float = 350.0, middle: float = 295.0) -> DataFrame:
+def column_order(df: DataFrame, page: list[str], box: str = "bbox", full_width: float = 350.0, middle: float = 295.0, key: str | None = None) -> DataFrame:
     """Reading order of a two-column page: slices between full-width boxes, left column before right, then from the top.
 
-    Adds slice_no, column_no (0 full width, 1 left, 2 right) and reading_order.
+    Adds slice_no, column_no (0 full width, 1 left, 2 right) and reading_order. Boxes at one place go by ``key``.
     """
     b = F.col(box)
+    last = [key] if key else []
     wide = (b["x1"] - b["x0"]) >= full_width
-    top = W.partitionBy(*page).orderBy(b["y0"], b["x0"])
+    top = W.partitionBy(*page).orderBy(b["y0"], b["x0"], *last)
     df = df.withColumn("column_no", F.when(wide, 0).when((b["x0"] + b["x1"]) / 2 < middle, 1).otherwise(2))
     df = df.withColumn("slice_no", F.sum((F.col("column_no") == 0).cast("int")).over(top.rowsBetween(W.unboundedPreceding, 0)))
-    order = W.partitionBy(*page).orderBy("slice_no", "column_no", b["y0"], b["x0"])
+    order = W.partitionBy(*page).orderBy("slice_no", "column_no", b["y0"], b["x0"], *last)
     return df.withColumn("reading_order", F.row_number().over(order))
 
 
