@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 WORD = re.compile(r"[^\W_]+")
 #: Item windows sent to the workers at a time; with 16 repetitions about 0.5 kB each.
@@ -198,7 +199,7 @@ class _Index:
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
-def _search(key: str, item: str, index: _Index, owners: list[list], width: int, plan: list[Walk], max_edits: int):
+def _search(key: str, item: str, item_type: pa.DataType, index: _Index, owners: list[list], width: int, plan: list[Walk], max_edits: int):
     """mapInArrow function: (key, text) to (key, item, edits), one row for each pair of a document and an item."""
 
     def look(ids: list, texts: list[list[str]], hashes: _Hashes) -> dict[tuple, int]:
@@ -248,7 +249,6 @@ def _search(key: str, item: str, index: _Index, owners: list[list], width: int,
                 for pair, n in look(ids, texts, hashes).items():
                     best[pair] = min(n, best.get(pair, n))
             columns = list(zip(*((k, i, n) for (k, i), n in best.items()))) or [()] * 3
-            item_type = pa.array([o for own in owners[:1] for o in own]).type
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], item_type), pa.array(columns[2], pa.int32())], names=[key, item, "edits"])
 
     return run
@@ -285,6 +285,7 @@ def leaked_windows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     blocks = max(1, math.ceil(asked.count() / block))
     given = docs.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull())
     schema = T.StructType([docs.schema[key], T.StructField(item_key, items.schema[item_key].dataType), T.StructField("edits", T.IntegerType())])
+    item_type = to_arrow_type(items.schema[item_key].dataType)
     found = spark.createDataFrame([], schema)
     for number in range(blocks):
         # a block of windows, about ``block`` of them, comes to the driver and goes to the workers
@@ -295,7 +296,7 @@ def leaked_windows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
             sent = spark.sparkContext.broadcast((index, [list(r.owners) for r in rows]))
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                return _search(key, item_key, *sent.value, width, plan, max_edits)(batches)
+                return _search(key, item_key, item_type, *sent.value, width, plan, max_edits)(batches)
 
             found = found.unionByName(given.mapInArrow(run, schema)) if number else given.mapInArrow(run, schema)
     return found.groupBy(key, item_key).agg(F.min("edits").alias("edits"))

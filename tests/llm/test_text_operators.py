@@ -114,6 +114,13 @@ def test_near_leak_recall_is_at_least_nine_tenths(spark, edits):
         assert n == min(leaks.edit_distance(a[i : i + 12], b[j : j + 12], 12) for i in range(len(a) - 11) for j in range(len(b) - 11))
 
 
+def test_leaks_with_other_key_types(spark):
+    df = spark.createDataFrame([(b"a", ITEM), (None, ITEM)], "k binary, body string")
+    bank = spark.createDataFrame([(3, ITEM, 1)], "item int, question string, window int")
+    rows = leaks.leaked_windows(df, bank, key="k", text="body", item_key="item", item_texts=("question",)).collect()
+    assert [(bytes(r.k), r.item, r.edits) for r in rows] == [(b"a", 3, 0)]
+
+
 def test_recall_out_of_reach_is_an_error():
     with pytest.raises(ValueError, match="repetitions"):
         leaks.bands(12, 6, 0.99, sampled=12, most=8)
