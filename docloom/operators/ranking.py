@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions import text as X
 from docloom.functions import vectors as V
@@ -142,6 +143,7 @@ def dense_top(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     kinds = {f.name: f.dataType.simpleString() for f in (*items.schema.fields, *queries.schema.fields)}
     schema = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double"
+    query_type = to_arrow_type(queries.schema["query_id"].dataType)
 
     def kernel(ids, scores, _more, item_ids, _extras, batch) -> pa.RecordBatch:
         order = np.argsort(np.array(item_ids, object), kind="stable")
@@ -151,7 +153,6 @@ def dense_top(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             best = np.argsort(-own, kind="stable")[:k] if len(own) <= 4 * k else _best(own, k)
             rows += [(q, item_ids[order[j]], float(exact[j])) for j in best]
         columns = list(zip(*rows)) if rows else [()] * 3
-        query_type = pa.array(ids[:1]).type
         return pa.RecordBatch.from_arrays([pa.array(columns[0], query_type), pa.array(columns[1], batch.schema.field(0).type), pa.array(columns[2], pa.float64())], names=["query_id", "item_id", "score"])
 
     found = _in_blocks(items, queries, [], kernel, schema)
@@ -175,6 +176,7 @@ def first_relevant(items: DataFrame, queries: DataFrame, label: str = "label") -
     """
     kinds = {f.name: f.dataType.simpleString() for f in (*items.schema.fields, *queries.schema.fields)}
     schema = f"query_id {kinds['query_id']}, score double, item_id {kinds['item_id']}"
+    query_type = to_arrow_type(queries.schema["query_id"].dataType)
 
     def best(ids, scores, more, item_ids, extras, batch) -> pa.RecordBatch:
         names = np.array(item_ids, object)
@@ -186,7 +188,7 @@ def first_relevant(items: DataFrame, queries: DataFrame, label: str = "label") -
                 j = int(able[own[able].argmax()])  # the first of equal ones
                 rows.append((q, float(own[j]), sorted_names[j]))
         columns = list(zip(*rows)) if rows else [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.array(ids[:1]).type), pa.array(columns[1], pa.float64()), pa.array(columns[2], batch.schema.field(0).type)], names=["query_id", "score", "item_id"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], query_type), pa.array(columns[1], pa.float64()), pa.array(columns[2], batch.schema.field(0).type)], names=["query_id", "score", "item_id"])
 
     found = _in_blocks(items, queries, [label], best, schema)
     if found is None:
@@ -198,7 +200,7 @@ def first_relevant(items: DataFrame, queries: DataFrame, label: str = "label") -
     def before(ids, scores, more, item_ids, _extras, batch) -> pa.RecordBatch:
         names = np.array(item_ids, object)
         counts = [int((((own > b) | ((own == b) & (names < i))) & (names != q)).sum()) for q, b, i, own in zip(ids, more[0].astype(float), more[1], np.round(scores, 9))]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts, pa.int64())], names=["query_id", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, query_type), pa.array(counts, pa.int64())], names=["query_id", "n"])
 
     counted = _in_blocks(marked, asked, ["bound", "bound_id"], before, f"query_id {kinds['query_id']}, n long")
     return counted.groupBy("query_id").agg((F.sum("n") + 1).alias("first"))
@@ -211,7 +213,7 @@ def maxsim_top(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     kinds = {f.name: f.dataType.simpleString() for f in (*items.schema.fields, *queries.schema.fields)}
     schema = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double"
-    spark = items.sparkSession
+    spark, query_type = items.sparkSession, to_arrow_type(queries.schema["query_id"].dataType)
     n, size = queries.agg(F.count(F.lit(1)), F.max(F.aggregate("q", F.lit(0), lambda a, v: a + F.size(v)))).first()
     blocks = max(1, -(-(n or 0) * max(1, size or 1) * 8 // BLOCK_BYTES))
     out = spark.createDataFrame([], schema)
@@ -231,7 +233,7 @@ def maxsim_top(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                             best.setdefault(place, []).append((float((q @ passage.T).max(axis=1).sum()), item))
                 found = [(sent.value[p][0], i, s) for p, own in best.items() for s, i in sorted(own, key=lambda x: (-round(x[0], 9), x[1]))[:k]]
                 columns = list(zip(*found)) if found else [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.array([sent.value[0][0]]).type), pa.array(columns[1], batch.schema.field(0).type), pa.array(columns[2], pa.float64())], names=["query_id", "item_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], query_type), pa.array(columns[1], batch.schema.field(0).type), pa.array(columns[2], pa.float64())], names=["query_id", "item_id", "score"])
 
         out = out.unionByName(items.where(F.col("item_id").isNotNull()).select("item_id", "m").mapInArrow(run, schema))
     return ranked(out, k)

@@ -15,7 +15,7 @@ from docloom.operators import tables as T
 def vectors(spark):
     draw = np.random.RandomState(0)
     rows = [(i, [float(x) for x in draw.randint(-3, 4, 6)], int(draw.randint(3))) for i in range(120)] + [(200, None, 1), (201, [0.0] * 6, None), (202, [1.0] * 6, 9)]
-    return rows, spark.createDataFrame(rows, "item_id long, vector array<double>, label int").repartition(5)
+    return rows, spark.createDataFrame(rows, "item_id int, vector array<double>, label int").repartition(5)
 
 
 def unit(v):
