@@ -117,19 +117,37 @@ def is_refusal(answer: str, query: str | None, truth: str | None) -> bool:
 # ---- languages ------------------------------------------------------------------------------------------------------
 
 
-def grams(text: str) -> np.ndarray:
-    """Buckets of the character n-grams of the words (2 to 4 with word edges; 1 and 2 in blankless scripts)."""
-    out = []
-    for word in WORDS.findall(folded(text)):
-        if CJK.match(word):
-            out += [*word, *(word[i : i + 2] for i in range(len(word) - 1))]
-        else:
-            edged = f"<{word}>"
-            for n in (2, 3, 4):
-                out += [edged[i : i + n] for i in range(len(edged) - n + 1)]
+def _buckets(word: str) -> np.ndarray:
+    """Buckets of the character n-grams of one word (2 to 4 with word edges; 1 and 2 in blankless scripts)."""
+    if CJK.match(word):
+        out = [*word, *(word[i : i + 2] for i in range(len(word) - 1))]
+    else:
+        edged = f"<{word}>"
+        out = [edged[i : i + n] for n in (2, 3, 4) for i in range(len(edged) - n + 1)]
     return np.fromiter((xxhash.xxh32_intdigest(g) & (BUCKETS - 1) for g in out), np.int32, len(out))
 
 
+class _Words(dict):
+    """Buckets of the words met by a worker; emptied when it has grown."""
+
+    def __missing__(self, word: str) -> np.ndarray:
+        if CJK.match(word):  # runs of signs seldom recur
+            return _buckets(word)
+        if len(self) > 100_000:
+            self.clear()
+        value = self[word] = _buckets(word)
+        return value
+
+
+_words = _Words()
+
+
+def grams(text: str) -> np.ndarray:
+    """Buckets of the character n-grams of all words of a text."""
+    found = [_words[w] for w in WORDS.findall(folded(text))]
+    return np.concatenate(found) if found else np.empty(0, np.int32)
+
+
 def fit_languages(documents: DataFrame, pairs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Log probabilities, languages by buckets.
 
