@@ -18,7 +18,8 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -336,8 +337,9 @@ AFTER_MARK = re.compile(r"[!?]\s+([^\W\d_]+)")
 INNER_WORD = re.compile(r"(?<=[^\W\d_] )[^\W\d_]+(?![.\w])")
 
 
-def _count(texts: Iterator[str], emit) -> None:
-    """Tells ``emit`` (kind, word) of what is sure: ends and starts of paragraphs, and marks before a lower-case word."""
+def _count(texts: Iterable[str], counts: dict[str, Counter]) -> None:
+    """Adds to ``counts`` what is sure: ends and starts of paragraphs, and marks before a lower-case word; and words inside sentences."""
+    ends, opens, goes, inside = (counts[k] for k in ("ends", "opens", "goes on", "inside"))
     for text in texts:
         for part in PARAGRAPH.split(text):
             body = part.strip()
@@ -345,17 +347,15 @@ def _count(texts: Iterator[str], emit) -> None:
                 continue
             final = FINAL_MARK.search(body[-60:])
             if final:
-                emit("ends", final[1].lower())
+                ends[final[1].lower()] += 1
                 start = NEXT_WORD.match(body)
                 if start:
-                    emit("opens", start[0])
-            for m in INNER_DOT.finditer(body):
-                if m[2].islower() or m[2] in ",;":
-                    emit("goes on", m[1].lower())
-            for m in AFTER_MARK.finditer(body):
-                emit("opens", m[1])
-            for w in INNER_WORD.findall(body):
-                emit("inside", w)
+                    opens[start[0]] += 1
+            for word, follows in INNER_DOT.findall(body):
+                if follows.islower() or follows in ",;":
+                    goes[word.lower()] += 1
+            opens.update(AFTER_MARK.findall(body))
+            inside.update(INNER_WORD.findall(body))
 
 
 def fit_statistics(docs: DataFrame, text: str = "text", floor: float = FLOOR) -> Statistics:
@@ -363,22 +363,20 @@ def fit_statistics(docs: DataFrame, text: str = "text", floor: float = FLOOR) ->
     schema = "kind string, word string, n long, total double, squares double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], int] = {}
+        counts = {k: Counter() for k in ("ends", "opens", "goes on", "inside")}
         sizes: dict[str, list[float]] = {}
 
-        def emit(kind: str, word: str) -> None:
-            counts[kind, word] = counts.get((kind, word), 0) + 1
-
         def flush() -> pa.RecordBatch:
-            rows = [(k, w, n, 0.0, 0.0) for (k, w), n in counts.items()] + [("length", s, int(v[0]), v[1], v[2]) for s, v in sizes.items()]
-            counts.clear()
+            rows = [(k, w, n, 0.0, 0.0) for k, own in counts.items() for w, n in own.items()] + [("length", s, int(v[0]), v[1], v[2]) for s, v in sizes.items()]
+            for own in counts.values():
+                own.clear()
             sizes.clear()
             columns = list(zip(*rows)) if rows else [()] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64()))], names=[x.split()[0] for x in schema.split(", ")])
 
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t]
-            _count(iter(texts), emit)
+            _count(texts, counts)
             for t in texts:
                 for part in PARAGRAPH.split(t):
                     for piece in STRONG_END.split(part.strip()):
@@ -387,7 +385,7 @@ def fit_statistics(docs: DataFrame, text: str = "text", floor: float = FLOOR) ->
                             v = sizes.setdefault(_script(piece), [0.0, 0.0, 0.0])
                             x = math.log(n)
                             v[0], v[1], v[2] = v[0] + 1, v[1] + round(x, 3), v[2] + round(x * x, 3)
-            if len(counts) > 300_000:
+            if sum(map(len, counts.values())) > 300_000:
                 yield flush()
         yield flush()
 
