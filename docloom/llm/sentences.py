@@ -54,7 +54,7 @@ DEVANAGARI = re.compile(r"[ऀ-ॿ]")
 JOINED = re.compile(r"[^\W\d_]{3}[.!?]([^\W\d_][^\s]*)$")
 BLANKLESS = re.compile(r"[฀-๿぀-ヿ一-鿿]")
 #: Marks that end a sentence wherever they stand before a blank; pieces between them show how long sentences are.
-STRONG_END = re.compile(r"(?<=[.!?])\s+(?=[A-ZÄÖÜÁÉÍÓÚÑ¿¡])|(?<=[。！？।])|(?<=[฀-๿])\s+(?=[฀-๿])")
+STRONG_END = re.compile(r"[.!?]\s+(?=[A-ZÄÖÜÁÉÍÓÚÑ¿¡])|[。！？।]|[฀-๿]\s+(?=[฀-๿])")
 
 def _pairs(text: str) -> list[tuple[int, int]]:
     """Matched quotations and brackets as (first, last) positions; what stays open is ignored."""
@@ -331,8 +331,7 @@ def spans(text: str | None, known: Statistics = PRIOR) -> list[tuple[int, int]]:
 
 # ---- statistics of the corpus ---------------------------------------------------------------------------------------
 
-FINAL_MARK = re.compile(r"([^\s(\[«“„\"「]+?)\.[\"'”»)]*$")
-INNER_DOT = re.compile(r"([^\s(\[«“„\"「]+)\.\s+([^\s])")
+INNER_DOT = re.compile(r"\.\s+(\S)")
 AFTER_MARK = re.compile(r"[!?]\s+([^\W\d_]+)")
 INNER_WORD = re.compile(r"(?<=[^\W\d_] )[^\W\d_]+(?![.\w])")
 
@@ -345,15 +344,18 @@ def _count(texts: Iterable[str], counts: dict[str, Counter]) -> None:
             body = part.strip()
             if not body:
                 continue
-            final = FINAL_MARK.search(body[-60:])
+            end = len(body.rstrip("\"'”’»)"))
+            final = LAST_WORD.search(body, max(0, end - 41), end - 1) if body[end - 1 : end] == "." else None
             if final:
-                ends[final[1].lower()] += 1
+                ends[final[0].lower()] += 1
                 start = NEXT_WORD.match(body)
                 if start:
                     opens[start[0]] += 1
-            for word, follows in INNER_DOT.findall(body):
-                if follows.islower() or follows in ",;":
-                    goes[word.lower()] += 1
+            for m in INNER_DOT.finditer(body):
+                if m[1].islower() or m[1] in ",;":
+                    word = LAST_WORD.search(body, max(0, m.start() - 40), m.start())
+                    if word:
+                        goes[word[0].lower()] += 1
             opens.update(AFTER_MARK.findall(body))
             inside.update(INNER_WORD.findall(body))
 
@@ -379,10 +381,13 @@ def fit_statistics(docs: DataFrame, text: str = "text", floor: float = FLOOR) ->
             _count(texts, counts)
             for t in texts:
                 for part in PARAGRAPH.split(t):
-                    for piece in STRONG_END.split(part.strip()):
-                        n = len(piece.strip())
-                        if n > 8 and piece is not part:
-                            v = sizes.setdefault(_script(piece), [0.0, 0.0, 0.0])
+                    body, at = part.strip(), 0
+                    inner = [(m.start() + 1, m.end()) for m in STRONG_END.finditer(body)]
+                    for end, following in [*inner, (len(body), 0)] if inner else ():  # a paragraph of one piece may be a heading
+                        n = len(body[at:end].strip())
+                        at = following
+                        if n > 8:
+                            v = sizes.setdefault(_script(body), [0.0, 0.0, 0.0])
                             x = math.log(n)
                             v[0], v[1], v[2] = v[0] + 1, v[1] + round(x, 3), v[2] + round(x * x, 3)
             if sum(map(len, counts.values())) > 300_000:
