@@ -6,8 +6,11 @@ data. Empty sides give no pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +97,33 @@ def by_page(gold: DataFrame, found: DataFrame, page: list[str]):
     return gold.groupBy(*page).cogroup(own.groupBy(*page))
 
 
+def page_lists(gold: DataFrame, found: DataFrame, page: list[str]) -> DataFrame:
+    """One row a page with the boxes of both sides in ``boxes``, gold first, by id: of side, box_id, label, x0, y0, x1, y1 and score.
+
+    Small pages are many: they are gathered by the engine and met in batches with ``boxes_of``, not as a group each.
+    """
+    def side(df: DataFrame, n: int) -> DataFrame:
+        score = F.col("score").cast("double") if "score" in df.columns and n else F.lit(None).cast("double")
+        label = F.col("label").cast("string") if "label" in df.columns else F.lit(None).cast("string")
+        return df.select(*[F.col(c).alias(c) for c in page], F.struct(F.lit(n).alias("side"), F.col("box_id").alias("box_id"), label.alias("label"), *[F.col(c).cast("double").alias(c) for c in _BOX], score.alias("score")).alias("b"))
+
+    return side(gold, 0).unionByName(side(found, 1)).groupBy(*page).agg(F.sort_array(F.collect_list("b")).alias("boxes"))
+
+
+def boxes_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, list, list, np.ndarray]]:
+    """For each row of ``page_lists``: its number, the boxes and labels of both sides, and the scores of the found ones."""
+    lists = batch.column(batch.schema.get_field_index("boxes"))
+    ends, flat = lists.offsets.to_numpy(), lists.values
+    side, score = flat.field("side").to_numpy(zero_copy_only=False), flat.field("score").to_numpy(zero_copy_only=False)
+    boxes = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in _BOX])
+    labels = flat.field("label").to_pylist()
+    later = np.concatenate([[0], np.cumsum(side)])
+    for k in range(batch.num_rows):
+        a, b = int(ends[k]), int(ends[k + 1])
+        cut = b - int(later[b] - later[a])
+        yield k, boxes[a:cut], boxes[cut:b], labels[a:cut], labels[cut:b], score[cut:b]
+
+
 def match_pages(gold: DataFrame, found: DataFrame, page: list[str], least: float = 0.5, method: str = "optimal") -> DataFrame:
     """Pairs (page keys, gold_id, found_id, iou) of boxes with columns x0, y0, x1, y1, box_id and label."""
     schema = ", ".join(f"{c} {gold.schema[c].dataType.simpleString()}" for c in page) + ", gold_id string, found_id string, iou double"
