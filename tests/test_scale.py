@@ -55,3 +55,15 @@ def crowded(call):
 
 def test_class_areas_of_a_crowded_page():
     assert crowded(L.assigned_areas) < 150
+
+
+def test_page_coverage_of_a_crowded_page(spark):
+    gold, found = crowd(7, 30), crowd(8, 25)
+    g, f = raster(gold), raster(found)
+    whole, any_gold, times = g.any(axis=0).sum(), g.any(axis=0), f.sum(axis=0)
+    own = [int((m & g).sum(axis=(1, 2)).argmax()) for m in f]
+    trespass = sum((m & np.delete(g, o, axis=0).any(axis=0) & ~g[o]).sum() for m, o in zip(f, own))
+    want = ((any_gold & (times > 0)).sum() / whole, (times > 1).sum() / whole, trespass / whole, (~any_gold & (times > 0)).sum() / whole)
+    row = L.coverage(*frames(spark, gold, found), ["doc", "page"]).collect()
+    assert [(r.doc, r.page) for r in row] == [("d", 1)] and tuple(row[0][2:]) == pytest.approx(want)
+    assert crowded(L.coverage_areas) < 150
