@@ -67,3 +67,14 @@ def test_page_coverage_of_a_crowded_page(spark):
     row = L.coverage(*frames(spark, gold, found), ["doc", "page"]).collect()
     assert [(r.doc, r.page) for r in row] == [("d", 1)] and tuple(row[0][2:]) == pytest.approx(want)
     assert crowded(L.coverage_areas) < 150
+
+
+def test_protocol_for_all_thresholds_at_once():
+    places = [(t, low, high) for low, high in L.AREAS.values() for t in L.THRESHOLDS]
+    at, low, high = map(np.array, zip(*places))
+    gold, found, score = crowd(9, 20) * 6, np.vstack([crowd(9, 20) * 6 + 4, crowd(10, 9) * 6]), np.random.RandomState(1).randint(0, 9, 29) / 9
+    for most in (5, 100):
+        order, hits, misses, n = L.protocol_hits(gold, found, score, at, low, high, most)
+        for k, place in enumerate(places):
+            want, count = L.protocol_matches(gold, found, score, *place, most)
+            assert want == [(score[j], hits[q, k], not (hits[q, k] or misses[q, k])) for q, j in enumerate(order)] and count == n[k]
