@@ -5,7 +5,11 @@ Null or empty on either side scores 0 unless stated. NOT_FOUND matches only itse
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,10 +159,37 @@ def scored(predictions: DataFrame, prediction: str, gold: str) -> DataFrame:
     })
 
 
+def _clipped(a: list[str], b: list[str], n: int) -> tuple[int, int]:
+    """As ``bleu_counts`` for two lists of words."""
+    if len(a) < n:
+        return 0, 0
+    own = Counter(zip(*(a[i:] for i in range(n))))
+    other = Counter(zip(*(b[i:] for i in range(n)))) if len(b) >= n else {}
+    return sum(min(v, other[x]) for x, v in own.items() if x in other), len(a) - n + 1
+
+
 def corpus_bleu(df: DataFrame, p: str = "p", g: str = "g") -> DataFrame:
     """Corpus BLEU-4 in one row from counts summed over all rows; a match of zero counts as 0.1 of a total (first smoothing), no totals give 0."""
-    counts = df.select(*[bleu_counts(F.col(p), F.col(g), n).alias(f"n{n}") for n in range(1, 5)], F.size(words(F.col(p))).alias("lp"), F.size(words(F.col(g))).alias("lg"))
-    s = counts.agg(*[F.sum(f"n{n}.{c}").alias(f"{c}{n}") for n in range(1, 5) for c in ("match", "total")], F.sum("lp").alias("lp"), F.sum("lg").alias("lg"))
+    names = [f"{c}{n}" for n in range(1, 5) for c in ("match", "total")] + ["lp", "lg"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: list[int | None] = [0] * 8 + [None, None]
+        seen = False
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen = True
+                for k, x in ((8, a), (9, b)):
+                    if x is not None:
+                        sums[k] = (sums[k] or 0) + len(x)
+                for n in range(1, 5):
+                    match, total = _clipped(a or [], b or [], n)
+                    sums[2 * n - 2] += match
+                    sums[2 * n - 1] += total
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in sums], names=names)
+
+    counts = df.select(words(F.col(p)).alias("p"), words(F.col(g)).alias("g")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    s = counts.agg(*[F.sum(c).alias(c) for c in names])
     logs = F.lit(0.0)
     for n in range(1, 5):
         total = F.greatest(F.col(f"total{n}"), F.lit(1))

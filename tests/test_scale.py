@@ -78,3 +78,13 @@ def test_protocol_for_all_thresholds_at_once():
         for k, place in enumerate(places):
             want, count = L.protocol_matches(gold, found, score, *place, most)
             assert want == [(score[j], hits[q, k], not (hits[q, k] or misses[q, k])) for q, j in enumerate(order)] and count == n[k]
+
+
+def test_bleu_counts_of_lists(spark):
+    from docloom.operators import answers as A
+
+    pairs = [("a b a b c", "a b c a b"), ("x", "x y"), ("", "a"), ("a a a", "a")]
+    df = spark.createDataFrame(pairs, "p string, g string")
+    for n in range(1, 5):
+        want = [tuple(r.c) for r in df.select(A.bleu_counts(F.col("p"), F.col("g"), n).alias("c")).collect()]
+        assert [A._clipped(p.split(), g.split(), n) for p, g in pairs] == want
