@@ -119,8 +119,12 @@ def page_metrics(t):
     """Chunks of the asked file ranked by their distance to the page after the gold page."""
     c = t("chunks").where("page is not null and doc_filename is not null").groupBy("chunk_id").agg(F.regexp_replace(F.min("doc_filename"), "[.]pdf$", "").alias("doc"), F.min("page").alias("page"), F.min(F.length("text")).alias("n"))
     q = t("predictions").where("query is not null and doc_stem is not null").select("query_id", F.col("doc_stem").alias("doc"), (F.length("query") % 40 + 1).cast("int").alias("gold")).distinct()
-    w = W.partitionBy("query_id").orderBy(F.abs(F.col("page") - F.col("gold") - 1), "n", "chunk_id")
-    ranking = q.join(c, "doc").withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    # a file may be asked for by a tenth of all questions and hold a tenth of all chunks: the ten best of a page and of a gold page do
+    place = [F.abs(F.col("page") - F.col("gold") - 1), "n", "chunk_id"]
+    first = lambda df, by, order: df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("rank <= 10")
+    near = first(c, ["doc", "page"], ["n", "chunk_id"]).drop("rank")
+    of_page = first(q.select("doc", "gold").distinct().join(near, "doc"), ["doc", "gold"], place).drop("rank")
+    ranking = first(q.join(of_page, ["doc", "gold"]), ["query_id"], place)
     m = C.page_metrics(ranking.select("query_id", "doc", "page", "rank"), q.withColumnRenamed("gold", "page"), c.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("n")))
     return m.withColumns({"mrr": F.round("mrr", 8), "ndcg_10": F.round("ndcg_10", 8)})
 
@@ -181,10 +185,8 @@ def key_specs(t):
     """Values of each row against their normal forms, as maps; checked against a brute force in the tests."""
     from docloom.operators.tables import row_maps
 
-    cells = t("table_cells")
-    gold = row_maps(cells).select("row_id", F.col("row_kv").alias("gold"))
-    found = row_maps(cells.withColumn("raw_value", F.col("norm_string"))).select("row_id", F.col("row_kv").alias("found"))
-    return gold.join(found, "row_id").select("row_id", C.key_specs(F.col("gold"), F.col("found")).alias("s")).select("row_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
+    rows = row_maps(t("table_cells"), {"gold": "raw_value", "found": "norm_string"}).where("row_id is not null")
+    return rows.select("row_id", C.key_specs(F.col("gold"), F.col("found")).alias("s")).select("row_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("WITH c AS (SELECT DISTINCT cell_id, norm_numeric AS computed, CASE WHEN regexp_full_match(trim(raw_value, ' '), '[-+]?[0-9]+([.][0-9]+)?') THEN raw_value::DOUBLE END AS g, raw_value FROM table_cells WHERE norm_numeric IS NOT NULL AND NOT isnan(norm_numeric)), f AS (SELECT CASE WHEN coalesce(abs(computed - g) <= 0.01 OR abs(computed - g) / greatest(1.0, abs(g)) <= 0.001 OR abs(computed * 100 - g) <= 0.01 OR abs(computed - g * 100) <= 0.01, false) THEN 'match' WHEN coalesce(abs(computed + g) < 0.05, false) THEN 'sign_flip' WHEN coalesce(abs(computed * 100 - g) < 0.05 OR abs(computed / 100 - g) < 0.05, false) THEN 'scale_100' ELSE 'formula' END AS fault FROM c WHERE g IS NOT NULL) SELECT fault, count(*) AS n FROM f GROUP BY 1")

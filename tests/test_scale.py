@@ -88,3 +88,18 @@ def test_bleu_counts_of_lists(spark):
     for n in range(1, 5):
         want = [tuple(r.c) for r in df.select(A.bleu_counts(F.col("p"), F.col("g"), n).alias("c")).collect()]
         assert [A._clipped(p.split(), g.split(), n) for p, g in pairs] == want
+
+
+def test_pages_of_a_file_that_is_asked_often(spark, tmp_path):
+    import __spark_entry__ as e
+
+    # 3,000 questions for one file of 3,000 chunks: nine million pairs, were they formed
+    chunks = spark.range(3000).selectExpr("concat('c', id) as chunk_id", "'d.pdf' as doc_filename", "cast(id % 40 + 1 as int) as page", "repeat('x', cast(id % 7 as int)) as text")
+    asked = spark.range(3000).selectExpr("concat('q', id) as query_id", "'d' as doc_stem", "repeat('y', cast(id % 50 + 1 as int)) as query")
+    chunks.write.parquet(f"{tmp_path}/chunks.parquet")
+    asked.write.parquet(f"{tmp_path}/predictions.parquet")
+    m = e.queries()["page_metrics"](spark, str(tmp_path))
+    joined = [x for x in m._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x and "query_id" not in x]
+    assert any("gold#" in x and "doc#" in x for x in joined)
+    rows = m.collect()
+    assert len(rows) == 3000 and {r.hit_10 for r in rows} == {0.0, 1.0}
