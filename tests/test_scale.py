@@ -103,3 +103,14 @@ def test_pages_of_a_file_that_is_asked_often(spark, tmp_path):
     assert any("gold#" in x and "doc#" in x for x in joined)
     rows = m.collect()
     assert len(rows) == 3000 and {r.hit_10 for r in rows} == {0.0, 1.0}
+
+
+def test_tables_without_a_row_need_no_search():
+    from docloom.operators import grids as G
+
+    rows = [f"<tr><td>{k}</td><td>value of {k}</td></tr>" for k in range(400)]
+    whole, less = "<table>" + "".join(rows) + "</table>", "<table>" + "".join(rows[:-1]) + "</table>"
+    assert G.teds(whole, less) == G.teds(less, whole, True) == pytest.approx(1 - 3 / 1201)
+    assert G.grits_scores(whole, less) == pytest.approx((1 - 1 / 799,) * 2)
+    other = "<table>" + "".join(rows[:3]) + "<tr><td>x</td><td>value of 3</td></tr></table>"
+    assert 0.9 < G.teds("<table>" + "".join(rows[:4]) + "</table>", other) < 1
