@@ -114,21 +114,24 @@ def any_chunk_oracle(answers: DataFrame, matches: Column) -> DataFrame:
 def gold_chunks(chunks: DataFrame, gold: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Distinct (query_id, key) of the chunks whose id holds a gold id (query_id, gold_id), be it equal, a prefix or inside.
 
-    Instead of comparing each id with each gold id, the parts of an id that are as long as some gold id are joined by
-    equality; the lengths are as many as the longest gold id has signs.
+    Instead of comparing each id with each gold id, both meet by the last signs of the gold id, as many as the largest power of two
+    in its length: an id asks with its parts of these few sizes, and the gold ids it meets are compared in full.
     """
     wanted = gold.where("gold_id is not null and gold_id <> ''").distinct()
-    lengths = sorted(r[0] for r in wanted.select(F.length("gold_id")).distinct().collect())
-    if not lengths:
-        return chunks.select(key).limit(0).crossJoin(gold.select("query_id").limit(0)).select("query_id", key)
+    named = wanted.select("gold_id").distinct()
+    size = F.pow(F.lit(2.0), F.floor(F.log2(F.length("gold_id").cast("double")))).cast("int")
+    anchors = named.withColumn("_n", size).withColumn("_end", F.right("gold_id", F.col("_n")))
+    sizes = sorted(r[0] for r in anchors.select("_n").distinct().collect())
     ids = chunks.select(key).where(F.col(key).isNotNull()).distinct()
 
     def pieces(n: int) -> Column:
         cut = F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda i: F.substr(F.col(key), i, F.lit(n)))
         return F.when(F.length(key) >= n, cut).otherwise(F.array().cast("array<string>"))
 
-    inside = ids.select(key, F.explode(F.array_distinct(F.concat(*map(pieces, lengths)))).alias("gold_id"))
-    return inside.join(wanted, "gold_id").select("query_id", key).distinct()
+    if not sizes:
+        return chunks.select(key).limit(0).crossJoin(gold.select("query_id").limit(0)).select("query_id", key)
+    met = ids.select(key, F.explode(F.array_distinct(F.concat(*map(pieces, sizes)))).alias("_end")).join(anchors, "_end")
+    return met.where(F.col(key).contains(F.col("gold_id"))).select(key, "gold_id").distinct().join(wanted, "gold_id").select("query_id", key).distinct()
 
 
 def ranked_chunks(ranking: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:

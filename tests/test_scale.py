@@ -114,3 +114,15 @@ def test_tables_without_a_row_need_no_search():
     assert G.grits_scores(whole, less) == pytest.approx((1 - 1 / 799,) * 2)
     other = "<table>" + "".join(rows[:3]) + "<tr><td>x</td><td>value of 3</td></tr></table>"
     assert 0.9 < G.teds("<table>" + "".join(rows[:4]) + "</table>", other) < 1
+
+
+def test_ids_meet_by_few_parts(spark):
+    from docloom.operators import reading as D
+
+    draw = np.random.RandomState(2)
+    word = lambda n: "".join("ab"[x] for x in draw.randint(0, 2, n))
+    ids, gold = sorted({word(draw.randint(1, 14)) for _ in range(60)}), sorted({word(draw.randint(1, 9)) for _ in range(40)})
+    found = D.gold_chunks(spark.createDataFrame([(i,) for i in ids], "chunk_id string"), spark.createDataFrame([(g, g) for g in gold], "query_id string, gold_id string"))
+    assert {(r.query_id, r.chunk_id) for r in found.collect()} == {(g, i) for g in gold for i in ids if g in i}
+    # lengths from 1 to 8 make four sizes of parts, not eight
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sequence(1") <= 2 * 4
