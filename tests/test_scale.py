@@ -126,3 +126,19 @@ def test_ids_meet_by_few_parts(spark):
     assert {(r.query_id, r.chunk_id) for r in found.collect()} == {(g, i) for g in gold for i in ids if g in i}
     # lengths from 1 to 8 make four sizes of parts, not eight
     assert found._jdf.queryExecution().optimizedPlan().toString().count("sequence(1") <= 2 * 4
+
+
+@pytest.mark.parametrize("policy", ["EXCEPTION", "LAST_WIN"])
+def test_later_columns_win_in_any_session(spark, policy):
+    from docloom.operators import scoring as C
+    from docloom.operators import tables as T
+
+    before = spark.conf.get("spark.sql.mapKeyDedupPolicy")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", policy)
+    try:
+        cells = spark.createDataFrame([("t", "r", "l", "c0", "A", "1"), ("t", "r", "l", "c1", "B", None), ("t", "r", "l", "c2", "A", "2")], "table_id string, row_id string, row_label string, cell_id string, column_label string, raw_value string")
+        assert [r.row_kv for r in T.row_maps(cells).collect()] == [{"A": "2", "B": None}]
+        maps = spark.createDataFrame([({"a-b": "1", "ab": "2"}, {"AB": "2"})], "g map<string,string>, f map<string,string>")
+        assert tuple(maps.select(C.key_specs(F.col("g"), F.col("f")).alias("s")).first().s) == (1.0, 1.0, 1.0)
+    finally:
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", before)
