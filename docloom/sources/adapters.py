@@ -88,10 +88,26 @@ def cell_grid(rows: DataFrame, columns: DataFrame, words: DataFrame) -> DataFram
     c = columns.select("table_id", number("x0").alias("col_no"), *[F.col(k).alias(f"c{k}") for k in ("x0", "y0", "x1", "y1")])
     cells = r.join(c, "table_id").select("table_id", "row_no", "col_no", F.greatest("rx0", "cx0").alias("a0"), F.greatest("ry0", "cy0").alias("b0"), F.least("rx1", "cx1").alias("a1"), F.least("ry1", "cy1").alias("b1")).where("a1 > a0 and b1 > b0")
     w = words.select("table_id", "text", ((F.col("x0") + F.col("x1")) / 2).alias("_x"), ((F.col("y0") + F.col("y1")) / 2).alias("_y"), F.col("x0").alias("_at"))
-    inside = (F.col("table_id") == F.col("_t")) & (F.col("_x") >= F.col("a0")) & (F.col("_x") < F.col("a1")) & (F.col("_y") >= F.col("b0")) & (F.col("_y") < F.col("b1"))
-    hit = cells.join(w.withColumnRenamed("table_id", "_t"), inside, "left")
+    in_rows = _holding(w, r, "r", "_y", "ry0", "ry1")
+    hit = _holding(in_rows, c, "c", "_x", "cx0", "cx1")
     parts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct(F.col("_y").alias("y"), F.col("_at").alias("x"), F.col("text").alias("t")))))
-    return hit.groupBy("table_id", "row_no", "col_no").agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("cell"))
+    texts = hit.groupBy("table_id", "row_no", "col_no").agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("cell"))
+    return cells.select("table_id", "row_no", "col_no").join(texts, ["table_id", "row_no", "col_no"], "left").withColumn("cell", F.coalesce("cell", F.lit("")))
+
+
+def _holding(points: DataFrame, boxes: DataFrame, mark: str, at: str, low: str, high: str) -> DataFrame:
+    """Each point (table_id, _x, _y) with every box of its table that holds it; columns of boxes are marked.
+
+    A table may hold a tenth of all words and rows, so both meet by bins of the direction ``at``, as wide as the table has room for each box.
+    """
+    x0, x1, y0, y1 = (f"{mark}{c}" for c in ("x0", "x1", "y0", "y1"))
+    solid = boxes.where((F.col(x1) > F.col(x0)) & (F.col(y1) > F.col(y0)))
+    size = solid.groupBy("table_id").agg(((F.max(high) - F.min(low)) / F.count(F.lit(1))).alias("_bin"))
+    number = lambda v: F.floor(F.col(v) / F.col("_bin")).cast("long")
+    placed = solid.join(size, "table_id").withColumn("_slot", F.explode(F.sequence(number(low), number(high)))).drop("_bin")
+    slots = points.join(size, "table_id").withColumn("_slot", number(at)).drop("_bin")
+    held = (F.col("_x") >= F.col(x0)) & (F.col("_x") < F.col(x1)) & (F.col("_y") >= F.col(y0)) & (F.col("_y") < F.col(y1))
+    return slots.join(placed, ["table_id", "_slot"]).where(held).drop("_slot", x0, x1, y0, y1)
 
 
 def check_config(models: list[dict], required: tuple[str, ...] = ("model_key", "model_name", "backend")) -> list[dict]:

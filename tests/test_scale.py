@@ -142,3 +142,26 @@ def test_later_columns_win_in_any_session(spark, policy):
         assert tuple(maps.select(C.key_specs(F.col("g"), F.col("f")).alias("s")).first().s) == (1.0, 1.0, 1.0)
     finally:
         spark.conf.set("spark.sql.mapKeyDedupPolicy", before)
+
+
+def test_words_meet_rows_of_their_place(spark):
+    from docloom.sources import adapters as S
+
+    draw = np.random.RandomState(3)
+    box = "table_id string, x0 double, y0 double, x1 double, y1 double"
+    rows = [("t", 0.0, float(y), 90.0, float(y + h)) for y, h in zip(range(0, 90, 7), draw.randint(3, 40, 13))] + [("t", 0.0, 5.0, 90.0, 5.0)]
+    columns = [("t", float(x), 0.0, float(x + w), 95.0) for x, w in zip(range(0, 80, 11), draw.randint(5, 30, 8))]
+    words = [("t", f"w{k}", *map(float, (x, y, x + 4, y + 2))) for k, (x, y) in enumerate(draw.randint(0, 95, (60, 2)))]
+    grid = S.cell_grid(spark.createDataFrame(rows, box), spark.createDataFrame(columns, box), spark.createDataFrame(words, "table_id string, text string, x0 double, y0 double, x1 double, y1 double"))
+    want = {}
+    for i, r in enumerate(sorted(rows, key=lambda b: (b[2], b[1]))):
+        for j, c in enumerate(sorted(columns, key=lambda b: (b[1], b[2]))):
+            a0, b0, a1, b1 = max(r[1], c[1]), max(r[2], c[2]), min(r[3], c[3]), min(r[4], c[4])
+            if a1 > a0 and b1 > b0:
+                inside = [(y + 1, x, t) for _, t, x, y, *_ in words if a0 <= x + 2 < a1 and b0 <= y + 1 < b1]
+                want[i, j] = " ".join(t for *_, t in sorted(inside))
+    got = {(r.row_no, r.col_no): r.cell for r in grid.collect()}
+    # rows 0 and 1 both may begin at one height: the empty one has no crossing
+    assert got == want
+    joins = [x for x in grid._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "_x#" in x and "_slot" not in x]
+    assert not joins
