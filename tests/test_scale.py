@@ -165,3 +165,25 @@ def test_words_meet_rows_of_their_place(spark):
     assert got == want
     joins = [x for x in grid._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "_x#" in x and "_slot" not in x]
     assert not joins
+
+
+def test_lookup_writes_no_pairs(spark):
+    from docloom.operators import tables as T
+
+    draw = np.random.RandomState(4)
+    take = lambda n: {f"t{min(int(x), 9)}" for x in draw.pareto(0.7, n)}
+    index, asked = {f"r{k:03d}": take(6) for k in range(80)}, {f"q{k}": take(4) | {"none"} for k in range(20)}
+    i = spark.createDataFrame([(r, "t", x) for r, v in index.items() for x in v], "row_id string, table_id string, token string")
+    a = spark.createDataFrame([(q, x) for q, v in asked.items() for x in v], "query_id string, token string")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        found = T.lookup(i, a, 3)
+        got = {(r.query_id, r.rank, r.row_id, r.hit_count) for r in found.collect()}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = set()
+    for q, v in asked.items():
+        best = sorted((-len(v & w), r) for r, w in index.items() if v & w)[:3]
+        want |= {(q, k, r, -n) for k, (n, r) in enumerate(best, 1)}
+    assert got == want and "Join" not in plan
