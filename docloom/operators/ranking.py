@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,16 +58,82 @@ def asked_tokens(queries: DataFrame, key: str, tokens: Column) -> DataFrame:
     return queries.select(F.col(key).alias("query_id"), F.explode(F.array_distinct(tokens)).alias("token"))
 
 
-def bm25(posted: DataFrame, asked: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75, log_idf: bool = True) -> DataFrame:
-    """Q1, Q2: scores of the items that share a token. Postings are first cut to the tokens asked for."""
+def _weighted(posted: DataFrame, asked: DataFrame, stats: DataFrame, k1: float, b: float, log_idf: bool) -> DataFrame:
     wanted = posted.join(asked.select("token").distinct(), "token", "left_semi")
     df = document_frequency(wanted)
     ratio = (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.log(ratio + 1) if log_idf else F.greatest(F.lit(0.0), ratio)
     tf = F.col("tf").cast("double")
     part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.greatest(F.lit(1.0), F.col("avg_dl"))))
-    weighted = wanted.join(df, "token").crossJoin(F.broadcast(stats)).select("item_id", "token", part.alias("part"))  # stats is one row
-    return weighted.join(asked, "token").groupBy("query_id", "item_id").agg(F.sum("part").alias("score"))
+    return wanted.join(df, "token").crossJoin(F.broadcast(stats)).select("item_id", "token", part.alias("part"))  # stats is one row
+
+
+def bm25(posted: DataFrame, asked: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75, log_idf: bool = True) -> DataFrame:
+    """Q1, Q2: scores of the items that share a token. Postings are first cut to the tokens asked for."""
+    return _weighted(posted, asked, stats, k1, b, log_idf).join(asked, "token").groupBy("query_id", "item_id").agg(F.sum("part").alias("score"))
+
+
+#: Shuffle partitions for each block of items that a search holds at once.
+BLOCK_PARTS = 8
+
+
+def bm25_top(posted: DataFrame, asked: DataFrame, stats: DataFrame, k: int, digits: int = 9, k1: float = 1.5, b: float = 0.75, log_idf: bool = True) -> DataFrame:
+    """Q1, Q2: the ``k`` best items of each query (query_id, item_id, score, rank) by the score of ``bm25``, rounded; ties go by item_id.
+
+    No pair of query and item is written down: each block of items adds up the weights of a query's tokens, keeps its k best, and
+    only those are put together. Both sides hold each token once for an item or query.
+    """
+    blocks = max(1, int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BLOCK_PARTS)
+    items = _weighted(posted, asked, stats, k1, b, log_idf).withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
+    queries = asked.groupBy("query_id").agg(F.sort_array(F.collect_list("token")).alias("tokens")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    kinds = [asked.schema["query_id"].dataType, posted.schema["item_id"].dataType]
+    types = [*map(to_arrow_type, kinds), pa.float64()]
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        names = ["query_id", "item_id", "score"]
+        if not x.num_rows or not y.num_rows:
+            return pa.table([pa.array([], kind) for kind in types], names=names)
+        ids = pc.unique(x.column("item_id"))
+        ids = ids.take(pc.sort_indices(ids, null_placement="at_start"))
+        known = pc.unique(x.column("token"))
+        token, owner = (pc.index_in(x.column(c), value_set=v).to_numpy().astype(np.int64) for c, v in (("token", known), ("item_id", ids)))
+        order = np.argsort(token, kind="stable")
+        owner, part, starts = owner[order], x.column("part").to_numpy()[order], np.searchsorted(token[order], np.arange(len(known) + 1))
+        lists = y.column("tokens").combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        wanted, lengths = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(), pc.list_value_length(lists).to_numpy()
+        ends, query, item, score = np.cumsum(lengths), [], [], []
+        whole = np.zeros(len(ids))
+        for q in range(len(lists)):
+            mine = [(owner[starts[t] : starts[t + 1]], part[starts[t] : starts[t + 1]]) for t in wanted[ends[q] - lengths[q] : ends[q]].tolist() if t >= 0]
+            if not mine:
+                continue
+            for own, p in mine:
+                whole[own] += p
+            met = np.concatenate([own for own, _ in mine])
+            if len(met) * 2 > len(whole):
+                there = np.zeros(len(whole), bool)
+                there[met] = True
+                met = np.flatnonzero(there)
+            else:
+                met = np.unique(met)
+            values = np.round(whole[met], digits)
+            if len(met) > k:
+                least = np.partition(values, len(values) - k)[len(values) - k]
+                kept = values >= least
+                met, values = met[kept], values[kept]
+            best = np.lexsort((met, -values))[:k]
+            query.append(np.full(len(best), q))
+            item.append(met[best])
+            score.append(values[best])
+            for own, _ in mine:
+                whole[own] = 0.0
+        if not query:
+            return pa.table([pa.array([], kind) for kind in types], names=names)
+        return pa.table([y.column("query_id").take(pa.array(np.concatenate(query))).cast(types[0]), ids.take(pa.array(np.concatenate(item))).cast(types[1]), pa.array(np.concatenate(score))], names=names)
+
+    hits = items.groupBy("_block").cogroup(queries.groupBy("_block")).applyInArrow(run, f"query_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, score double")
+    return ranked(hits, k)
 
 
 def overlap(posted: DataFrame, asked: DataFrame) -> DataFrame:
