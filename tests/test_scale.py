@@ -208,3 +208,24 @@ def test_best_documents_without_pairs(spark):
     assert got.keys() == expected.keys()
     for key, (item, score) in expected.items():
         assert got[key][0] == item and got[key][1] == pytest.approx(score, abs=2e-9)
+
+
+def test_every_question_looks_up_its_rows(spark):
+    from docloom.catalog.retrieval import entity_lookup_top5
+
+    asked = [("q-0000020", "rated power of XS-1"), ("q-0000021", "rated power of the other"), ("q-0000022", "power, rated"), ("q-0000023", "weight"), ("q-odd", "weight 7 kg"), ("q-0000024", "none of these")]
+    cells = [(f"r{r}", f"t{r % 2}", label, "value", str(r)) for r in range(1, 9) for label in (("rated power" if r % 2 else "power"), "weight")]
+    tables = {
+        "predictions": spark.createDataFrame(asked * 2, "query_id string, query string"),
+        "table_cells": spark.createDataFrame(cells, "row_id string, table_id string, row_label string, column_label string, raw_value string"),
+    }
+    got = {(r.query_id, r.rank, r.row_id, r.table_id, r.hit_count) for r in entity_lookup_top5(tables.__getitem__).collect()}
+    rows: dict = {}
+    for row, table, label, column, value in cells:
+        rows.setdefault((row, table), set()).update(f"{label} {column} {value}".split())
+    want = set()
+    for query, text in asked:
+        own = set(text.lower().replace(",", "").split())
+        best = sorted((-len(own & tokens), *row) for row, tokens in rows.items() if own & tokens)[:5]
+        want |= {(query, k, row, table, -n) for k, (n, row, table) in enumerate(best, 1)}
+    assert got == want and {q for q, *_ in got} == {q for q, _ in asked[:5]}
