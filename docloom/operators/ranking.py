@@ -6,6 +6,7 @@ by its nature but never assumed so: joins go by token, and a top k is cut before
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,94 +47,146 @@ def asked_index(docs: DataFrame, key: str, tokens: Column, asked: DataFrame) ->
     from docloom.session import cut_lineage
 
     base = docs.select(F.col(key).alias("item_id"), F.array_distinct(tokens).alias("_t")).withColumn("dl", F.size("_t").cast("long"))
-    rows = base.select("item_id", "dl", F.posexplode_outer("_t").alias("_at", "token"))
     known = asked.select("token").distinct().withColumn("_asked", F.lit(True))
+    rows = _maybe_asked(base, known).select("item_id", "dl", F.posexplode_outer("_t").alias("_at", "token"))
     kept = rows.join(known, "token", "left").where(F.coalesce("_asked", F.lit(False)) | (F.coalesce("_at", F.lit(0)) == 0))
     kept = cut_lineage(kept.select("item_id", "token", "dl", F.coalesce("_asked", F.lit(False)).alias("_asked"), (F.coalesce("_at", F.lit(0)) == 0).alias("_one")))
     stats = kept.where("_one").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
     return kept.where("_asked").select("item_id", "token", F.lit(1).cast("long").alias("tf"), "dl"), stats
 
 
+#: Bits of the filter of tokens asked for.
+FILTER_BITS = 1 << 24
+
+
+def _maybe_asked(base: DataFrame, known: DataFrame) -> DataFrame:
+    """``base`` (item_id, _t, dl) with the tokens of ``known`` and few others, told by a bit of their hash, so that the rest is not exchanged."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
+    bits = np.zeros(FILTER_BITS, np.uint8)
+    bits[known.select(spot("token").alias("p")).distinct().toArrow().column("p").to_numpy()] = 1  # FILTER_BITS numbers at most
+    sent = base.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, at = batch.column(2), batch.column(3).flatten().to_numpy()
+            kept = (sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            counts = np.bincount(pc.list_parent_indices(lists).to_numpy()[kept], minlength=batch.num_rows)
+            left = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), lists.flatten().filter(pa.array(kept)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), left], names=["item_id", "dl", "_t"])
+
+    given = base.select("item_id", "dl", "_t", F.transform("_t", spot).alias("_p"))
+    return given.mapInArrow(run, f"item_id {base.schema['item_id'].dataType.simpleString()}, dl long, _t array<string>")
+
+
 def asked_tokens(queries: DataFrame, key: str, tokens: Column) -> DataFrame:
     return queries.select(F.col(key).alias("query_id"), F.explode(F.array_distinct(tokens)).alias("token"))
 
 
-def _weighted(posted: DataFrame, asked: DataFrame, stats: DataFrame, k1: float, b: float, log_idf: bool) -> DataFrame:
-    wanted = posted.join(asked.select("token").distinct(), "token", "left_semi")
-    df = document_frequency(wanted)
+def _parts(posted: DataFrame, stats: DataFrame, k1: float, b: float, log_idf: bool) -> DataFrame:
+    df = document_frequency(posted)
     ratio = (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.log(ratio + 1) if log_idf else F.greatest(F.lit(0.0), ratio)
     tf = F.col("tf").cast("double")
     part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.greatest(F.lit(1.0), F.col("avg_dl"))))
-    return wanted.join(df, "token").crossJoin(F.broadcast(stats)).select("item_id", "token", part.alias("part"))  # stats is one row
+    return posted.join(df, "token").crossJoin(F.broadcast(stats)).select("item_id", "token", part.alias("part"))  # stats is one row
 
 
 def bm25(posted: DataFrame, asked: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75, log_idf: bool = True) -> DataFrame:
     """Q1, Q2: scores of the items that share a token. Postings are first cut to the tokens asked for."""
-    return _weighted(posted, asked, stats, k1, b, log_idf).join(asked, "token").groupBy("query_id", "item_id").agg(F.sum("part").alias("score"))
+    wanted = posted.join(asked.select("token").distinct(), "token", "left_semi")
+    return _parts(wanted, stats, k1, b, log_idf).join(asked, "token").groupBy("query_id", "item_id").agg(F.sum("part").alias("score"))
 
 
-#: Shuffle partitions for each block of items that a search holds at once.
-BLOCK_PARTS = 8
+#: Pairs of a set of tokens and an item that a search scores at a time.
+PAIRS = 1 << 20
 
 
 def bm25_top(posted: DataFrame, asked: DataFrame, stats: DataFrame, k: int, digits: int = 9, k1: float = 1.5, b: float = 0.75, log_idf: bool = True) -> DataFrame:
     """Q1, Q2: the ``k`` best items of each query (query_id, item_id, score, rank) by the score of ``bm25``, rounded; ties go by item_id.
 
-    No pair of query and item is written down: each block of items adds up the weights of a query's tokens, keeps its k best, and
-    only those are put together. Both sides hold each token once for an item or query.
+    Queries that share the tokens of the postings have the same items, so each set of them is searched once. A set has k items of some
+    score at least, and the tokens whose greatest weights together stay below it lead to none of its best items by themselves: only items
+    with another of its tokens are scored, in full. A set goes to the blocks of items that hold such a token, and no pair is written down.
     """
-    blocks = max(1, int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BLOCK_PARTS)
-    items = _weighted(posted, asked, stats, k1, b, log_idf).withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
-    queries = asked.groupBy("query_id").agg(F.sort_array(F.collect_list("token")).alias("tokens")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    kinds = [asked.schema["query_id"].dataType, posted.schema["item_id"].dataType]
-    types = [*map(to_arrow_type, kinds), pa.float64()]
+    from docloom.session import cut_lineage
+
+    blocks = max(1, int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    items = _parts(posted, stats, k1, b, log_idf).withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
+    least = F.max("part") if k == 1 else F.when(F.count(F.lit(1)) >= k, F.min("part")).otherwise(F.lit(0.0))
+    bounds = items.groupBy("token").agg(F.max("part").alias("most"), least.alias("least"))
+    terms = asked.join(bounds, "token").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("most", "token", "least"))).alias("terms"))
+    terms = cut_lineage(terms.select("query_id", "terms", F.to_json(F.array_sort(F.transform("terms", lambda x: x["token"]))).alias("key")))
+    # what k items have at least; the margin is far over the rounding of scores and sums
+    sets = terms.select("key", "terms").distinct().withColumn("_floor", F.array_max(F.transform("terms", lambda x: x["least"])) * (1 - 1e-6) - 1e-6)
+    upto = lambda i: F.aggregate(F.slice("terms", 1, i + 1), F.lit(0.0), lambda total, x: total + x["most"])
+    needed = F.filter("terms", lambda x, i: upto(i) >= F.col("_floor"))
+    sets = sets.select("key", F.array_sort(F.transform("terms", lambda x: x["token"])).alias("_tokens"), F.transform(needed, lambda x: x["token"]).alias("_needed"))
+    places = F.transform("_needed", lambda x: F.array_position("_tokens", x).cast("int") - 1)
+    held = items.select("token", F.col("_block").alias("_to")).distinct()
+    sent = sets.select("key", places.alias("needed"), F.explode("_needed").alias("token")).join(held, "token").select("key", "needed", "_to")
+    kind = posted.schema["item_id"].dataType
+    types = [pa.string(), to_arrow_type(kind), pa.float64()]
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
-        names = ["query_id", "item_id", "score"]
-        if not x.num_rows or not y.num_rows:
-            return pa.table([pa.array([], kind) for kind in types], names=names)
-        ids = pc.unique(x.column("item_id"))
-        ids = ids.take(pc.sort_indices(ids, null_placement="at_start"))
-        known = pc.unique(x.column("token"))
-        token, owner = (pc.index_in(x.column(c), value_set=v).to_numpy().astype(np.int64) for c, v in (("token", known), ("item_id", ids)))
-        order = np.argsort(token, kind="stable")
-        owner, part, starts = owner[order], x.column("part").to_numpy()[order], np.searchsorted(token[order], np.arange(len(known) + 1))
-        lists = y.column("tokens").combine_chunks()
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        wanted, lengths = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(), pc.list_value_length(lists).to_numpy()
-        ends, query, item, score = np.cumsum(lengths), [], [], []
-        whole = np.zeros(len(ids))
-        for q in range(len(lists)):
-            mine = [(owner[starts[t] : starts[t + 1]], part[starts[t] : starts[t + 1]]) for t in wanted[ends[q] - lengths[q] : ends[q]].tolist() if t >= 0]
-            if not mine:
-                continue
-            for own, p in mine:
-                whole[own] += p
-            met = np.concatenate([own for own, _ in mine])
-            if len(met) * 2 > len(whole):
-                there = np.zeros(len(whole), bool)
-                there[met] = True
-                met = np.flatnonzero(there)
-            else:
-                met = np.unique(met)
-            values = np.round(whole[met], digits)
-            if len(met) > k:
-                least = np.partition(values, len(values) - k)[len(values) - k]
-                kept = values >= least
-                met, values = met[kept], values[kept]
-            best = np.lexsort((met, -values))[:k]
-            query.append(np.full(len(best), q))
-            item.append(met[best])
-            score.append(values[best])
-            for own, _ in mine:
-                whole[own] = 0.0
-        if not query:
-            return pa.table([pa.array([], kind) for kind in types], names=names)
-        return pa.table([y.column("query_id").take(pa.array(np.concatenate(query))).cast(types[0]), ids.take(pa.array(np.concatenate(item))).cast(types[1]), pa.array(np.concatenate(score))], names=names)
-
-    hits = items.groupBy("_block").cogroup(queries.groupBy("_block")).applyInArrow(run, f"query_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, score double")
-    return ranked(hits, k)
+        # a set comes once for each of its needed tokens
+        y = y.take(pc.index_in(pc.unique(y.column("key")), value_set=y.column("key").combine_chunks())) if y.num_rows else y
+        parts = list(_best_items(x, y, k, digits)) if x.num_rows and y.num_rows else []
+        if not parts:
+            return pa.table([pa.array([], kind) for kind in types], names=["key", "item_id", "score"])
+        own, item, score = (np.concatenate(c) for c in zip(*parts))
+        return pa.table([y.column("key").take(pa.array(own)).cast(types[0]), _sorted_ids(x).take(pa.array(item)).cast(types[1]), pa.array(score)], names=["key", "item_id", "score"])
+
+    hits = items.groupBy("_block").cogroup(sent.groupBy("_to")).applyInArrow(run, f"key string, item_id {kind.simpleString()}, score double")
+    best = ranked(hits.withColumnRenamed("key", "query_id"), k).withColumnRenamed("query_id", "key")
+    return terms.select("query_id", "key").join(best, "key").select("query_id", "item_id", "score", "rank")
+
+
+def _sorted_ids(items: pa.Table) -> pa.Array:
+    ids = pc.unique(items.column("item_id"))
+    return ids.take(pc.sort_indices(ids, null_placement="at_start"))
+
+
+def _best_items(items: pa.Table, sets: pa.Table, k: int, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(set, item, score) of the k best items of each set: items (item_id, token, part), sets (key: their tokens as JSON, needed: places in it); items by their place in ``_sorted_ids``."""
+    one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    ids, known = _sorted_ids(items), one(pc.unique(items.column("token")))
+    n = len(ids)
+    token, owner = (pc.index_in(items.column(c), value_set=v).to_numpy().astype(np.int64) for c, v in (("token", known), ("item_id", ids)))
+    place = token * n + owner  # of a posting
+    order = np.argsort(place, kind="stable")
+    place, owner, part = place[order], owner[order], items.column("part").to_numpy()[order]
+    starts = np.searchsorted(place, np.arange(len(known) + 1) * n)
+    tokens = [json.loads(text) for text in sets.column("key").to_pylist()]
+    lengths = np.array([len(own) for own in tokens], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    wanted = pc.fill_null(pc.index_in(pa.array([token for own in tokens for token in own], pa.string()), value_set=known), -1).to_numpy().astype(np.int64)
+    needed = one(one(sets.column("needed")))
+    of = pc.list_parent_indices(needed).to_numpy().astype(np.int64)
+    via = wanted[begins[of] + needed.flatten().to_numpy()]
+    via, of = via[via >= 0], of[via >= 0]  # those of this block
+    met = starts[via + 1] - starts[via]
+    before = np.cumsum(met) - met
+    lo = 0
+    while lo < len(via):
+        hi = max(int(np.searchsorted(before, before[lo] + PAIRS)), lo + 1)
+        hi = int(np.searchsorted(of, of[hi - 1], "right"))  # all tokens of a set
+        own = met[lo:hi]
+        at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own - starts[via[lo:hi]], own)
+        group, item = np.divmod(np.unique(np.repeat(of[lo:hi], own) * n + owner[at]), n)
+        score = np.zeros(len(group))
+        for j in range(int(lengths[of[lo:hi]].max())):
+            live = np.flatnonzero(lengths[group] > j)
+            t = wanted[begins[group[live]] + j]
+            live, key = live[t >= 0], t[t >= 0] * n + item[live[t >= 0]]
+            found = np.minimum(np.searchsorted(place, key), len(place) - 1)
+            there = place[found] == key
+            score[live[there]] += part[found[there]]
+        score = np.round(score, digits)
+        order = np.lexsort((item, -score, group))
+        group, item, score = group[order], item[order], score[order]
+        first = np.arange(len(group)) - np.searchsorted(group, group) < k
+        yield group[first], item[first], score[first]
+        lo = hi
 
 
 def overlap(posted: DataFrame, asked: DataFrame) -> DataFrame:

@@ -229,3 +229,35 @@ def test_every_question_looks_up_its_rows(spark):
         best = sorted((-len(own & tokens), *row) for row, tokens in rows.items() if own & tokens)[:5]
         want |= {(query, k, row, table, -n) for k, (n, row, table) in enumerate(best, 1)}
     assert got == want and {q for q, *_ in got} == {q for q, _ in asked[:5]}
+
+
+def test_every_question_is_answered(spark):
+    from docloom.catalog.index import routed_answers
+
+    asked = [(f"q-{k:07d}", f"what is the warranty of unit u{k % 7}") for k in range(18, 43)] + [("q-0000043", "table: power of p3"), ("q-0000044", "table: weight of p2"), ("q-odd", "table: power of p3"), ("q-0000045", "why zzz")]
+    docs = [(k, f"Unit u{k} comes in a box. The warranty of unit u{k} is {k + 1} years. It is blue and it is new.") for k in range(7)]
+    cells = [(f"t_r{r}_{label}", f"t_r{r}", "t", f"p{r}", label, f"{r}{at}") for r in range(5) for at, label in enumerate(("power", "weight"))]
+    tables = {
+        "predictions": spark.createDataFrame(asked * 2, "query_id string, query string"),
+        "documents": spark.createDataFrame(docs, "doc_id long, text string"),
+        "table_cells": spark.createDataFrame(cells, "cell_id string, row_id string, table_id string, row_label string, column_label string, raw_value string"),
+    }
+    got = {r.query_id: (r.route, r.answer, r.doc_id) for r in routed_answers(tables.__getitem__).collect()}
+    want = {q: ("prose", f"The warranty of unit {u} is {int(u[1:]) + 1} years.", u[1:]) for q, text in asked[:25] for u in [text.split()[-1]]}
+    want |= {"q-0000043": ("table", "30", "t"), "q-0000044": ("table", "21", "t"), "q-odd": ("table", "30", "t"), "q-0000045": ("prose", "", "")}
+    assert got == want
+
+
+@pytest.mark.parametrize("log_idf", [False, True])
+def test_best_document_of_every_question(spark, log_idf):
+    from docloom.operators import ranking as R
+
+    draw = np.random.RandomState(6)
+    words = lambda n: " ".join(f"w{min(int(x), 40)}" for x in draw.pareto(0.6, n))
+    docs = spark.createDataFrame([(k, words(9)) for k in range(70)], "doc_id long, text string")
+    asked = R.asked_tokens(spark.createDataFrame([(f"q{k}", words(5) if k else "w0 none") for k in range(60)], "q string, text string"), "q", F.split("text", " "))
+    posted, stats = R.asked_index(docs, "doc_id", F.split("text", " "), asked)
+    rows = lambda df: {r.query_id: (r.item_id, pytest.approx(r.score, abs=2e-9)) for r in df.collect()}
+    got = {r.query_id: (r.item_id, r.score) for r in R.bm25_top(posted, asked, stats, 1, log_idf=log_idf).collect()}
+    assert got == rows(R.ranked(R.bm25(posted, asked, stats, log_idf=log_idf).withColumn("score", F.round("score", 9)), 1))
+    assert len(got) == 60
